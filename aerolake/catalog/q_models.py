@@ -1 +1,103 @@
-"""."""
+"""Training and scoring queries."""
+
+from __future__ import annotations
+
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from aerolake.catalog import views as v
+from aerolake.catalog.registry import query, rnd
+from aerolake.operators import daily, forecast, models, prepare, sets
+from aerolake.plans import training
+from aerolake.session import shared_dir
+from aerolake.sources import sinks
+
+KEY = ["l_orderkey", "l_linenumber"]
+FEATURES = ["pm25", "pm10", "no2", "o3", "month_sin", "month_cos", "dayofyear_sin", "dayofyear_cos"]
+
+_OLS = """SELECT l_orderkey, l_linenumber, round(regr_intercept(label, pm25) OVER () + regr_slope(label, pm25) OVER () * pm25, 4) AS predicted
+          FROM v_readings"""
+
+
+def _score_line(model, rows):
+    return model.transform(rows).select(*KEY, rnd("prediction", 4).alias("predicted"))
+
+
+@query("train_linear", _OLS, ("v_readings",))
+def train_linear(spark, d):
+    rows = v.readings(spark, d).select(*KEY, "pm25", "label")
+    return _score_line(models.train_model(rows, ["pm25"], "label", LinearRegression()), rows)
+
+
+@query("save_load_model", _OLS, ("v_readings",))
+def save_load_model(spark, d):
+    """A fitted model written to the shared folder, read back and used for scoring."""
+    rows = v.readings(spark, d).select(*KEY, "pm25", "label")
+    path = sinks.save_model(models.train_model(rows, ["pm25"], "label", LinearRegression()), shared_dir(spark, "model"))
+    return _score_line(sinks.load_model(path), rows)
+
+
+def station_days(spark, d):
+    """Daily rows per station with the learnable target and calendar features."""
+    rows = v.readings(spark, d).withColumnRenamed("station_id", "city")
+    days = daily.daily_aggregate(rows, ["city", "date"], ["pm25", "pm10", "no2", "o3", "label"], ())
+    return training.training_table(days.withColumnRenamed("label", "aqi"))
+
+
+def _splits(spark, d):
+    return prepare.random_split(station_days(spark, d), ["city", "date"])
+
+
+def _single(spark, d, name, **sizes):
+    estimator = models.regressors(**sizes)[name]
+    result = models.train_all_evaluate(_splits(spark, d), FEATURES, "aqi", {name: estimator}, keep=["city", "date"])
+    return result
+
+
+def _metrics(result):
+    return result.metrics.select("model", *[rnd(m, 4).alias(m) for m in ("RMSE", "MAE", "R2", "MSE")], "rows")
+
+
+@query("train_random_forest")
+def train_random_forest(spark, d):
+    return _metrics(_single(spark, d, "random_forest", trees=20, random_forest=10))
+
+
+@query("train_gbt")
+def train_gbt(spark, d):
+    return _metrics(_single(spark, d, "gradient_boosting", rounds=10))
+
+
+@query("train_all_evaluate")
+def train_all_evaluate(spark, d):
+    estimators = models.regressors(trees=10, rounds=5, random_forest=8, lightgbm=7)
+    result = models.train_all_evaluate(_splits(spark, d), FEATURES, "aqi", estimators, keep=["city", "date"])
+    return _metrics(result)
+
+
+@query("feature_importance")
+def feature_importance(spark, d):
+    result = _single(spark, d, "random_forest", trees=10, random_forest=8)
+    return models.feature_importance(result.models["random_forest"], FEATURES, spark)
+
+
+@query("predict_batch")
+def predict_batch(spark, d):
+    """Every station for fourteen days, scored by one boosted model over prepared scoring features."""
+    days = station_days(spark, d)
+    inputs = [*FEATURES, "city_encoded"]
+    model = models.train_model(days, inputs, "aqi", models.regressors(rounds=5)["gradient_boosting"])
+    last = sets.latest_row(days.select("city", "date", "pm25", "pm10", "no2", "o3"), ["city"], ["date"])
+    spine = forecast.forecast_spine(days.select("city").distinct(), v.AS_OF, 14)
+    rows = forecast.scoring_features(spine, last, FEATURES, None)
+    return models.score(rows, model).select("city", "date", "predicted_aqi", "category")
+
+
+@query("sequence_forecast")
+def sequence_forecast(spark, d):
+    """One, two and seven days ahead from the last 24 days of each city."""
+    rows = v.city_daily(spark, d)
+    days = rows.groupBy("city", "date").agg(F.avg("aqi").alias("aqi"), F.max("aqi").alias("top"))
+    model = models.SequenceModel.fit(days, ["city"], ["aqi", "top"], "aqi", per_series=800)
+    spine = forecast.forecast_spine(rows.select("city").distinct(), v.AS_OF, 10)
+    return model.predict(days, spine).select("city", "date", "day_offset", "predicted_aqi", "category")

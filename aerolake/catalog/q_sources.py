@@ -1 +1,164 @@
-"""."""
+"""Source and sink queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from aerolake.catalog import views as v
+from aerolake.catalog.q_joins import SQL_METRICS, measured
+from aerolake.catalog.registry import query, rnd, sql_rnd
+from aerolake.operators import standardize
+from aerolake.session import shared_dir
+from aerolake.sources import csv_tree, feeds, sinks
+
+
+def _write_csv(df, path, encoding="UTF-8"):
+    df.write.option("header", "true").option("encoding", encoding).csv(path)
+
+
+@query("scan_csv_tree", """
+    SELECT cast(l_orderkey AS BIGINT) AS row_id, cast(l_suppkey AS VARCHAR) AS station_id, cast(l_shipdate AS DATE) AS date, l_quantity AS pm25,
+           CASE WHEN l_linenumber <= 3 THEN l_extendedprice END AS aqi, CASE WHEN l_linenumber > 3 THEN l_returnflag END AS city, 'tables' AS source_dataset,
+           'unknown' AS file_type
+    FROM lineitem""")
+def scan_csv_tree(spark, d):
+    """The line items written as two sets of CSV files with different headers, then scanned as one tree."""
+    rows = v.table(spark, d, "lineitem")
+    n = F.col("l_linenumber")
+    root = shared_dir(spark, "csv-tree")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    _write_csv(rows.filter(n <= 3).select(
+        F.col("l_orderkey").alias("row_id"), F.col("l_suppkey").alias("station_id"), day.alias("date"), F.col("l_quantity").alias("PM2.5"),
+        F.col("l_extendedprice").alias("AQI")), f"{root}/a")
+    _write_csv(rows.filter(n > 3).select(
+        F.col("l_returnflag").alias("City"), F.col("l_quantity").alias("pm25"), day.alias("Date"), F.col("l_suppkey").alias("StationId"),
+        F.col("l_orderkey").alias("row_id")), f"{root}/deep/b")
+    frames = csv_tree.scan_csv_tree(spark, root, "tables")
+    out = standardize.standardize_readings(standardize.union_by_name(list(frames.values())), keep=["row_id", *standardize.PROVENANCE])
+    out = standardize.coerce_numeric(standardize.coerce_dates(out))
+    return out.select(F.col("row_id").cast("bigint").alias("row_id"), "station_id", "date", "pm25", "aqi", "city", "source_dataset", "file_type")
+
+
+@query("scan_csv_encoding", """
+    SELECT o_orderkey, 'Málaga ' || o_orderpriority AS city, o_totalprice AS aqi FROM orders""")
+def scan_csv_encoding(spark, d):
+    """Half of the orders in UTF-8 files and half in Latin-1 files, read back as the same text."""
+    rows = v.table(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.lit("Málaga "), F.col("o_orderpriority")).alias("City"), F.col("o_totalprice").alias("AQI")
+    )
+    root = shared_dir(spark, "csv-encoding")
+    _write_csv(rows.filter(F.col("o_orderkey") % 2 == 0), f"{root}/utf8")
+    _write_csv(rows.filter(F.col("o_orderkey") % 2 == 1), f"{root}/latin1", "ISO-8859-1")
+    out = standardize.union_by_name(list(csv_tree.scan_csv_tree(spark, root, "tables").values()))
+    out = standardize.coerce_numeric(standardize.standardize_readings(out, keep=["o_orderkey"]))
+    return out.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "city", "aqi")
+
+
+# A name per file type, in the order of the types.
+_PREFIXES = ["City_Day", "city_hour", "STATION_DAY", "station_hour", "stations", "aqi_data", "raw_data", "notes"]
+_KINDS = ["city_daily", "city_hourly", "station_daily", "station_hourly", "station_metadata", "aqi_data", "general_data", "unknown"]
+
+
+def _file_name():
+    prefix = F.element_at(F.array(*[F.lit(p) for p in _PREFIXES]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return F.concat(prefix, F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".csv"))
+
+
+_KIND = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END"
+_PREFIX = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_PREFIXES)) + " END"
+
+
+@query("classify_file_type", f"SELECT p_partkey, {_KIND} AS file_type FROM part")
+def classify_file_type(spark, d):
+    return v.table(spark, d, "part").select("p_partkey", standardize.classify_file_type(_file_name()).alias("file_type"))
+
+
+@query("add_provenance", f"""
+    SELECT p_partkey, p_brand AS source_dataset, {_PREFIX} || '_' || cast(p_partkey AS VARCHAR) || '.csv' AS source_file, {_KIND} AS file_type FROM part""")
+def add_provenance(spark, d):
+    return standardize.add_provenance(v.table(spark, d, "part"), "p_brand", _file_name()).select(
+        "p_partkey", "source_dataset", "source_file", "file_type"
+    )
+
+
+def _iaqi(spark, d):
+    """Live rows as nested-measure payloads; the event type decides which measures are present."""
+    f = v.feed(spark, d)
+    value = F.struct(F.col("value").alias("v"))
+
+    def when(*kinds):
+        return F.when(F.col("pollutant").isin(*kinds), value)
+
+    data = F.struct(
+        F.col("value").alias("aqi"),
+        F.when(F.col("event_id") % 3 != 0, F.struct(F.concat(F.lit("st "), F.col("station_id").cast("string")).alias("name"))).alias("city"),
+        F.struct(when("view", "click").alias("pm25"), when("click", "purchase").alias("no2"), when("signup").alias("t")).alias("iaqi"),
+    )
+    status = F.when(F.col("pollutant") == "error", "error").otherwise("ok")
+    return f.select("event_id", "ts", "city", F.to_json(F.struct(status.alias("status"), data.alias("data"))).alias("payload"))
+
+
+@query("parse_feed_iaqi", """
+    SELECT event_id, city, value AS aqi, CASE WHEN pollutant IN ('view', 'click') THEN value ELSE 0 END AS pm25,
+           CASE WHEN pollutant IN ('click', 'purchase') THEN value ELSE 0 END AS no2, CASE WHEN pollutant = 'signup' THEN value ELSE 0 END AS temperature,
+           0.0::DOUBLE AS wind_speed, CASE WHEN event_id % 3 <> 0 THEN 'st ' || cast(station_id AS VARCHAR) ELSE city END AS station, 'waqi' AS source
+    FROM v_feed WHERE pollutant <> 'error'""", ("v_feed",))
+def parse_feed_iaqi(spark, d):
+    out = feeds.parse_feed_iaqi(_iaqi(spark, d))
+    return out.select("event_id", "city", "aqi", "pm25", "no2", "temperature", "wind_speed", "station", "source")
+
+
+@query("parse_feed_components", """
+    SELECT event_id, city, cast(CASE event_id % 7 WHEN 1 THEN 50 WHEN 2 THEN 100 WHEN 3 THEN 150 WHEN 4 THEN 200 WHEN 5 THEN 300 ELSE 150 END AS DOUBLE) AS aqi,
+           value AS pm25, CASE WHEN event_id % 2 = 0 THEN value ELSE 0 END AS o3, 0.0::DOUBLE AS co
+    FROM v_feed WHERE pollutant <> 'error'""", ("v_feed",))
+def parse_feed_components(spark, d):
+    f = v.feed(spark, d)
+    e = F.col("event_id")
+    first = F.struct(
+        F.struct((e % 7).alias("aqi")).alias("main"),
+        F.struct(F.col("value").alias("pm2_5"), F.when(e % 2 == 0, F.col("value")).alias("o3")).alias("components"),
+    )
+    empty = F.expr("cast(array() AS array<struct<main:struct<aqi:bigint>,components:struct<pm2_5:double,o3:double>>>)")
+    items = F.when(F.col("pollutant") == "error", empty).otherwise(F.array(first, first))
+    raw = f.select("event_id", "city", F.to_json(F.struct(items.alias("list"))).alias("payload"))
+    return feeds.parse_feed_components(raw).select("event_id", "city", "aqi", "pm25", "o3", "co")
+
+
+@query("parse_props", """
+    SELECT event_id, coalesce(cast(json_extract(props, '$.k') AS BIGINT), 0) AS k FROM v_feed""", ("v_feed",))
+def parse_props(spark, d):
+    """Single measure out of the feed's JSON column, 0 when absent."""
+    k = F.from_json("props", "k bigint")["k"]
+    return v.feed(spark, d).select("event_id", F.coalesce(k, F.lit(0).cast("bigint")).alias("k"))
+
+
+@query("feed_source_priority", """
+    SELECT station_id, event_id, pollutant AS source, value FROM v_feed WHERE pollutant IN ('view', 'click')
+    QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY CASE pollutant WHEN 'view' THEN 1 ELSE 2 END, ts DESC, event_id DESC) = 1""", ("v_feed",))
+def feed_source_priority(spark, d):
+    f = v.feed(spark, d).select("station_id", "event_id", F.col("pollutant").alias("source"), "ts", "value")
+    return feeds.feed_source_priority(f, ["view", "click"], city="station_id").select("station_id", "event_id", "source", "value")
+
+
+@query("write_performance", f"""
+    SELECT model, 'test' AS scope, metric, {sql_rnd("value")} AS value
+    FROM (UNPIVOT (SELECT model, RMSE, MAE, R2, MSE FROM ({SQL_METRICS})) ON RMSE, MAE, R2, MSE INTO NAME metric VALUE value)""", ("v_city_daily",))
+def write_performance(spark, d):
+    """Half of the metrics written with stale values, merged with the new ones, written and read back."""
+    new = measured(spark, d)
+    old = new.withColumn("value", F.lit(-1.0))
+    path = shared_dir(spark, "performance")
+    sinks.write_performance(sinks.merge_performance(old, new), path)
+    return spark.read.parquet(path).select("model", "scope", "metric", rnd("value").alias("value"))
+
+
+@query("to_json_records", """
+    SELECT l_orderkey, l_linenumber, cast(date AS VARCHAR) AS date, CASE WHEN l_linenumber = 2 THEN NULL ELSE pm25 END AS pm25, 5 AS fields FROM v_readings""",
+       ("v_readings",))
+def to_json_records(spark, d):
+    n = F.col("l_linenumber")
+    rows = v.readings(spark, d).select("l_orderkey", "l_linenumber", "date", F.when(n == 2, float("nan")).otherwise(F.col("pm25")).alias("pm25"), "pm10")
+    j = sinks.to_json_records(rows)
+    back = F.from_json("json", "l_orderkey bigint, l_linenumber int, date string, pm25 double")
+    return j.select(back.alias("r"), F.size(F.json_object_keys("json")).alias("fields")).select("r.*", "fields")

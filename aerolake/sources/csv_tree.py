@@ -25,9 +25,9 @@ def csv_manifest(spark: SparkSession, path: str) -> DataFrame:
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path)
         .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
-                F.col("_metadata.file_block_start").alias("start"))
+                F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
     )
-    first = F.min_by("value", F.struct("start", F.monotonically_increasing_id()))
+    first = F.min_by("value", F.struct("start", "line"))
     return lines.groupBy("file_path", "file_name").agg(
         first.alias("header"),
         F.when(F.bool_and(F.is_valid_utf8("value")), "UTF-8").otherwise(FALLBACK_ENCODING).alias("encoding"),
