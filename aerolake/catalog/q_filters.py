@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from aerolake.catalog import views as v
 from aerolake.catalog.registry import query, rnd, sql_rnd
 from aerolake.operators import cities, compare, daily, forecast, sets, standardize, stations
+from aerolake.plans.joins import settle
 
 KEY = ["l_orderkey", "l_linenumber"]
 
@@ -102,6 +103,7 @@ def valid_status_rows(spark, d):
 def expected_range_check(spark, d):
     rows = v.city_daily(spark, d)
     ranges = rows.groupBy("city").agg((F.avg("aqi") - 60).alias("low"), (F.avg("aqi") + 90).alias("high"))
+    ranges = settle(ranges, "ranges")
     return compare.expected_range_check(rows, ranges, "aqi").select("o_orderkey", "city", "status")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from aerolake.catalog import views as v
 from aerolake.catalog.registry import query, rnd, sql_accuracy, sql_category, sql_day, sql_rnd, sql_season
 from aerolake.operators import forecast
+from aerolake.plans.joins import settle
 from aerolake.streaming import live
 
 
@@ -63,6 +64,8 @@ def stream_latest_city(spark, d):
 def stream_compare(spark, d):
     hist = v.city_history(spark, d)
     table = forecast.predict_simple(forecast.forecast_spine(hist.select("city").distinct(), "2024-01-01", 31), hist)
+    # Written once, so that a micro-batch reads a small file instead of computing the forecast again.
+    table = settle(table, "forecast")
     out = live.run_available(live.stream_compare(_feed(spark, d), table), "compare")
     return out.select("event_id", "city", "date", "predicted_today", "accuracy", "category", "trend")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolake import lookups
 from aerolake.functions.values import lookup_key
-from aerolake.plans.joins import join_dimension
+from aerolake.plans.joins import join_dimension, settle
 
 POLICIES = ("null", "error", "lower", "keep")
 
@@ -69,7 +69,7 @@ def keep_known_cities(df: DataFrame, cities: DataFrame) -> DataFrame:
 
 def encode_city(df: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """Alphabetical integer code per city as ``city_encoded``; unseen cities get 0."""
-    codes = city_codes(df) if codes is None else codes
+    codes = settle(city_codes(df), "city-codes") if codes is None else codes
     joined = join_dimension(df.withColumn("__city", F.coalesce("city", F.lit("Unknown"))),
                             codes.withColumnRenamed("city", "__city"), ["__city"])
     return joined.withColumn("city_encoded", F.coalesce("city_encoded", F.lit(0))).drop("__city")
@@ -77,7 +77,5 @@ def encode_city(df: DataFrame, codes: DataFrame | None = None) -> DataFrame:
 
 def city_codes(df: DataFrame) -> DataFrame:
     """(city, city_encoded) over the distinct cities; the ordered window sees one row per city."""
-    from pyspark.sql import Window
-
     cities = df.select(F.coalesce("city", F.lit("Unknown")).alias("city")).distinct()
     return cities.withColumn("city_encoded", F.row_number().over(Window.orderBy("city")) - 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aerolake import lookups
 from aerolake.functions import aqi as A
 from aerolake.functions.values import prefer
+from aerolake.plans.joins import join_dimension
 
 
 def _offsets(forecast: DataFrame, as_of: str, names: dict[str, int]) -> DataFrame:
@@ -140,7 +141,7 @@ def valid_status_rows(df: DataFrame, zero_is_missing: bool = True) -> DataFrame:
 
 def expected_range_check(df: DataFrame, ranges: DataFrame, value: str = "predicted_aqi") -> DataFrame:
     """Flag values outside their city's plausible range (city, low, high)."""
-    joined = df.join(ranges, "city")
+    joined = join_dimension(df, ranges.select("city", "low", "high"), ["city"], "inner")
     inside = F.col(value).between(F.col("low"), F.col("high"))
     return joined.withColumn("status", F.when(inside, "REASONABLE").otherwise("SUSPICIOUS"))
 

@@ -11,7 +11,7 @@ from aerolake.functions import calendar as C
 from aerolake.functions.values import as_col, clip
 from aerolake.operators.stations import IDENTIFIERS, cascade_identity
 from aerolake.operators.windows import city_daily_mean
-from aerolake.plans.joins import join_dimension
+from aerolake.plans.joins import join_dimension, settle
 
 
 def _day(as_of) -> Column:
@@ -77,7 +77,10 @@ def pattern_forecast(base: Column, date: Column, trend: Column) -> Column:
 def predict_simple(spine: DataFrame, history: DataFrame) -> DataFrame:
     """Pattern forecast per (city, date) of the spine from the city's history."""
     stats = pattern_stats(city_daily_mean(history))
-    joined = join_dimension(spine, stats, ["city"])
+    return _with_pattern(spine.join(stats, "city", "left"))
+
+
+def _with_pattern(joined: DataFrame) -> DataFrame:
     raw = pattern_forecast(
         F.coalesce("base", A.default_city_level("city")), F.col("date"), F.coalesce("trend_factor", F.lit(1.0))
     )
@@ -97,9 +100,10 @@ def predict_with_fallback(
     """
     model = F.when(F.col("model_type") == "auto", F.lit(default_model)).otherwise(F.col("model_type"))
     req = requests.withColumn("model", model)
-    scored = model_predictions.select("city", "date", "model", F.col("model_aqi"))
-    joined = req.join(scored, ["city", "date", "model"], "left")
-    joined = predict_simple(joined, history).withColumnRenamed("predicted_aqi", "simple_aqi").drop("category")
+    scored = model_predictions.select("city", "date", "model", "model_aqi")
+    stats = settle(pattern_stats(city_daily_mean(history)), "pattern-stats")
+    joined = join_dimension(join_dimension(req, scored, ["city", "date", "model"]), stats, ["city"])
+    joined = _with_pattern(joined).withColumnRenamed("predicted_aqi", "simple_aqi").drop("category")
     known = F.col("model").isin(*models, "simple")
     direct = F.when(F.col("model") == "simple", F.col("simple_aqi")).otherwise(F.round("model_aqi", 2))
     emergency = F.round(clip(A.default_city_level("city"), 50, 400), 2)
@@ -121,8 +125,9 @@ def predict_with_fallback(
 def station_statistics(readings: DataFrame, stations: DataFrame, value: str = "aqi") -> DataFrame:
     """Pattern statistics per station id; readings are summed per identifier and day before matching."""
     daily = city_daily_mean(readings, [*IDENTIFIERS], value)
-    ids = cascade_identity(readings, stations)
-    matched = join_dimension(daily, ids.drop("match_rank"), IDENTIFIERS, "inner", null_safe=True)
+    ids = cascade_identity(daily, stations).drop("match_rank").withColumnsRenamed({c: f"__{c}" for c in IDENTIFIERS})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in IDENTIFIERS]
+    matched = daily.join(ids, same[0] & same[1] & same[2])
     per_day = matched.groupBy("request_id", "date").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     per_day = per_day.withColumn(value, F.try_divide(F.col("total"), F.col("n")))
     return pattern_stats(per_day, ["request_id"], value).withColumnRenamed("request_id", "station_id")
@@ -140,7 +145,7 @@ def predict_stations(
     city = pattern_stats(city_daily_mean(history)).select(
         "city", F.col("base").alias("city_base"), F.col("trend_factor").alias("city_trend")
     )
-    joined = join_dimension(join_dimension(spine, station_statistics(readings, stations), ["station_id"]), city, ["city"])
+    joined = spine.join(station_statistics(readings, stations), "station_id", "left").join(city, "city", "left")
     rows = F.coalesce("data_points", F.lit(0))
     own = rows > min_rows
     level = F.coalesce(F.when(own, F.col("base")), F.col("city_base"), A.default_city_level("city"))
@@ -177,7 +182,7 @@ def city_rollup_of_stations(predictions: DataFrame) -> DataFrame:
 
 def station_fallback(stations: DataFrame, averages: DataFrame) -> DataFrame:
     """City mean plus the station's class offset, clamped to [0, 500], for stations that could not be scored."""
-    joined = join_dimension(stations, averages.select("city", "mean_aqi"), ["city"])
+    joined = stations.join(averages.select("city", "mean_aqi"), "city", "left")
     offset = A.station_class_adjustment("station_name")
     raw = clip(F.coalesce("mean_aqi", A.default_city_level("city")) + offset, 0, 500)
     return joined.select(
@@ -193,9 +198,9 @@ def scoring_features(spine: DataFrame, latest: DataFrame, features: list[str], c
     """
     calendar = {**C.calendar_fields("date"), **C.cyclical_fields("date")}
     measured = [f for f in features if f not in calendar and f != "city_encoded" and f in latest.columns]
-    joined = join_dimension(spine, latest.select("city", *[F.col(f).alias(f"__m_{f}") for f in measured]), ["city"])
+    joined = spine.join(latest.select("city", *[F.col(f).alias(f"__m_{f}") for f in measured]), "city", "left")
     if codes is not None:
-        joined = join_dimension(joined, codes, ["city"])
+        joined = joined.join(codes, "city", "left")
     cols = []
     for f in features:
         if f in calendar:

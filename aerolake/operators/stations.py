@@ -7,12 +7,11 @@ tuple.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.operators.sets import dedupe_keep_first
-from aerolake.plans.joins import join_dimension
+from aerolake.plans.joins import join_dimension, settle
 
 IDENTIFIERS = ["station_id", "station", "station_name"]
 
@@ -77,12 +76,12 @@ def any_identity(readings: DataFrame, requests: DataFrame) -> DataFrame:
 
 def match_station_any(readings: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows of each requested station, matched on any of the three identifiers."""
-    return join_dimension(readings, any_identity(readings, requests), ["city", *IDENTIFIERS], "inner", null_safe=True)
+    return join_dimension(readings, settle(any_identity(readings, requests), "station-match"), ["city", *IDENTIFIERS], "inner", null_safe=True)
 
 
 def cascade_identity(readings: DataFrame, requests: DataFrame) -> DataFrame:
     """(identifiers, request_id, match_rank): id first, then name, then the station column."""
-    ids = _identities(readings, [])
+    ids = settle(_identities(readings, []), "station-identities")
     req = requests.select(F.col("station_id").alias("request_id"), F.col("station_name").alias("request_name")).distinct()
     steps = [("station_id", "request_id"), ("station_name", "request_name"), ("station", "request_name")]
     found = None
@@ -95,4 +94,4 @@ def cascade_identity(readings: DataFrame, requests: DataFrame) -> DataFrame:
 
 def match_station_cascade(readings: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows of each requested station by the first identifier that matches anything."""
-    return join_dimension(readings, cascade_identity(readings, requests), IDENTIFIERS, "inner", null_safe=True)
+    return join_dimension(readings, settle(cascade_identity(readings, requests), "station-match"), IDENTIFIERS, "inner", null_safe=True)

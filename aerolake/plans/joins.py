@@ -1,7 +1,8 @@
 """Joins of large tables with dimensions.
 
 A dimension is broadcast only after its row count was checked against a
-bound. Beyond the bound the dimension is repeated over a few salt values and
+bound. Two tables that both have one row per city or station are joined
+plainly; Spark then decides by their measured sizes. Beyond the bound the dimension is repeated over a few salt values and
 the large side gets one salt per row, so that a key holding a large share of
 the rows is spread over ``salts`` tasks.
 """
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolake.session import shared_dir
+
 BROADCAST_ROWS = 200_000
 SALTS = 32
 
@@ -27,6 +30,17 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1).alias("one")).limit(max_rows + 1).count() <= max_rows
 
 
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a small derived table to the shared folder and read it back.
+
+    For a table that is computed from many rows but has few, and that is then
+    both checked and joined: it is computed once, and its size is known to the planner.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_dimension(
     rows: DataFrame,
     dim: DataFrame,

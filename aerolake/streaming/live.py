@@ -63,7 +63,8 @@ def stream_latest_city(events: DataFrame, keys: list[str] = ("city",), ts: str =
 def stream_compare(live: DataFrame, forecast: DataFrame, value: str = "value", ts: str = "ts") -> DataFrame:
     """Live rows with the forecast of their day, accuracy, category and trend.
 
-    The forecast is a static table of cities and a few days; Spark picks the join by its size.
+    The forecast is a static table of cities and a few days, read again by every
+    micro-batch: pass a written table, not a computation over the history.
     """
     day = F.to_date(ts)
     days = forecast.select("city", F.col("date").alias("__day"), F.col("predicted_aqi").alias("predicted_today"))
