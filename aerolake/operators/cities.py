@@ -41,7 +41,7 @@ def normalize_city(
     if keep_original and "city_original" not in df.columns:
         df = df.withColumn("city_original", raw)
     dim = aliases.select(lookup_key("alias").alias("__alias"), "canonical").dropDuplicates(["__alias"])
-    joined = join_dimension(df.withColumn("__alias", lookup_key(column)), dim, ["__alias"])
+    joined = join_dimension(df.withColumn("__alias", lookup_key(column)), dim, ["__alias"], bound=aliases)
     found = F.col("canonical")
     name = {
         "null": found,
@@ -64,7 +64,7 @@ def unmapped_cities(df: DataFrame, aliases: DataFrame, column: str = "city") ->
 
 def keep_known_cities(df: DataFrame, cities: DataFrame) -> DataFrame:
     """Rows whose city is in ``cities``."""
-    return join_dimension(df, cities.select("city").distinct(), ["city"], "left_semi")
+    return join_dimension(df, cities.select("city").distinct(), ["city"], "left_semi", bound=cities)
 
 
 def encode_city(df: DataFrame, codes: DataFrame | None = None) -> DataFrame:

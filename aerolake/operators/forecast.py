@@ -9,7 +9,7 @@ from aerolake import lookups
 from aerolake.functions import aqi as A
 from aerolake.functions import calendar as C
 from aerolake.functions.values import as_col, clip
-from aerolake.operators.stations import IDENTIFIERS, cascade_identity
+from aerolake.operators.stations import IDENTIFIERS
 from aerolake.operators.windows import city_daily_mean
 from aerolake.plans.joins import join_dimension, settle
 
@@ -123,12 +123,26 @@ def predict_with_fallback(
 
 
 def station_statistics(readings: DataFrame, stations: DataFrame, value: str = "aqi") -> DataFrame:
-    """Pattern statistics per station id; readings are summed per identifier and day before matching."""
-    daily = city_daily_mean(readings, [*IDENTIFIERS], value)
-    ids = cascade_identity(daily, stations).drop("match_rank").withColumnsRenamed({c: f"__{c}" for c in IDENTIFIERS})
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in IDENTIFIERS]
-    matched = daily.join(ids, same[0] & same[1] & same[2])
-    per_day = matched.groupBy("request_id", "date").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    """Pattern statistics per station, matched by id, else by name, else by the station column.
+
+    Readings are summed per identifier and day first. Each sum is offered
+    under its three identifiers, and a station keeps those of the best kind
+    that matched, so the readings are scanned once and one equi-join remains.
+    """
+    daily = city_daily_mean(readings, [*IDENTIFIERS], value).drop(value)
+
+    def keyed(kinds: list[tuple[int, str]]) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in kinds])).alias("k")
+
+    offered = daily.select("date", "total", "n", keyed([(1, "station_id"), (2, "station_name"), (3, "station")]))
+    wanted = stations.select(F.col("station_id").alias("request_id"), F.col("station_name").alias("request_name")).distinct()
+    wanted = wanted.select("request_id", keyed([(1, "request_id"), (2, "request_name"), (3, "request_name")]))
+    found = offered.select("date", "total", "n", "k.*").filter("key IS NOT NULL").join(
+        wanted.select("request_id", "k.*"), ["kind", "key"]
+    )
+    best = F.min("kind").over(Window.partitionBy("request_id"))
+    found = found.withColumn("__best", best).filter(F.col("kind") == F.col("__best"))
+    per_day = found.groupBy("request_id", "date").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     per_day = per_day.withColumn(value, F.try_divide(F.col("total"), F.col("n")))
     return pattern_stats(per_day, ["request_id"], value).withColumnRenamed("request_id", "station_id")
 
@@ -162,7 +176,32 @@ def predict_stations(
         F.when(at_city, "city_fallback").when(own, "station_specific_data")
         .otherwise("city_level_data_with_station_context").alias("source"),
     )
-    return out.unionByName(city_rollup_of_stations(out), allowMissingColumns=True)
+    return with_city_rollup(out)
+
+
+def with_city_rollup(predictions: DataFrame) -> DataFrame:
+    """Station forecasts and their city rows from one aggregation over two grouping sets.
+
+    A union with the roll-up would compute the forecasts twice.
+    """
+    leaf = predictions.columns
+    value = F.when(F.col("prediction_type") == "station_level", F.col("predicted_aqi"))
+    both = predictions.groupingSets([leaf, ["city", "date"]], *leaf).agg(
+        F.avg(value).alias("__mean"), F.min(value).alias("min_station_aqi"), F.max(value).alias("max_station_aqi"),
+        F.count(value).alias("stations_count"), F.grouping("station_id").alias("__city"),
+    )
+    city = F.col("__city") == 1
+    fixed = {
+        "station_id": F.lit("CITY_AVG"), "station_name": F.lit("City Average"), "prediction_type": F.lit("city_level"),
+        "predicted_aqi": F.round("__mean", 2), "category": A.aqi_category("__mean"), "model_used": F.lit("city_average"),
+        "source": F.lit("station_aggregation"),
+    }
+    out = both.filter(~city | (F.col("stations_count") > 0))
+    return out.select(
+        *[F.when(city, fixed[c]).otherwise(F.col(c)).alias(c) if c in fixed else F.col(c) for c in leaf],
+        *[F.when(city, F.round(c, 2)).alias(c) for c in ("min_station_aqi", "max_station_aqi")],
+        F.when(city, F.col("stations_count")).alias("stations_count"),
+    )
 
 
 def city_rollup_of_stations(predictions: DataFrame) -> DataFrame:

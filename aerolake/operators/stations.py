@@ -31,7 +31,9 @@ def enrich_station_metadata(readings: DataFrame, stations: DataFrame, order: lis
     wanted = [c for c in ("city", "state", "station_name") if c in stations.columns]
     dim = dedupe_keep_first(stations, ["station_id"], order).select("station_id", *wanted)
     both = [c for c in wanted if c in readings.columns]
-    out = join_dimension(readings, dim.withColumnsRenamed({c: f"{c}_meta" for c in both}), ["station_id"], null_safe=null_safe)
+    out = join_dimension(
+        readings, dim.withColumnsRenamed({c: f"{c}_meta" for c in both}), ["station_id"], null_safe=null_safe, bound=stations
+    )
     if "city" in both:
         out = out.withColumn("city", F.coalesce("city", "city_meta")).drop("city_meta")
     return out

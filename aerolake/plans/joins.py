@@ -49,10 +49,12 @@ def join_dimension(
     null_safe: bool = False,
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` with a dimension on equally named keys; the keys are kept once.
 
     ``how`` is left, inner, left_semi or left_anti. With ``null_safe`` null keys match null keys.
+    ``bound`` is a table with at least as many rows that is cheaper to count than ``dim``.
     """
     keys = {k: f"__dim_{k}" for k in on}
     right = dim.withColumnsRenamed(keys)
@@ -60,7 +62,7 @@ def join_dimension(
     for k, renamed in keys.items():
         test = F.col(k).eqNullSafe(F.col(renamed)) if null_safe else F.col(k) == F.col(renamed)
         condition = test if condition is None else condition & test
-    if is_small(dim, max_rows):
+    if is_small(dim if bound is None else bound, max_rows):
         return rows.join(F.broadcast(right), condition, how).drop(*keys.values())
     # The salt depends on the row's own values only, so a re-run task repeats it.
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)))
