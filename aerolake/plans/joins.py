@@ -64,8 +64,11 @@ def join_dimension(
         condition = test if condition is None else condition & test
     if is_small(dim if bound is None else bound, max_rows):
         return rows.join(F.broadcast(right), condition, how).drop(*keys.values())
-    # The salt depends on the row's own values only, so a re-run task repeats it.
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)))
-    right = right.withColumn("__dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    # The salt depends on the row and its input partition only, so a re-run task repeats it, and
+    # copies of one row from different partitions still get different salts.
+    row = [F.col(f"`{c}`") for c in rows.columns]
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*row, F.spark_partition_id()), F.lit(salts).cast("bigint")))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    right = right.withColumn("__dim_salt", F.explode(every))
     joined = salted.join(right, condition & (F.col("__salt") == F.col("__dim_salt")), how)
     return joined.drop("__salt", "__dim_salt", *keys.values())

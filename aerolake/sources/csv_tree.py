@@ -45,29 +45,25 @@ def _names(header: str) -> list[str]:
     return out
 
 
-def scan_csv_tree(spark: SparkSession, path: str, dataset: str, manifest: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Text columns of all CSV files below ``path``, as one frame per file type.
+def scan_csv_tree(spark: SparkSession, path: str, dataset: str, manifest: DataFrame | None = None) -> dict[str, list[DataFrame]]:
+    """Text columns of all CSV files below ``path``: file type -> one frame per header and encoding.
 
-    Files are read in groups of equal header and encoding, because a CSV read
-    maps columns by position; the groups are united by name. Files without
-    data rows are skipped. Only the list of files reaches the driver.
+    A CSV read maps columns by position, so only files of equal header are
+    read together; frames of one type differ in columns and are united by
+    name after standardisation. Files without data rows are skipped. Only the
+    list of files reaches the driver.
     """
     files = (csv_manifest(spark, path) if manifest is None else manifest).filter("lines > 1").collect()
-    groups: dict[tuple[str, str], list[str]] = defaultdict(list)
+    groups: dict[tuple[str, str, str], list[str]] = defaultdict(list)
     for f in files:
-        groups[(f["header"], f["encoding"])].append(f["file_path"])
-    out: DataFrame | None = None
-    for (header, encoding), paths in sorted(groups.items()):
+        groups[(classify(f["file_name"]), f["header"], f["encoding"])].append(f["file_path"])
+    out: dict[str, list[DataFrame]] = {}
+    for (kind, header, encoding), paths in sorted(groups.items()):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in _names(header)])
-        raw = spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").option("encoding", encoding).csv(paths)
-        part = raw.select(*[_missing(c).alias(c) for c in schema.names], F.col("_metadata.file_name").alias("source_file"))
-        part = add_provenance(part, F.lit(dataset), "source_file")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        return {}
-    kinds = {f["file_name"] for f in files}
-    present = {classify(name) for name in kinds}
-    return {kind: out.filter(F.col("file_type") == kind) for kind in sorted(present)}
+        raw = spark.read.schema(schema).option("header", "true").option("encoding", encoding).csv(sorted(paths))
+        named = raw.select(*[_missing(c).alias(c) for c in schema.names], F.col("_metadata.file_name").alias("source_file"))
+        out.setdefault(kind, []).append(add_provenance(named, F.lit(dataset), "source_file"))
+    return out
 
 
 def classify(name: str) -> str:
