@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from aerolake.catalog import views as v
 from aerolake.catalog.registry import query, rnd, sql_rnd
 from aerolake.operators import cities, compare, daily, forecast, sets, standardize, stations
-from aerolake.plans.joins import settle
+from aerolake.plans.joins import join_dimension, settle
 
 KEY = ["l_orderkey", "l_linenumber"]
 
@@ -53,19 +53,22 @@ def station_match_any(spark, d):
     return out.select("request_station", "city", "l_orderkey", "l_linenumber", "aqi")
 
 
-_CASCADE = """
-    WITH m AS (
-        SELECT r.station_id AS request_id, i.*, CASE WHEN i.station_id = r.station_id THEN 1 WHEN i.station_name = r.station_name THEN 2
-               WHEN i.station = r.station_name THEN 3 END AS match_rank
-        FROM v_identified i JOIN v_requests r
-          ON i.station_id = r.station_id OR i.station_name = r.station_name OR i.station = r.station_name)
-    SELECT request_id, match_rank, l_orderkey, l_linenumber, aqi
-    FROM (SELECT *, min(match_rank) OVER (PARTITION BY request_id) AS best FROM m) WHERE match_rank = best"""
+_MATCH = """
+    SELECT r.station_id AS request_id, r.station_name AS request_name, i.*,
+           CASE WHEN i.station_id = r.station_id THEN 1 WHEN i.station_name = r.station_name THEN 2 WHEN i.station = r.station_name THEN 3 END AS match_rank
+    FROM v_identified i JOIN v_requests r
+      ON i.station_id = r.station_id OR i.station_name = r.station_name OR i.station = r.station_name"""
 
 
-@query("station_match_cascade", _CASCADE, ("v_identified", "v_requests"))
+@query("station_match_cascade", f"""
+    WITH m AS ({_MATCH})
+    SELECT request_id, match_rank, l_orderkey, l_linenumber, aqi
+    FROM (SELECT *, min(match_rank) OVER (PARTITION BY request_id) AS best FROM m) WHERE match_rank = best""", ("v_identified", "v_requests"))
 def station_match_cascade(spark, d):
-    out = stations.match_station_cascade(v.identified_readings(spark, d), v.station_requests(spark, d))
+    rows, keys = stations.match_station_cascade(v.identified_readings(spark, d), v.station_requests(spark, d))
+    # Names are unique in the requests, so putting the requests back repeats no row.
+    per_request = keys.select(F.col("station_id").alias("request_id"), F.col("match_rank"), "match_key")
+    out = join_dimension(rows, per_request, ["match_rank", "match_key"], "inner")
     return out.select("request_id", "match_rank", "l_orderkey", "l_linenumber", "aqi")
 
 

@@ -110,15 +110,20 @@ def _usable(c: Column) -> Column:
 def merge_prefer_newer(left: DataFrame, right: DataFrame) -> DataFrame:
     """Union of two city lists; the right row wins if it has a value and the left one lacks it or is older.
 
-    Both hold (city, aqi, timestamp, ...) with one row per city; cities compare in lower case.
+    Both hold (city, aqi, timestamp, ...); cities compare in lower case, and of
+    several rows of one city on one side the newest counts.
     """
     cols = left.columns
-    l = left.select(F.lower("city").alias("__key"), F.struct(*cols).alias("l"))
-    r = right.select(F.lower("city").alias("__key"), F.struct(*cols).alias("r"))
-    both = l.join(r, "__key", "full_outer")
+    both = left.withColumn("__side", F.lit(0)).unionByName(right.select(*cols).withColumn("__side", F.lit(1)))
+    row, order = F.struct(*cols), F.struct("timestamp", "aqi", "city")
+
+    def newest(side: int) -> Column:
+        return F.max_by(row, F.when(F.col("__side") == side, order))
+
+    merged = both.groupBy(F.lower("city").alias("__key")).agg(newest(0).alias("l"), newest(1).alias("r"))
     newer = _usable(F.col("r.aqi")) & (~_usable(F.col("l.aqi")) | (F.col("r.timestamp") > F.col("l.timestamp")))
     take_right = F.col("l").isNull() | F.coalesce(newer, F.lit(False))
-    return both.select(F.when(take_right, F.col("r")).otherwise(F.col("l")).alias("row")).select("row.*")
+    return merged.select(F.when(take_right, F.col("r")).otherwise(F.col("l")).alias("row")).select("row.*")
 
 
 def merge_prefer_source(direct: DataFrame, context: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from aerolake import lookups
 from aerolake.functions import aqi as A
 from aerolake.functions import calendar as C
 from aerolake.functions.values import as_col, clip
-from aerolake.operators.stations import IDENTIFIERS
+from aerolake.operators.stations import IDENTIFIERS, offered_keys
 from aerolake.operators.windows import city_daily_mean
 from aerolake.plans.joins import join_dimension, settle
 
@@ -27,12 +27,14 @@ def forecast_spine(cities: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 def station_spine(cities: DataFrame, stations: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """One row per city, station and day; a city without stations gets one ``CITY_AVG`` row per day."""
-    named = cities.join(stations.select("city", "station_id", "station_name"), "city", "left")
-    named = named.withColumns({
-        "station_name": F.when(F.col("station_id").isNull(), "City Average").otherwise(F.col("station_name")),
-        "prediction_type": F.when(F.col("station_id").isNull(), "city_level").otherwise("station_level"),
-        "station_id": F.coalesce("station_id", F.lit("CITY_AVG")),
-    })
+    asked = cities.select("city").distinct()
+    named = join_dimension(stations.select("city", "station_id", "station_name"), asked, ["city"], "inner", bound=cities)
+    named = named.withColumn("prediction_type", F.lit("station_level"))
+    bare = asked.join(stations.select("city").distinct(), "city", "left_anti").select(
+        "city", F.lit("CITY_AVG").alias("station_id"), F.lit("City Average").alias("station_name"),
+        F.lit("city_level").alias("prediction_type"),
+    )
+    named = named.unionByName(bare)
     out = named.withColumn("day_offset", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
     return out.withColumn("date", F.date_add(_day(as_of), F.col("day_offset")))
 
@@ -125,26 +127,19 @@ def predict_with_fallback(
 def station_statistics(readings: DataFrame, stations: DataFrame, value: str = "aqi") -> DataFrame:
     """Pattern statistics per station, matched by id, else by name, else by the station column.
 
-    Readings are summed per identifier and day first. Each sum is offered
-    under its three identifiers, and a station keeps those of the best kind
-    that matched, so the readings are scanned once and one equi-join remains.
+    Readings are summed per identifier and day, the sums are offered under each
+    identifier and reduced to one row of statistics per identifier; a station
+    then takes the row of its first identifier that has one.
     """
-    daily = city_daily_mean(readings, [*IDENTIFIERS], value).drop(value)
-
-    def keyed(kinds: list[tuple[int, str]]) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in kinds])).alias("k")
-
-    offered = daily.select("date", "total", "n", keyed([(1, "station_id"), (2, "station_name"), (3, "station")]))
-    wanted = stations.select(F.col("station_id").alias("request_id"), F.col("station_name").alias("request_name")).distinct()
-    wanted = wanted.select("request_id", keyed([(1, "request_id"), (2, "request_name"), (3, "request_name")]))
-    found = offered.select("date", "total", "n", "k.*").filter("key IS NOT NULL").join(
-        wanted.select("request_id", "k.*"), ["kind", "key"]
-    )
-    best = F.min("kind").over(Window.partitionBy("request_id"))
-    found = found.withColumn("__best", best).filter(F.col("kind") == F.col("__best"))
-    per_day = found.groupBy("request_id", "date").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    daily = city_daily_mean(readings, [*IDENTIFIERS], value)
+    offered = daily.select("date", "total", "n", offered_keys(1)).select("date", "total", "n", "offer.*")
+    per_day = offered.groupBy("match_rank", "match_key", "date").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     per_day = per_day.withColumn(value, F.try_divide(F.col("total"), F.col("n")))
-    return pattern_stats(per_day, ["request_id"], value).withColumnRenamed("request_id", "station_id")
+    stats = pattern_stats(per_day, ["match_rank", "match_key"], value)
+    wanted = stations.select(F.col("station_id").alias("request_id"), offered_keys(2)).select("request_id", "offer.*")
+    found = wanted.join(stats, ["match_rank", "match_key"])
+    best = F.min_by(F.struct("base", "data_points", "trend_factor"), F.struct("match_rank", "match_key")).alias("best")
+    return found.groupBy(F.col("request_id").alias("station_id")).agg(best).select("station_id", "best.*")
 
 
 def predict_stations(

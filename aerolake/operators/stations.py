@@ -1,13 +1,12 @@
 """Station metadata: enrichment, valid stations and identifier matching.
 
-Matching works on the distinct identifier tuples of the readings, which are
-as many as there are stations; rows are touched once, by an equi-join on the
-tuple.
+A row is offered under each of its identifiers and matched by one equi-join on
+the identifier, which replaces a join condition with OR.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.operators.sets import dedupe_keep_first
@@ -65,35 +64,43 @@ def valid_stations(stations: DataFrame) -> DataFrame:
     return out.filter(F.col("station_name").isNotNull() & ~bad)
 
 
-def _identities(readings: DataFrame, extra: list[str]) -> DataFrame:
-    return readings.select(*extra, *IDENTIFIERS).distinct()
+def match_station_any(readings: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows of each requested (city, request_station), matched on any of the three identifiers.
 
+    A row is offered once under each of its distinct identifiers, which leaves one equi-join.
+    """
+    offered = readings.withColumn("request_station", F.explode(F.array_distinct(F.array_compact(F.array(*IDENTIFIERS)))))
+    wanted = requests.select("city", "request_station").distinct()
+    return join_dimension(offered, wanted, ["city", "request_station"], "inner", bound=requests)
 
-def any_identity(readings: DataFrame, requests: DataFrame) -> DataFrame:
-    """(city, identifiers, request_station) for requests equal to any identifier within the city."""
-    ids = _identities(readings, ["city"])
-    long = ids.withColumn("request_station", F.explode(F.array_distinct(F.array_compact(F.array(*IDENTIFIERS)))))
-    return long.join(requests.select("city", "request_station").distinct(), ["city", "request_station"])
 
+# Order in which identifiers are tried: the reading's column and the request's column.
+CASCADE = [(1, "station_id", "station_id"), (2, "station_name", "station_name"), (3, "station", "station_name")]
 
-def match_station_any(readings: DataFrame, requests: DataFrame) -> DataFrame:
-    """Rows of each requested station, matched on any of the three identifiers."""
-    return join_dimension(readings, settle(any_identity(readings, requests), "station-match"), ["city", *IDENTIFIERS], "inner", null_safe=True)
-
-
-def cascade_identity(readings: DataFrame, requests: DataFrame) -> DataFrame:
-    """(identifiers, request_id, match_rank): id first, then name, then the station column."""
-    ids = settle(_identities(readings, []), "station-identities")
-    req = requests.select(F.col("station_id").alias("request_id"), F.col("station_name").alias("request_name")).distinct()
-    steps = [("station_id", "request_id"), ("station_name", "request_name"), ("station", "request_name")]
-    found = None
-    for rank, (mine, theirs) in enumerate(steps, start=1):
-        part = ids.join(req, F.col(mine) == F.col(theirs)).select(*IDENTIFIERS, "request_id", F.lit(rank).alias("match_rank"))
-        found = part if found is None else found.union(part)
-    best = F.min("match_rank").over(Window.partitionBy("request_id"))
-    return found.withColumn("__best", best).filter("match_rank = __best").drop("__best")
-
-
-def match_station_cascade(readings: DataFrame, requests: DataFrame) -> DataFrame:
-    """Rows of each requested station by the first identifier that matches anything."""
-    return join_dimension(readings, settle(cascade_identity(readings, requests), "station-match"), IDENTIFIERS, "inner", null_safe=True)
+
+def offered_keys(side: int) -> Column:
+    """One (match_rank, match_key) per identifier, of readings (side 1) or requests (side 2)."""
+    pairs = [F.struct(F.lit(step[0]).alias("match_rank"), F.col(step[side]).alias("match_key")) for step in CASCADE]
+    return F.explode(F.filter(F.array(*pairs), lambda p: p["match_key"].isNotNull())).alias("offer")
+
+
+def cascade_keys(present: DataFrame, requests: DataFrame) -> DataFrame:
+    """(station_id, match_rank, match_key): the first identifier of each request among the present keys."""
+    wanted = requests.select(F.col("station_id").alias("request_id"), offered_keys(2)).select("request_id", "offer.*")
+    found = wanted.join(present.select("match_rank", "match_key"), ["match_rank", "match_key"])
+    best = F.min(F.struct("match_rank", "match_key")).alias("best")
+    return found.groupBy(F.col("request_id").alias("station_id")).agg(best).select("station_id", "best.*")
+
+
+def match_station_cascade(readings: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Match by id, else by name, else by the station column.
+
+    Returns (rows tagged with match_rank and match_key, request -> key).
+    Requests that share a name share its rows, so the rows are not repeated per request.
+    """
+    ids = readings.select(*IDENTIFIERS).distinct()
+    present = settle(ids.select(offered_keys(1)).select("offer.*").distinct(), "station-keys")
+    keys = settle(cascade_keys(present, requests), "station-requests")
+    offered = readings.select("*", offered_keys(1)).select(*readings.columns, "offer.*")
+    chosen = keys.select("match_rank", "match_key").distinct()
+    return join_dimension(offered, chosen, ["match_rank", "match_key"], "inner", bound=keys), keys

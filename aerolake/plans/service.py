@@ -38,13 +38,13 @@ class AirQuality:
 
     def _requested(self, names: list[str] | None) -> DataFrame:
         if names is None:
-            return self.history.select("city").distinct()
+            return cities.canonical_cities(self.aliases)
         spark = self.history.sparkSession
         asked = spark.createDataFrame([(n,) for n in names], "city string")
         return cities.normalize_city(asked, self.aliases, policy="error", keep_original=False).distinct()
 
     def current(self) -> DataFrame:
-        newest = latest_row(self.live, ["city"], ["ts"])
+        newest = latest_row(self.live, ["city"], ["ts", "aqi"])
         return newest.withColumnRenamed("aqi", "current_aqi")
 
     def _forecast(self, as_of: str, days: int, names: list[str] | None = None) -> DataFrame:

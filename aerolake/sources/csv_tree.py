@@ -27,7 +27,9 @@ def csv_manifest(spark: SparkSession, path: str) -> DataFrame:
         .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
                 F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
     )
-    first = F.min_by("value", F.struct("start", "line"))
+    # Only the first split of a file can hold its header; other lines are not carried along.
+    at_start = F.col("start") == 0
+    first = F.min_by(F.when(at_start, F.col("value")), F.when(at_start, F.col("line")))
     return lines.groupBy("file_path", "file_name").agg(
         first.alias("header"),
         F.when(F.bool_and(F.is_valid_utf8("value")), "UTF-8").otherwise(FALLBACK_ENCODING).alias("encoding"),
