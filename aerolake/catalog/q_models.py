@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -29,11 +30,26 @@ def train_linear(spark, d):
     return _score_line(models.train_model(rows, ["pm25"], "label", LinearRegression()), rows)
 
 
-@query("save_load_model", _OLS, ("v_readings",))
-def save_load_model(spark, d):
-    """A fitted model written to the shared folder, read back and used for scoring."""
+def _stored(spark, d):
     rows = v.readings(spark, d).select(*KEY, "pm25", "label")
-    path = sinks.save_model(models.train_model(rows, ["pm25"], "label", LinearRegression()), shared_dir(spark, "model"))
+    return rows, sinks.save_model(models.train_model(rows, ["pm25"], "label", LinearRegression()), shared_dir(spark, "model"))
+
+
+@query("save_model", """
+    SELECT round(regr_intercept(label, pm25), 6) + 0.0 AS intercept, round(regr_slope(label, pm25), 6) + 0.0 AS slope FROM v_readings""", ("v_readings",))
+def save_model(spark, d):
+    """The stored files of a fitted model, read as a plain table."""
+    _, path = _stored(spark, d)
+    parts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{path}/stages")
+    return parts.filter("coefficients IS NOT NULL").select(
+        rnd("intercept").alias("intercept"), rnd(vector_to_array("coefficients")[0]).alias("slope")
+    )
+
+
+@query("load_model", _OLS, ("v_readings",))
+def load_model(spark, d):
+    """A fitted model written to the shared folder, read back and used for scoring."""
+    rows, path = _stored(spark, d)
     return _score_line(sinks.load_model(path), rows)
 
 

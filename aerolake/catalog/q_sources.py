@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from aerolake.catalog import views as v
 from aerolake.catalog.q_joins import SQL_METRICS, measured
-from aerolake.catalog.registry import query, rnd, sql_rnd
+from aerolake.catalog.registry import query, rnd, sql_category, sql_rnd
 from aerolake.operators import standardize
+from aerolake.plans import ingestion
 from aerolake.session import shared_dir
 from aerolake.sources import csv_tree, feeds, sinks
 
@@ -163,3 +164,53 @@ def to_json_records(spark, d):
     j = sinks.to_json_records(rows)
     back = F.from_json("json", "l_orderkey bigint, l_linenumber int, date string, pm25 double")
     return j.select(back.alias("r"), F.size(F.json_object_keys("json")).alias("fields")).select("r.*", "fields")
+
+
+# ---- flows ---------------------------------------------------------------------------------
+
+_ENHANCED = """
+    SELECT a.canonical AS city, r.station_id AS station, r.date, avg(r.pm25) AS pm25, avg(r.pm10) AS pm10, avg(r.aqi) AS aqi
+    FROM (SELECT *, 'nation_' || cast(cast(station_id AS BIGINT) % 25 AS VARCHAR) AS alias FROM v_readings) r JOIN v_city_alias a USING (alias)
+    WHERE r.date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' GROUP BY a.canonical, r.station_id, r.date"""
+
+
+def _enhanced(spark, d):
+    k = F.col("station_id").cast("bigint")
+    rows = v.readings(spark, d).select(
+        F.concat(F.lit(" NATION_"), (k % 25).cast("string")).alias("city"), F.col("station_id").alias("station"), "date", "pm25", "pm10", "aqi",
+        F.col("source_dataset"), "source_file", F.col("dt").cast("timestamp").alias("datetime"),
+    )
+    return ingestion.enhance(rows, v.city_alias(spark, d), "1996-01-01", "2000-12-31")
+
+
+@query("enhance_readings", f"""
+    SELECT city, station, date, {sql_rnd("pm25", 7)} AS pm25, {sql_rnd("pm10", 7)} AS pm10, {sql_rnd("aqi", 7)} AS aqi FROM ({_ENHANCED})""",
+       ("v_readings", "v_city_alias"))
+def enhance_readings(spark, d):
+    """Canonical cities, known cities, date range and daily means in one flow."""
+    return _enhanced(spark, d).select("city", "station", "date", *[rnd(c, 7).alias(c) for c in ("pm25", "pm10", "aqi")])
+
+
+_CAP = " , ".join(
+    f"(SELECT quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3 FROM e) b_{c}" for c in ("pm25", "aqi")
+)
+
+
+def _capped(c: str) -> str:
+    return (
+        f"CASE WHEN {c} < {c}_q1 - 1.5 * ({c}_q3 - {c}_q1) THEN {c}_q1 - 1.5 * ({c}_q3 - {c}_q1) "
+        f"WHEN {c} > {c}_q3 + 1.5 * ({c}_q3 - {c}_q1) THEN {c}_q3 + 1.5 * ({c}_q3 - {c}_q1) ELSE {c} END"
+    )
+
+
+@query("preprocess_readings", f"""
+    WITH e AS ({_ENHANCED})
+    SELECT city, station, date, {sql_rnd(_capped("pm25"), 7)} AS pm25, {sql_rnd(_capped("aqi"), 7)} AS aqi, {sql_category("aqi")} AS aqi_category,
+           {sql_rnd("coalesce(pm25 / (pm10 + 0.000001::DOUBLE), 0.5)")} AS pm_ratio, {sql_rnd("sin(2 * pi() * month(date) / 12)")} AS month_sin,
+           cast(month(date) IN (11,12,1,2) AS DOUBLE) AS is_winter
+    FROM e, {_CAP}""", ("v_readings", "v_city_alias"))
+def preprocess_readings(spark, d):
+    """The daily table with features, capped outliers and clean categories."""
+    out = ingestion.preprocess(_enhanced(spark, d))
+    return out.select("city", "station", "date", rnd("pm25", 7).alias("pm25"), rnd("aqi", 7).alias("aqi"), "aqi_category",
+                      rnd("pm_ratio").alias("pm_ratio"), rnd("month_sin").alias("month_sin"), "is_winter")

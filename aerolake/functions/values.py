@@ -30,13 +30,20 @@ def to_number(c: ColumnOrName) -> Column:
     return nan_to_null(as_col(c).try_cast("double"))
 
 
-def to_timestamp(c: ColumnOrName) -> Column:
-    """Text to timestamp; unparsable text becomes null."""
-    return as_col(c).try_cast("timestamp")
+# Date formats tried after ISO text, month first.
+DATE_FORMATS = ("yyyy/M/d[ H:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]")
 
 
-def to_date(c: ColumnOrName) -> Column:
-    return as_col(c).try_cast("timestamp").cast("date")
+def to_timestamp(c: ColumnOrName, formats: Iterable[str] = DATE_FORMATS) -> Column:
+    """Text to timestamp, ISO first and then ``formats``; unparsable text becomes null."""
+    c = as_col(c)
+    iso = c.try_cast("timestamp")
+    text = c.cast("string")
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+def to_date(c: ColumnOrName, formats: Iterable[str] = DATE_FORMATS) -> Column:
+    return to_timestamp(c, formats).cast("date")
 
 
 def blank_to_null(c: ColumnOrName) -> Column:

@@ -54,7 +54,7 @@ def default_performance(spark) -> DataFrame:
 def merge_performance_defaults(measured: DataFrame, spark=None) -> DataFrame:
     """Measured (model, metric, value) rows, completed by the assumed ones."""
     defaults = default_performance(spark or measured.sparkSession)
-    joined = measured.select("model", "metric", "value").join(F.broadcast(defaults), ["model", "metric"], "full_outer")
+    joined = measured.select("model", "metric", "value").join(defaults, ["model", "metric"], "full_outer")
     return joined.select(
         "model", "metric", F.coalesce("value", "default_value").alias("value"),
         F.when(F.col("value").isNotNull(), "measured").otherwise("default").alias("origin"),

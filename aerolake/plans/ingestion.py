@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolake import schema
 from aerolake.operators import cities, daily, features, quality, sets, standardize, stations
+from aerolake.plans.joins import materialized
 from aerolake.sources.csv_tree import scan_csv_tree
 
 READING_TYPES = ["station_daily", "station_hourly", "city_daily", "city_hourly"]
@@ -77,7 +78,12 @@ def enhance(
 
 
 def preprocess(df: DataFrame, for_training: bool = True) -> DataFrame:
-    """Feature table: categories filled, calendar and ratio features, outliers capped for training, clean-up."""
+    """Feature table: categories filled, calendar and ratio features, outliers capped for training, clean-up.
+
+    Outlier limits and empty columns are found by jobs over the whole table, so
+    a table that is still to be computed is written first.
+    """
+    df = materialized(df, "daily-readings")
     out = standardize.fill_unknown_categories(df, ["city", "station", "aqi_bucket", "aqi_category"])
     out = features.all_features(out)
     if for_training:

@@ -31,16 +31,27 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def settle(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a small derived table to the shared folder and read it back.
+    """Write a derived table to the shared folder and read it back.
 
-    For a table that is computed from many rows but has few, and that is then
-    both checked and joined: it is computed once, and its size is known to the planner.
+    For a table that is computed from many more rows than it has and is then
+    used more than once: it is computed once, and its size is known to the planner.
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def derived(df: DataFrame) -> bool:
+    """True when ``df`` is more than a scan with projections and filters, so that reading it twice is costly."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(node in plan for node in ("Aggregate", "Join", "Window", "Sort", "Generate", "Union"))
+
+
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` itself when it only scans, else written once to the shared folder; for tables read by several jobs."""
+    return settle(df, purpose) if derived(df) else df
+
+
 def join_dimension(
     rows: DataFrame,
     dim: DataFrame,

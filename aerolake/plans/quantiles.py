@@ -13,9 +13,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolake.plans.joins import derived
+
 SORT_LIMIT = 100_000
 ACCURACY = 1_000
 
@@ -131,6 +134,18 @@ def exact_quantiles(
     Returns ``{column: [quantile per probability]}``; null for an empty column.
     """
     df = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    if not derived(df):
+        return _quantiles(df, columns, probabilities, sort_limit, accuracy)
+    # Several passes follow: keep the columns instead of computing joins and aggregates again.
+    # Blocks of a lost executor are computed anew from the input.
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _quantiles(df, columns, probabilities, sort_limit, accuracy)
+    finally:
+        df.unpersist()
+
+
+def _quantiles(df: DataFrame, columns: list[str], probabilities: list[float], sort_limit: int, accuracy: int) -> dict[str, list[float | None]]:
     start = []
     for c in columns:
         whole = _Target(c, 0, 0)

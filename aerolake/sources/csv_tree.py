@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections import defaultdict
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,8 @@ def scan_csv_tree(spark: SparkSession, path: str, dataset: str, manifest: DataFr
     files = (csv_manifest(spark, path) if manifest is None else manifest).filter("lines > 1").collect()
     groups: dict[tuple[str, str, str], list[str]] = defaultdict(list)
     for f in files:
-        groups[(classify(f["file_name"]), f["header"], f["encoding"])].append(f["file_path"])
+        # The metadata column holds URIs; a read takes plain paths.
+        groups[(classify(f["file_name"]), f["header"], f["encoding"])].append(unquote(f["file_path"]))
     out: dict[str, list[DataFrame]] = {}
     for (kind, header, encoding), paths in sorted(groups.items()):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in _names(header)])

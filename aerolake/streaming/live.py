@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import aqi as A
 from aerolake.functions.values import lookup_key
+from aerolake.plans.joins import is_small
 from aerolake.session import shared_dir
 from aerolake.sources.feeds import parse_feed_components, parse_feed_iaqi
 
@@ -32,10 +33,11 @@ def read_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", *
 def stream_ingest(events: DataFrame, aliases: DataFrame, kind: str = "iaqi", payload: str = "payload") -> DataFrame:
     """Provider payloads to canonical rows; unmapped cities keep their lower-case name.
 
-    The alias table is a fixed or size-checked dimension and joined as a static side.
+    The alias table is a static side, broadcast when its size allows.
     """
     parsed = parse_feed_iaqi(events, payload) if kind == "iaqi" else parse_feed_components(events, payload)
-    dim = F.broadcast(aliases.select(lookup_key("alias").alias("__alias"), "canonical"))
+    dim = aliases.select(lookup_key("alias").alias("__alias"), "canonical")
+    dim = F.broadcast(dim) if is_small(aliases) else dim
     named = parsed.withColumn("__alias", lookup_key("city")).join(dim, "__alias", "left")
     return named.withColumn("city", F.coalesce("canonical", "__alias")).drop("__alias", "canonical")
 
@@ -110,6 +112,14 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
 
 
+def start_live(df: DataFrame, out: str, checkpoint: str, interval: str = REFRESH, mode: str = "append", kind: str = "parquet"):
+    """Run continuously: one micro-batch per refresh interval, appended to ``out``; returns the running query."""
+    return (
+        df.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=interval).outputMode(mode)
+        .format(kind).option("path", out).start()
+    )
+
+
 def latest_batch(df: DataFrame, keys: list[str]) -> DataFrame:
     """Last written row per key of an update-mode result."""
     rest = [c for c in df.columns if c not in keys and c != "batch"]

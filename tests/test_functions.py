@@ -77,6 +77,12 @@ def test_missing_values(spark):
     ]
 
 
+def test_other_date_formats(spark):
+    xs = ["2020/3/4", "3/4/2020", "03-04-2020 05:06", "3/4/2020 5:06:07", "31/12/2020"]
+    assert column(spark, xs, V.to_date("x"), "string") == [dt.date(2020, 3, 4)] * 4 + [None]
+    assert column(spark, xs[3:4], V.to_timestamp("x"), "string") == [dt.datetime(2020, 3, 4, 5, 6, 7)]
+
+
 def test_calendar(spark):
     days = [dt.date(2024, 2, 29), dt.date(2023, 12, 31), dt.date(2024, 1, 6), dt.date(2024, 1, 1), None]
     rows = evaluate(spark, [(x,) for x in days], "x date", **C.calendar_fields("x"))

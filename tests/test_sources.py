@@ -22,7 +22,7 @@ from aerolake.streaming import live
 def tree(tmp_path):
     files = {
         "a/city_day.csv": "City,Date,PM2.5,AQI,AQI_Bucket\nDelhi,2020-01-01,80,300,Poor\nNCT,2020-01-01,NA,100,\nParis,2020-01-01,5,20,Good\n",
-        "a/deep/station_hour.csv": "StationId,Datetime,PM2.5,AQI\nDL01,2020-01-02 01:00:00,10,50\nDL01,2020-01-02 02:00:00,30,150\nXX9,2020-01-02 02:00:00,1,1\n",
+        "a/deep dir/station_hour.csv": "StationId,Datetime,PM2.5,AQI\nDL01,2020-01-02 01:00:00,10,50\nDL01,2020-01-02 02:00:00,30,150\nXX9,2020-01-02 02:00:00,1,1\n",
         "b/STATION_DAY_2.csv": '﻿station,date,pm25,aqi\n"DL01",2020-01-03,7,70\nDL01,bad,8,80\n',
         "b/stations.csv": "StationId,name,City,State,type\nDL01,Anand Vihar,New Delhi,Delhi,traffic\nDL01,Copy,Delhi,Delhi,x\n",
         "b/notes.csv": "x,y\n1,2\n",
@@ -194,3 +194,15 @@ def test_questions(spark, history):
     assert q.city_profile().count() == 2
     with pytest.raises(Exception, match="city not supported"):
         q.future(["Atlantis"], "2024-05-01").collect()
+
+
+def test_continuous_query(spark, sf_dir):
+    schema_ = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = live.read_stream(spark, f"{sf_dir}/events.parquet", schema_).select("event_id")
+    out = shared_dir(spark, "live")
+    running = live.start_live(stream, out, shared_dir(spark, "live-state"), interval="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert spark.read.parquet(out).count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
