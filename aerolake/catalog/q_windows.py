@@ -29,13 +29,13 @@ def lag_features(spark, d):
     return out.select("station_id", "date", *[rnd(c, 7).alias(c) for c in out.columns if "_lag_" in c])
 
 
-_CAL = ", ".join(f"{sql_rnd(f'd{k}.aqi', 7)} AS aqi_lag_{k}" for k in (1, 2, 7, 30))
+_CAL = ", ".join(f"{sql_rnd(f'd{k}.top', 7)} AS top_lag_{k}" for k in (1, 2, 7, 30))
 _CALJ = " ".join(f"LEFT JOIN d d{k} ON d{k}.city = d.city AND d{k}.date = d.date - {k}" for k in (1, 2, 7, 30))
 
 
 @query("lag_features_calendar", f"WITH d AS ({_CITY}) SELECT d.city, d.date, {_CAL} FROM d {_CALJ}", ("v_city_daily",))
 def lag_features_calendar(spark, d):
-    out = windows.lag_features(city_days(spark, d), ["city"], ["aqi"], calendar=True)
+    out = windows.lag_features(city_days(spark, d), ["city"], ["top"], calendar=True)
     return out.select("city", "date", *[rnd(c, 7).alias(c) for c in out.columns if "_lag_" in c])
 
 

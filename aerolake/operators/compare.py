@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerolake import lookups
 from aerolake.functions import aqi as A
@@ -71,34 +72,74 @@ def realtime_trend(df: DataFrame) -> DataFrame:
     return df.withColumn("trend_confidence", F.when(agree, "high").otherwise("medium"))
 
 
+def with_live_comparison(predictions: DataFrame, current: DataFrame, as_of: str) -> DataFrame:
+    """Predictions for ``as_of`` with the live value, its category, the accuracy and the signed difference.
+
+    Other days, and cities without a live row, keep nulls.
+    """
+    today = F.col("date") == F.lit(as_of).cast("date")
+    live = current.select("city", F.col("current_aqi").alias("__live"))
+    joined = predictions.join(live, "city", "left").withColumn("realtime_aqi", F.when(today, F.col("__live"))).drop("__live")
+    seen = F.col("realtime_aqi").isNotNull()
+    return joined.withColumns({
+        "realtime_category": F.when(seen, A.aqi_category("realtime_aqi")),
+        "accuracy": F.when(seen, A.prediction_accuracy("realtime_aqi", "predicted_aqi")),
+        "difference": F.round(F.col("predicted_aqi") - F.col("realtime_aqi"), 2),
+    })
+
+
 def forecast_error_rows(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     diff = F.col(predicted) - F.col(actual)
     return df.withColumns({"difference": F.round(diff, 2), "absolute_difference": F.abs(diff)})
 
 
+def _has(schema: T.StructType, path: str) -> bool:
+    """True when the possibly nested field exists."""
+    head, _, rest = path.partition(".")
+    if head not in schema.names:
+        return False
+    inner = schema[head].dataType
+    return not rest or (isinstance(inner, T.StructType) and _has(inner, rest))
+
+
 def normalize_city_record(df: DataFrame) -> DataFrame:
-    """Coalesce alternative field names of city records; a zero pm25, pm10 or forecast counts as missing."""
-    have = set(df.columns)
+    """One flat shape for city records of different answers.
+
+    Fields are taken from their alternative names, flat or nested below
+    ``realtime``, ``predictions``, ``accuracy`` and ``trend_analysis``. A zero
+    pm25, pm10, forecast or accuracy counts as missing.
+    """
 
-    def first(*names: str, kind: str):
-        cs = [F.col(f"`{n}`").cast(kind) for n in names if n in have]
+    def fields(names: tuple[str, ...], kind: str) -> list[Column]:
+        out = []
+        for n in names:
+            if n in df.columns:
+                if not isinstance(df.schema[n].dataType, T.StructType):
+                    out.append(F.col(f"`{n}`").cast(kind))
+            elif _has(df.schema, n):
+                out.append(F.col(n).cast(kind))
+        return out
+
+    def first(*names: str, kind: str) -> Column:
+        cs = fields(names, kind)
         return F.coalesce(*cs) if cs else F.lit(None).cast(kind)
 
-    def first_nonzero(*names: str):
-        cs = [F.col(f"`{n}`").cast("double") for n in names if n in have]
+    def first_nonzero(*names: str) -> Column:
+        cs = fields(names, "double")
         return prefer(*cs) if cs else F.lit(None).cast("double")
 
-    aqi = first("aqi", "aqi_value", kind="double")
+    aqi = first("aqi", "aqi_value", "realtime.aqi", kind="double")
+    category = first("category", "category_name", "realtime.category", kind="string")
     return df.select(
-        F.coalesce(first("city", "name", "city_name", kind="string"), F.lit("Unknown")).alias("city"),
+        F.coalesce(first("city", "name", "city_name", "city_requested", kind="string"), F.lit("Unknown")).alias("city"),
         aqi.alias("aqi"),
-        F.coalesce(first("category", "category_name", kind="string"), A.aqi_category(aqi, zero_is_unknown=True)).alias("category"),
-        first_nonzero("pm25", "PM2.5").alias("pm25"),
-        first_nonzero("pm10").alias("pm10"),
-        first("timestamp", kind="string").alias("timestamp"),
-        first_nonzero("predicted_aqi").alias("predicted_aqi"),
-        first_nonzero("accuracy").alias("accuracy"),
-        first("trend", kind="string").alias("trend"),
+        F.coalesce(category, A.aqi_category(aqi, zero_is_unknown=True)).alias("category"),
+        first_nonzero("pm25", "PM2.5", "realtime.pm25").alias("pm25"),
+        first_nonzero("pm10", "realtime.pm10").alias("pm10"),
+        first("timestamp", "realtime.timestamp", kind="string").alias("timestamp"),
+        first_nonzero("predicted_aqi", "predictions.today.predicted_aqi").alias("predicted_aqi"),
+        first_nonzero("accuracy", "accuracy.today").alias("accuracy"),
+        first("trend", "trend_analysis.short_term", kind="string").alias("trend"),
     )
 
 

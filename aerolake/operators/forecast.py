@@ -143,12 +143,15 @@ def station_statistics(readings: DataFrame, stations: DataFrame, value: str = "a
 
 
 def predict_stations(
-    cities: DataFrame, stations: DataFrame, readings: DataFrame, history: DataFrame, as_of: str, days: int = 7, min_rows: int = 10
+    cities: DataFrame, stations: DataFrame, readings: DataFrame, history: DataFrame, as_of: str, days: int = 7, min_rows: int = 10,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
-    """Pattern forecast per station and day plus one city row per day.
+    """Forecast per station and day plus one city row per day.
 
-    A station with more than ``min_rows`` rows uses its own statistics, any
-    other one those of its city.
+    A model's value in ``scored`` (station_id, date, model, model_aqi) is taken
+    where there is one, else the pattern forecast. For the latter a station
+    with more than ``min_rows`` rows uses its own statistics, any other one
+    those of its city.
     """
     spine = station_spine(cities, stations, as_of, days)
     city = pattern_stats(city_daily_mean(history)).select(
@@ -160,12 +163,17 @@ def predict_stations(
     level = F.coalesce(F.when(own, F.col("base")), F.col("city_base"), A.default_city_level("city"))
     trend = F.coalesce(F.when(own, F.col("trend_factor")).otherwise(F.col("city_trend")), F.lit(1.0))
     at_city = F.col("prediction_type") == "city_level"
-    raw = pattern_forecast(level, F.col("date"), trend)
+    joined = joined.withColumn("__raw", pattern_forecast(level, F.col("date"), trend))
+    model = F.lit("simple")
+    if scored is not None:
+        one = scored.select("station_id", "date", F.col("model").alias("__model"), clip("model_aqi", 0, 500).alias("__scored"))
+        joined = joined.join(one, ["station_id", "date"], "left").withColumn("__raw", F.coalesce("__scored", "__raw"))
+        model = F.when(F.col("__scored").isNotNull(), F.col("__model")).otherwise("simple_fallback")
     out = joined.select(
         "city", "date", "station_id", "station_name", "prediction_type",
-        F.round(raw, 2).alias("predicted_aqi"),
-        A.aqi_category(raw).alias("category"),
-        F.lit("simple").alias("model_used"),
+        F.round("__raw", 2).alias("predicted_aqi"),
+        A.aqi_category("__raw").alias("category"),
+        model.alias("model_used"),
         rows.cast("bigint").alias("data_points_used"),
         F.when(~at_city, F.when(own, A.station_confidence(rows)).otherwise("medium")).alias("station_confidence"),
         F.when(at_city, "city_fallback").when(own, "station_specific_data")
@@ -218,21 +226,24 @@ def station_fallback(stations: DataFrame, averages: DataFrame) -> DataFrame:
     """City mean plus the station's class offset, clamped to [0, 500], for stations that could not be scored."""
     joined = stations.join(averages.select("city", "mean_aqi"), "city", "left")
     offset = A.station_class_adjustment("station_name")
-    raw = clip(F.coalesce("mean_aqi", A.default_city_level("city")) + offset, 0, 500)
+    joined = joined.withColumn("station_variation", offset)
+    joined = joined.withColumn("__raw", clip(F.coalesce("mean_aqi", A.default_city_level("city")) + F.col("station_variation"), 0, 500))
     return joined.select(
-        "city", "station_id", "station_name", offset.alias("station_variation"), F.round(raw, 2).alias("predicted_aqi"),
-        A.aqi_category(raw).alias("category"), F.lit("low").alias("station_confidence"), F.lit("fallback_model").alias("source"),
+        "city", "station_id", "station_name", "station_variation", F.round("__raw", 2).alias("predicted_aqi"),
+        A.aqi_category("__raw").alias("category"), F.lit("low").alias("station_confidence"), F.lit("fallback_model").alias("source"),
     )
 
 
-def scoring_features(spine: DataFrame, latest: DataFrame, features: list[str], codes: DataFrame | None = None) -> DataFrame:
-    """Model inputs per (city, date): calendar from the target date, measures from the city's latest row.
+def scoring_features(
+    spine: DataFrame, latest: DataFrame, features: list[str], codes: DataFrame | None = None, key: str = "city"
+) -> DataFrame:
+    """Model inputs per row of the spine: calendar from its date, measures from the latest row of its ``key``.
 
     A measure without a reading takes its default, any other feature 0.
     """
     calendar = {**C.calendar_fields("date"), **C.cyclical_fields("date")}
     measured = [f for f in features if f not in calendar and f != "city_encoded" and f in latest.columns]
-    joined = spine.join(latest.select("city", *[F.col(f).alias(f"__m_{f}") for f in measured]), "city", "left")
+    joined = spine.join(latest.select(key, *[F.col(f).alias(f"__m_{f}") for f in measured]), key, "left")
     if codes is not None:
         joined = joined.join(codes, "city", "left")
     cols = []

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -94,6 +96,12 @@ def _narrow(df: DataFrame, targets: list[_Target], edges: list[tuple[float, floa
         t.move(a, b, *[t.below + found[i] for i in places])
 
 
+def _candidates(df: DataFrame, targets: list[_Target]) -> DataFrame:
+    """Rows with a value in any open bracket."""
+    tests = {t.bracket: t.inside for t in targets}
+    return df.filter(reduce(or_, tests.values()))
+
+
 def _approximate(df: DataFrame, targets: list[_Target], accuracy: int) -> list[tuple[float, float]]:
     """Approximate values around each target's rank; targets with one bracket share one sketch."""
     groups: dict[tuple, list[_Target]] = {}
@@ -104,7 +112,7 @@ def _approximate(df: DataFrame, targets: list[_Target], accuracy: int) -> list[t
         ps = [p for t in members for p in _edges((t.rank - t.below + 0.5) / t.count, accuracy)]
         exprs.append(F.percentile_approx(F.when(members[0].inside, F.col(f"`{members[0].column}`")), ps, accuracy))
     place = {}
-    for members, values in zip(groups.values(), _row(df, exprs)):
+    for members, values in zip(groups.values(), _row(_candidates(df, targets), exprs)):
         for i, t in enumerate(members):
             place[id(t)] = (values[2 * i], values[2 * i + 1])
     return [place[id(t)] for t in targets]
@@ -114,7 +122,7 @@ def _sorted_values(df: DataFrame, targets: list[_Target]) -> None:
     """Read the remaining targets from one sorted list per bracket."""
     brackets = {t.bracket: t for t in targets}
     names = {b: f"s{i}" for i, b in enumerate(brackets)}
-    lists = df.agg(*[
+    lists = _candidates(df, targets).agg(*[
         F.sort_array(F.collect_list(F.when(t.inside, F.col(f"`{t.column}`")))).alias(names[b]) for b, t in brackets.items()
     ])
     picks = lists.select(*[F.get(F.col(names[t.bracket]), t.rank - t.below).alias(f"v{i}") for i, t in enumerate(targets)])

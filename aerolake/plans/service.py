@@ -53,21 +53,23 @@ class AirQuality:
     def current_aqi(self, as_of: str) -> DataFrame:
         return compare.status_with_forecast(self.current(), self._forecast(as_of, 2), as_of)
 
-    def predict(self, requests: DataFrame) -> DataFrame:
-        """``requests``: (city, date, model_type); adds the live comparison columns where a live row exists."""
+    def predict(self, requests: DataFrame, as_of: str) -> DataFrame:
+        """``requests``: (city, date, model_type); requests for ``as_of`` are compared with the live row of their city."""
         named = cities.normalize_city(requests, self.aliases, policy="error").withColumnRenamed("city_original", "city_requested")
         none = named.sparkSession.createDataFrame([], "city string, date date, model string, model_aqi double")
-        return forecast.predict_with_fallback(
+        answers = forecast.predict_with_fallback(
             named, self.history, self.model_predictions if self.model_predictions is not None else none,
             list(self.models), self.default_model,
         )
+        return compare.with_live_comparison(answers, self.current(), as_of)
 
-    def future(self, names: list[str], as_of: str, days: int = 7) -> DataFrame:
-        return self.predict_stations(names, as_of, days)
+    def future(self, names: list[str], as_of: str, days: int = 7, scored: DataFrame | None = None) -> DataFrame:
+        return self.predict_stations(names, as_of, days, scored)
 
-    def predict_stations(self, names: list[str] | None, as_of: str, days: int = 1) -> DataFrame:
+    def predict_stations(self, names: list[str] | None, as_of: str, days: int = 1, scored: DataFrame | None = None) -> DataFrame:
+        """Station rows and city rows; ``scored``: (station_id, date, model, model_aqi) of a trained model."""
         usable = stations.valid_stations(self.stations)
-        return forecast.predict_stations(self._requested(names), usable, self.history, self.history, as_of, days)
+        return forecast.predict_stations(self._requested(names), usable, self.history, self.history, as_of, days, scored=scored)
 
     def station_summary(self, names: list[str] | None, as_of: str) -> DataFrame:
         return compare.prediction_summary(self.predict_stations(names, as_of))

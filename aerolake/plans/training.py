@@ -35,8 +35,13 @@ def train(df: DataFrame, keys: list[str], estimators: dict | None = None, target
 
 
 def store(result: TrainingResult, path: str) -> None:
-    """Every model under its name and the long metrics table beside them."""
+    """Every model under its name, and beside them the long metrics table and what was trained on what."""
     for name, model in result.models.items():
         sinks.save_model(model, f"{path}/{name}")
     if result.metrics is not None:
         sinks.write_performance(long_metrics(result.metrics), f"{path}/performance")
+        spark = result.metrics.sparkSession
+        info = [(sorted(result.models), result.features, sorted(result.failures.items()))]
+        spark.createDataFrame(info, "models array<string>, features array<string>, failures array<struct<model:string,reason:string>>").write.mode(
+            "overwrite"
+        ).json(f"{path}/training_info")

@@ -315,6 +315,25 @@ def test_station_forecasts(spark):
     assert values(apart) == values(out.filter("source = 'station_aggregation'"), *apart.columns)
 
 
+def test_station_forecasts_of_a_model(spark):
+    hist = series(spark, x=50).withColumn("aqi", F.lit(100.0))
+    rows = hist.select("city", "date", "aqi", F.lit("1").alias("station_id"), F.lit("s").alias("station"), F.lit("one").alias("station_name"))
+    dim = spark.createDataFrame([("x", "1", "one"), ("x", "2", "two")], "city string, station_id string, station_name string")
+    scored = spark.createDataFrame([("1", dt.date(2024, 8, 5), "random_forest", 600.0)], "station_id string, date date, model string, model_aqi double")
+    out = forecast.predict_stations(spark.createDataFrame([("x",)], "city string"), dim, rows, hist, "2024-08-05", 1, scored=scored)
+    got = {r.station_id: (r.model_used, r.predicted_aqi) for r in out.collect()}
+    assert got == {"1": ("random_forest", 500.0), "2": ("simple_fallback", 80.0), "CITY_AVG": ("city_average", 290.0)}
+
+
+def test_nested_city_records(spark):
+    rows = [("Delhi", (210.0, "Poor", 0.0), ((199.0,),), (94.8,), ("improving",))]
+    nested = "city_requested string, realtime struct<aqi:double,category:string,pm25:double>, predictions struct<today:struct<predicted_aqi:double>>, accuracy struct<today:double>, trend_analysis struct<short_term:string>"
+    out = compare.normalize_city_record(spark.createDataFrame(rows, nested)).collect()[0]
+    assert tuple(out) == ("Delhi", 210.0, "Poor", None, None, None, 199.0, 94.8, "improving")
+    flat = spark.createDataFrame([("Pune", 0.0)], "name string, aqi double")
+    assert tuple(compare.normalize_city_record(flat).collect()[0])[:3] == ("Pune", 0.0, "Unknown")
+
+
 def test_scoring_defaults(spark):
     latest = spark.createDataFrame([("a", 7.0, None)], "city string, pm25 double, o3 double")
     spine = spark.createDataFrame([("a", DAY), ("b", DAY)], "city string, date date")

@@ -166,6 +166,7 @@ def test_train_store_and_load(spark, history):
     assert values(models.score(rows, again), "station", "date", "predicted_aqi") == values(models.score(rows, result.models["random_forest"]), "station", "date", "predicted_aqi")
     unseen = models.score(rows.withColumn("city", F.lit("nowhere")), again)
     assert unseen.filter("predicted_aqi IS NULL").count() == 0
+    assert spark.read.json(f"{path}/training_info").collect()[0].models == sorted(small)
     stored = spark.read.parquet(f"{path}/performance")
     assert stored.filter("metric = 'RMSE'").count() == 2
     importance = models.feature_importance(again, result.features, spark)
@@ -182,8 +183,12 @@ def test_questions(spark, history):
     assert [r.city for r in q.city_comparison("2024-05-01").collect()] == ["delhi", "pune"]
     assert values(q.realtime("2024-05-01"), "city", "trend_confidence")[0][0] == "delhi"
     asked = spark.createDataFrame([("New Delhi", dt.date(2024, 5, 1), "auto")], "city string, date date, model_type string")
-    answer = q.predict(asked).collect()[0]
+    answer = q.predict(asked, "2024-05-01").collect()[0]
     assert (answer.city, answer.city_requested, answer.model_used) == ("delhi", "New Delhi", "simple")
+    assert (answer.realtime_aqi, answer.realtime_category) == (210.0, "Poor")
+    assert answer.difference == pytest.approx(answer.predicted_aqi - 210.0)
+    later = q.predict(asked, "2024-04-30").collect()[0]
+    assert later.realtime_aqi is None and later.accuracy is None
     future = q.future(["Delhi"], "2024-05-01", 3)
     assert future.count() == 9 and future.filter("station_id = 'CITY_AVG'").count() == 3
     assert q.station_summary(["Delhi"], "2024-05-01").collect()[0].worst_station.station_id == "D2"
