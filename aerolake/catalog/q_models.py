@@ -117,3 +117,12 @@ def sequence_forecast(spark, d):
     model = models.SequenceModel.fit(days, ["city"], ["aqi", "top"], "aqi", per_series=800)
     spine = forecast.forecast_spine(rows.select("city").distinct(), v.AS_OF, 10)
     return model.predict(days, spine).select("city", "date", "day_offset", "predicted_aqi", "category")
+
+
+@query("sequence_metrics")
+def sequence_metrics(spark, d):
+    """Window forecasts of two measures fitted on the first days and measured on the last ones."""
+    rows = v.city_daily(spark, d)
+    days = rows.groupBy("city", "date").agg(F.avg("aqi").alias("aqi"), F.max("aqi").alias("top"))
+    _, metrics = training.train_sequence(days, ["city"], ["aqi", "top"], ["aqi", "top"], horizons=(1, 7))
+    return metrics.select("model", "scope", "metric", rnd("value", 4).alias("value"))

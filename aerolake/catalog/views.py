@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerolake.operators.cities import normalize_city
 
@@ -12,8 +13,15 @@ LIVE_AS_OF = "2024-01-31"
 READING_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "station_id", "dt"]
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One given table; its schema is inferred once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

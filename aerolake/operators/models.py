@@ -9,7 +9,7 @@ from pyspark.ml.base import Estimator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.functions import aqi as A
@@ -146,65 +146,79 @@ def feature_importance(model: PipelineModel, features: list[str], spark) -> Data
 
 @dataclass
 class SequenceModel:
-    """One regressor per forecast step over the flattened, scaled history window."""
+    """One regressor per (target, forecast step) over the flattened, scaled history window."""
 
     keys: list[str]
     features: list[str]
-    target: str
-    history: int
+    targets: list[str]
+    shape: dict[str, int]
     scaler: Scaler
-    steps: dict[int, object]
-
-    def _vector(self, df: DataFrame, column: str) -> DataFrame:
-        flat = F.flatten(F.transform(column, lambda x: F.array(*[x[f] for f in self.features])))
-        return df.withColumn("features", array_to_vector(flat))
+    steps: dict[tuple[str, int], object]
 
     @classmethod
     def fit(
-        cls, daily: DataFrame, keys: list[str], features: list[str], target: str = "aqi", horizons: tuple[int, ...] = (1, 2, 7),
-        history: int = 24, horizon: int = 24, stride: int = 2, per_series: int = 800,
+        cls, daily: DataFrame, keys: list[str], features: list[str], targets: list[str] | str = "aqi",
+        horizons: tuple[int, ...] = (1, 2, 7), history: int = 24, horizon: int = 24, stride: int = 2, per_series: int = 800,
     ) -> "SequenceModel":
-        scaler = Scaler.fit(daily, features)
-        scaled = scaler.transform(scaler.impute(daily))
-        windows = sequence_windows(scaled, keys, features, [target], history, horizon, stride, per_series)
-        self = cls(keys, features, target, history, scaler, {})
-        rows = self._vector(windows, "history").persist()
+        """Scaling is fitted on ``daily`` only, so pass the training part. Targets must be among the features."""
+        targets = [targets] if isinstance(targets, str) else list(targets)
+        shape = {"history": history, "horizon": horizon, "stride": stride, "per_series": per_series}
+        self = cls(list(keys), list(features), targets, shape, Scaler.fit(daily, features), {})
+        rows = self._windows(daily).persist()
         try:
-            for h in horizons:
-                step = rows.select("features", F.element_at("target", h)[target].alias("label"))
-                self.steps[h] = LinearRegression(regParam=0.1).fit(step)
+            for t in targets:
+                for h in horizons:
+                    step = rows.select("features", F.element_at("target", h)[t].alias("label"))
+                    self.steps[(t, h)] = LinearRegression(regParam=0.1).fit(step)
         finally:
             rows.unpersist()
         return self
 
-    def predict(self, daily: DataFrame, spine: DataFrame) -> DataFrame:
+    def _vector(self, df: DataFrame, column: str) -> DataFrame:
+        flat = F.flatten(F.transform(column, lambda x: F.array(*[x[f] for f in self.features])))
+        return df.withColumn("features", array_to_vector(flat))
+
+    def _windows(self, daily: DataFrame) -> DataFrame:
+        scaled = self.scaler.transform(self.scaler.impute(daily))
+        return self._vector(sequence_windows(scaled, self.keys, self.features, self.targets, **self.shape), "history")
+
+    def _unscaled(self, column: Column, target: str) -> Column:
+        _, mean, std = self.scaler.stats[target]
+        return column * F.lit(std) + F.lit(mean)
+
+    def evaluate(self, daily: DataFrame) -> DataFrame:
+        """(keys, start, target, step, actual, predicted) over the windows of ``daily``, in original units."""
+        rows, parts = self._windows(daily), []
+        for i, ((t, h), model) in enumerate(self.steps.items()):
+            rows = model.transform(rows).withColumnRenamed("prediction", f"__p{i}")
+            parts.append(F.struct(
+                F.lit(t).alias("target"), F.lit(h).alias("step"),
+                self._unscaled(F.element_at("target", h)[t], t).alias("actual"), self._unscaled(F.col(f"__p{i}"), t).alias("predicted"),
+            ))
+        return rows.select(*self.keys, "start", F.explode(F.array(*parts)).alias("r")).select(*self.keys, "start", "r.*")
+
+    def predict(self, daily: DataFrame, spine: DataFrame, target: str | None = None) -> DataFrame:
         """Forecast per row of ``spine`` (keys, date, day_offset >= 0).
 
         Each offset uses the nearest trained step at or after it, offsets beyond
         the last step use the last. A key without history gets the training mean.
         """
-        window = fill_forward_backward(explode_window(recent_window(daily, self.keys, self.features, self.history), self.keys),
-                                       self.keys, self.features, order="position")
-        scaled = self.scaler.transform(window, bounded=True)
+        target = target or self.targets[0]
+        windows = explode_window(recent_window(daily, self.keys, self.features, self.shape["history"]), self.keys)
+        filled = fill_forward_backward(windows, self.keys, self.features, order="position")
+        scaled = self.scaler.transform(filled, bounded=True)
         packed = scaled.groupBy(*self.keys).agg(
             F.sort_array(F.collect_list(F.struct("position", *self.features))).alias("window")
         )
-        vectors = self._vector(packed, "window").select(*self.keys, "features")
-        out = vectors
-        for h, model in self.steps.items():
-            out = model.transform(out).withColumnRenamed("prediction", f"__step_{h}")
-        steps = sorted(self.steps)
-        out = out.drop("features")
-        joined = spine.join(out, self.keys, "left")
-        pick = F.lit(None).cast("double")
-        for h in reversed(steps):
-            pick = F.when(F.col("day_offset") + 1 <= h, F.col(f"__step_{h}")).otherwise(
-                F.col(f"__step_{steps[-1]}") if h == steps[-1] else pick
-            )
-        _, mean, std = self.scaler.stats[self.target]
-        raw = clip(F.coalesce(pick, F.lit(0.0)) * F.lit(std) + F.lit(mean), 0, 600)
-        return joined.withColumns({"predicted_aqi": F.round(raw, 2), "category": A.aqi_category(raw)}).drop(
-            *[f"__step_{h}" for h in steps]
+        out = self._vector(packed, "window").select(*self.keys, "features")
+        steps = sorted(h for t, h in self.steps if t == target)
+        for h in steps:
+            out = self.steps[(target, h)].transform(out).withColumnRenamed("prediction", f"__step_{h}")
+        joined = spine.join(out.drop("features"), self.keys, "left")
+        pick = F.col(f"__step_{steps[-1]}")
+        for h in reversed(steps[:-1]):
+            pick = F.when(F.col("day_offset") + 1 <= h, F.col(f"__step_{h}")).otherwise(pick)
+        joined = joined.withColumn("__raw", clip(self._unscaled(F.coalesce(pick, F.lit(0.0)), target), 0, 600))
+        return joined.withColumns({"predicted_aqi": F.round("__raw", 2), "category": A.aqi_category("__raw")}).drop(
+            "__raw", *[f"__step_{h}" for h in steps]
         )
-
-

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from aerolake import lookups
-from aerolake.operators import daily, features, prepare, quality
-from aerolake.operators.evaluate import long_metrics
-from aerolake.operators.models import TrainingResult, regressors, train_all_evaluate
+from aerolake.operators import daily, features, prepare, quality, windows
+from aerolake.operators.evaluate import long_metrics, regression_metrics
+from aerolake.operators.models import SequenceModel, TrainingResult, regressors, train_all_evaluate
 from aerolake.sources import sinks
 
 
@@ -34,6 +35,21 @@ def train(df: DataFrame, keys: list[str], estimators: dict | None = None, target
     return train_all_evaluate(split, names, target, estimators or regressors(), keep=keys)
 
 
+def train_sequence(
+    daily_means: DataFrame, keys: list[str], inputs: list[str], targets: list[str], target: str = "aqi", **options
+) -> tuple[SequenceModel, DataFrame]:
+    """Fit the window forecasts on the first 80 % of the days and measure them on the rest.
+
+    Metrics come in two scopes: all targets together and ``target`` only.
+    """
+    split = windows.chrono_split(daily_means)
+    model = SequenceModel.fit(split.filter("split = 'train'"), keys, inputs, targets, **options)
+    rows = model.evaluate(split.filter("split = 'validation'")).withColumn("model", F.lit("nf_vae"))
+    every = long_metrics(regression_metrics(rows), "all_features")
+    single = long_metrics(regression_metrics(rows.filter(F.col("target") == target)), "aqi_only")
+    return model, every.unionByName(single)
+
+
 def store(result: TrainingResult, path: str) -> None:
     """Every model under its name, and beside them the long metrics table and what was trained on what."""
     for name, model in result.models.items():

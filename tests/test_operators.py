@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aerolake import schema
 from aerolake.operators import cities, compare, daily, evaluate, features, forecast, models, prepare, quality, sets, standardize, stations, windows
-from aerolake.plans import joins
+from aerolake.plans import joins, training
 from aerolake.plans.quantiles import exact_quantiles
 
 DAY = dt.date(2024, 1, 1)
@@ -351,6 +351,19 @@ def test_sequence_model_horizons(spark):
     assert got[("new", 0)] == pytest.approx(99.5, abs=0.01)
 
 
+def test_sequence_training_measures_later_days(spark):
+    days = series(spark, a=300, b=300).withColumn("pm25", F.col("aqi") % 7)
+    model, metrics = training.train_sequence(days, ["city"], ["aqi", "pm25"], ["aqi", "pm25"], horizons=(1, 2), stride=1)
+    assert set(model.steps) == {("aqi", 1), ("aqi", 2), ("pm25", 1), ("pm25", 2)}
+    # 480 training rows scale the data; validation rows are later days only.
+    assert model.scaler.stats["aqi"][1] == pytest.approx(np.mean(range(240)))
+    got = {(r.scope, r.metric): r.value for r in metrics.collect()}
+    assert set(got) == {(s, m) for s in ("all_features", "aqi_only") for m in ("RMSE", "MAE", "R2", "MSE")}
+    assert got[("aqi_only", "RMSE")] < 20
+    rows = model.evaluate(days.filter("aqi < 100"))
+    assert rows.filter("target = 'aqi' AND step = 2 AND abs(actual - (start + 25)) > 1e-6").count() == 0
+
+
 def test_training_refuses_leaks_and_isolates_failures(spark):
     rows = [(float(i), 3.0 * i + 1, "train" if i % 5 else "test", i, f"c{i % 3}") for i in range(200)]
     df = spark.createDataFrame(rows, "x double, aqi double, split string, k int, city string")
