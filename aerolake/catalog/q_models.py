@@ -7,7 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from aerolake.catalog import views as v
-from aerolake.catalog.registry import query, rnd
+from aerolake.catalog.registry import query, rnd, sql_rnd
 from aerolake.operators import daily, forecast, models, prepare, sets
 from aerolake.plans import training
 from aerolake.session import shared_dir
@@ -64,6 +64,20 @@ def _splits(spark, d):
     return prepare.random_split(station_days(spark, d), ["city", "date"])
 
 
+@query("training_table", f"""
+    WITH days AS (SELECT station_id AS city, date, avg(pm25) AS pm25, avg(pm10) AS pm10, avg(label) AS aqi FROM v_readings GROUP BY station_id, date)
+    SELECT city, date, {sql_rnd("pm25", 7)} AS pm25, {sql_rnd("pm10", 7)} AS pm10, {sql_rnd("aqi", 7)} AS aqi, cast(year(date) AS INTEGER) AS year,
+           {sql_rnd("sin(2 * pi() * month(date) / 12)")} AS month_sin, {sql_rnd("cos(2 * pi() * dayofyear(date) / 365.25)")} AS dayofyear_cos,
+           CASE WHEN ('0x' || substr(md5(city || '|' || cast(date AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0
+                     < least(0.1, 5000.0 / (SELECT count(*) FROM days)) THEN 'test' ELSE 'train' END AS split
+    FROM days""", ("v_readings",))
+def training_table(spark, d):
+    """The rows every trained model sees, with their split."""
+    out = _splits(spark, d)
+    return out.select("city", "date", *[rnd(c, 7).alias(c) for c in ("pm25", "pm10", "aqi")], "year",
+                      *[rnd(c).alias(c) for c in ("month_sin", "dayofyear_cos")], "split")
+
+
 def _single(spark, d, name, **sizes):
     estimator = models.regressors(**sizes)[name]
     result = models.train_all_evaluate(_splits(spark, d), FEATURES, "aqi", {name: estimator}, keep=["city", "date"])

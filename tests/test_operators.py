@@ -60,6 +60,23 @@ def test_salted_join_equals_broadcast(spark, how, null_safe):
     assert small.columns == large.columns
 
 
+def test_hot_key_and_copies_are_split(spark, monkeypatch):
+    """Identical rows of one key end up in several partitions of the salted join."""
+    rows = spark.range(4000).select(F.lit("hot").alias("k")).repartition(16)
+    dim = spark.createDataFrame([("hot", 1.0), ("cold", 2.0)], "k string, v double")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, x in settings.items():
+            spark.conf.set(k, x)
+        out = joins.join_dimension(rows, dim, ["k"], max_rows=1, salts=32)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert sum(sizes) == 4000 and len(sizes) >= 4 and max(sizes) < 2500
+
+
 def test_is_small(spark):
     df = spark.range(100)
     assert joins.is_small(df, 100) and not joins.is_small(df, 99)

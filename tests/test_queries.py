@@ -4,6 +4,7 @@ import pytest
 from check import compare, connect
 
 from aerolake.catalog import ORACLES, QUERIES
+from aerolake.plans import joins
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,21 @@ def test_gives_rows(spark, sf_dir, name):
     assert rows and not any(v is None for r in rows for v in r)
 
 
+JOINING = [
+    "airquality_overview", "encode_city", "enrich_station_metadata", "enrich_station_metadata_null_safe", "expected_range_check",
+    "keep_known_cities", "normalize_city", "predict_with_fallback", "station_match_any", "station_match_cascade", "station_spine",
+    "unmapped_cities",
+]
+
+
+@pytest.mark.parametrize("name", JOINING)
+def test_same_result_when_dimensions_are_too_large_to_broadcast(spark, sf_dir, con, monkeypatch, name):
+    monkeypatch.setattr(joins, "is_small", lambda *_: False)
+    df = QUERIES[name](spark, sf_dir)
+    assert "__salt" in df._jdf.queryExecution().toString()
+    assert compare(df, con, ORACLES[name]) == ""
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
