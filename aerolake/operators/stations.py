@@ -99,7 +99,7 @@ def match_station_cascade(readings: DataFrame, requests: DataFrame) -> tuple[Dat
     Requests that share a name share its rows, so the rows are not repeated per request.
     """
     ids = readings.select(*IDENTIFIERS).distinct()
-    present = settle(ids.select(offered_keys(1)).select("offer.*").distinct(), "station-keys")
+    present = ids.select(offered_keys(1)).select("offer.*").distinct()
     keys = settle(cascade_keys(present, requests), "station-requests")
     offered = readings.select("*", offered_keys(1)).select(*readings.columns, "offer.*")
     chosen = keys.select("match_rank", "match_key").distinct()

@@ -77,7 +77,7 @@ def join_dimension(
         return rows.join(F.broadcast(right), condition, how).drop(*keys.values())
     # The salt depends on the row and its input partition only, so a re-run task repeats it, and
     # copies of one row from different partitions still get different salts.
-    row = [F.col(f"`{c}`") for c in rows.columns]
+    row = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*row, F.spark_partition_id()), F.lit(salts).cast("bigint")))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     right = right.withColumn("__dim_salt", F.explode(every))

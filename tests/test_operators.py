@@ -8,7 +8,7 @@ import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
-from aerolake import schema
+from aerolake import lookups, schema
 from aerolake.operators import cities, compare, daily, evaluate, features, forecast, models, prepare, quality, sets, standardize, stations, windows
 from aerolake.plans import joins, training
 from aerolake.plans.quantiles import exact_quantiles
@@ -99,6 +99,12 @@ def test_normalize_city(spark):
     assert [r.city_original for r in cities.unmapped_cities(df, a).collect()] == ["Atlantis"]
 
 
+def test_display_names(spark):
+    shown = cities.alias_table(spark, lookups.DISPLAY_CITY_NAMES)
+    df = spark.createDataFrame([("NEW DELHI",), ("bengaluru",), ("Goa",)], "city string")
+    assert [r.city for r in cities.normalize_city(df, shown, policy="keep", keep_original=False).collect()] == ["Delhi", "Bangalore", "Goa"]
+
+
 def test_unseen_city_code(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,)], "city string")
     codes = cities.city_codes(df)
