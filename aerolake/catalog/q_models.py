@@ -135,8 +135,8 @@ def sequence_forecast(spark, d):
 
 @query("sequence_metrics")
 def sequence_metrics(spark, d):
-    """Window forecasts of two measures fitted on the first days and measured on the last ones."""
+    """Window forecasts of two measures per station, fitted on the first days and measured on the last ones."""
     rows = v.city_daily(spark, d)
-    days = rows.groupBy("city", "date").agg(F.avg("aqi").alias("aqi"), F.max("aqi").alias("top"))
-    _, metrics = training.train_sequence(days, ["city"], ["aqi", "top"], ["aqi", "top"], horizons=(1, 7))
+    days = rows.groupBy("station", "date").agg(F.avg("aqi").alias("aqi"), F.max("aqi").alias("top"))
+    _, metrics = training.train_sequence(days, ["station"], ["aqi", "top"], ["aqi", "top"], horizons=(1, 7))
     return metrics.select("model", "scope", "metric", rnd("value", 4).alias("value"))
