@@ -75,11 +75,43 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def word_buckets(text: str | None, bits: int) -> np.ndarray:
-    """A bucket for each run of letters and digits of the whole text."""
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def word_ends(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last eight bytes, as numbers, and the length of each run between spaces."""
+    padded = b" " * 8 + raw + b" " * 9
+    inside = np.frombuffer(padded, np.uint8) != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    size = end - start
+    short = np.minimum(size, 8)
+    return eight[start] & _MASKS[short], eight[end - 8] >> ((8 - short) * 8).astype(np.uint64), size
+
+
+def mixed(*parts: np.ndarray | np.uint64) -> np.ndarray:
+    """A 64-bit number from several."""
+    out = np.zeros(1, np.uint64)
+    for part, odd in zip(parts, _ODD, strict=False):
+        out = (out ^ part) * odd
+        out = out ^ (out >> np.uint64(29))
+    return out
+
+
+def word_buckets(text: str | None, bits: int, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """Buckets of the whole text: a row for each run of letters and digits, in it a bucket of the word and of each of its beginnings in bytes."""
+    width = 1 + len(prefixes)
     if not text:
-        return np.zeros(0, np.int32)
-    return (hashes(text.lower().encode("utf-8", "replace").translate(_FOLD).split()) & np.uint64((1 << bits) - 1)).astype(np.int32)
+        return np.zeros((0, width), np.int32)
+    first, last, size = word_ends(text.lower().encode("utf-8", "replace").translate(_FOLD))
+    out = np.empty((len(first), width), np.int32)
+    shift = np.uint64(64 - bits)
+    out[:, 0] = (mixed(first, last, size.astype(np.uint64)) * _ODD[0]) >> shift
+    for j, k in enumerate(prefixes):
+        out[:, j + 1] = (mixed(first & _MASKS[k], np.uint64(k)) * _ODD[0]) >> shift
+    return out
 
 
 def crc_of_ids(ids: np.ndarray) -> int:

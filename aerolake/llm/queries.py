@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import language_id, mixing
+from aerolake.llm import language_id, mixing, quality, secrets, toxicity
 from aerolake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,40 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels; the split by id never looks at a label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+    marks = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return docs.filter(~F.col("held_out")).join(marks, "doc_id")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+    languages = language_id.fit(docs.filter(~F.col("held_out")))
+    model = toxicity.fit(labelled(spark, sf_dir), languages)
+    scored = toxicity.score(docs.select("doc_id", "held_out", "text"), model)
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), F.col("is_toxic").cast("int").alias("predicted"))
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor and toxic, 1 poor, 2 good but toxic, 3 good; the tail is the probability of a good text."""
+    graded = labelled(spark, sf_dir).select("text", (2 * F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    model = quality.fit(graded, grades=4)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+    found = quality.grade(docs, model, tail_from=2)
+    return found.select("doc_id", "held_out", "expected_grade", F.col("tail").alias("score"), F.col("selected").cast("int").alias("predicted"))
+
+
+@query("op4_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kind = {k: secrets.count_of(F.col("spans"), k) for k in secrets.KINDS}
+    return found.select(
+        "doc_id", *[kind[k].alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(secrets.listed(F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"), kind["novel"].alias("n_novel"),
+    )
