@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import language_id, mixing, quality, secrets, toxicity
+from aerolake.llm import language_id, mixing, packing, quality, secrets, tokenfiles, toxicity
 from aerolake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listed(F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"), kind["novel"].alias("n_novel"),
     )
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
