@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import language_id, mixing, packing, quality, secrets, tokenfiles, toxicity
+from aerolake.llm import language_id, mixing, near_dup, packing, quality, secrets, tokenfiles, toxicity
 from aerolake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,18 +38,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their labels; the split by id never looks at a label."""
+def learning(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with ``held_out``, the documents to learn from and their labels; the split by id never looks at a label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
-    marks = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return docs.filter(~F.col("held_out")).join(marks, "doc_id")
+    marks = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "quality", "toxic")
+    return docs, docs.filter(~F.col("held_out")), marks
 
 
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
-    languages = language_id.fit(docs.filter(~F.col("held_out")))
-    model = toxicity.fit(labelled(spark, sf_dir), languages)
+    docs, seen, marks = learning(spark, sf_dir)
+    model = toxicity.fit(seen, marks, language_id.fit(seen))
     scored = toxicity.score(docs.select("doc_id", "held_out", "text"), model)
     return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), F.col("is_toxic").cast("int").alias("predicted"))
 
@@ -57,10 +56,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_quality")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 poor and toxic, 1 poor, 2 good but toxic, 3 good; the tail is the probability of a good text."""
-    graded = labelled(spark, sf_dir).select("text", (2 * F.col("quality") + 1 - F.col("toxic")).alias("grade"))
-    model = quality.fit(graded, grades=4)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
-    found = quality.grade(docs, model, tail_from=2)
+    docs, seen, marks = learning(spark, sf_dir)
+    model = quality.fit(seen, marks.withColumn("grade", 2 * F.col("quality") + 1 - F.col("toxic")), grades=4)
+    found = quality.grade(docs.select("doc_id", "held_out", "text"), model, tail_from=2)
     return found.select("doc_id", "held_out", "expected_grade", F.col("tail").alias("score"), F.col("selected").cast("int").alias("predicted"))
 
 
@@ -83,3 +81,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
