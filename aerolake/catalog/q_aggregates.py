@@ -289,7 +289,7 @@ def encode_city(spark, d):
 
 @query("random_split", """
     SELECT o_orderkey, CASE WHEN ('0x' || substr(md5(cast(o_orderkey AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0
-                                < least(0.1, 5000.0 / (SELECT count(*) FROM orders)) THEN 'test' ELSE 'train' END AS split
+                                < 0.1 THEN 'test' ELSE 'train' END AS split
     FROM orders""")
 def random_split(spark, d):
     return prepare.random_split(v.table(spark, d, "orders"), ["o_orderkey"]).select("o_orderkey", "split")

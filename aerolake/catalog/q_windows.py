@@ -114,11 +114,11 @@ def trend_factor(spark, d):
     SELECT s.city, cast(s.i AS INTEGER) AS start, s.date AS start_date, {sql_rnd("sum(d.x) FILTER (d.i < s.i + 24)", 5)} AS history_sum,
            {sql_rnd("sum(d.x) FILTER (d.i >= s.i + 24)", 5)} AS target_sum, min(d.date) FILTER (d.i >= s.i + 24) AS target_date
     FROM d s JOIN d ON d.city = s.city AND d.i >= s.i AND d.i < s.i + 48
-    WHERE s.i < s.n - 48 AND s.i % 2 = 0 AND s.i / 2 < 100
+    WHERE s.i < s.n - 48 AND s.i % 2 = 0
     GROUP BY s.city, s.i, s.date HAVING count(d.x) = 48""", ("v_city_daily",))
 def sequence_windows(spark, d):
     rows = city_days(spark, d).withColumn("top", F.when(F.col("top") <= 499.5, F.col("top")))
-    out = windows.sequence_windows(rows, ["city"], ["top"], ["top"], 24, 24, stride=2, per_series=100)
+    out = windows.sequence_windows(rows, ["city"], ["top"], ["top"], 24, 24, stride=2)
 
     def total(c):
         return F.aggregate(F.transform(c, lambda x: x["top"]), F.lit(0.0), lambda a, x: a + x)

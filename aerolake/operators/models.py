@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +20,12 @@ from aerolake.functions.values import clip
 from aerolake.operators.evaluate import regression_metrics
 from aerolake.operators.prepare import Scaler
 from aerolake.operators.windows import explode_window, fill_forward_backward, recent_window, sequence_windows
+from aerolake.plans.joins import materialized, settle
 from aerolake.plans.quantiles import exact_quantiles
 
 SEED = 42
+#: Fixed value: the key under which clients know the window forecasts.
+SEQUENCE_NAME = "nf_vae"
 
 
 def regressors(trees: int = 100, rounds: int = 100, max_bins: int = 128, **depths: int) -> dict[str, Estimator]:
@@ -102,34 +108,32 @@ def train_all_evaluate(
 ) -> TrainingResult:
     """Fit every estimator on the ``train`` rows of ``split`` and measure it on the ``test`` rows.
 
-    Columns derived from the target must not be among ``features``. The
-    prepared training rows are persisted once for all models; lost partitions
-    are computed again from the input. A model that fails is recorded and left out.
+    Columns derived from the target must not be among ``features``. The split table and the
+    prepared training rows are written once for all models; all models score the test rows in one pass.
+    A model that fails is recorded and left out.
     """
     leaks = [f for f in features if f == target or f.startswith(f"{target}_")]
     if leaks:
         raise ValueError(f"features derived from the target: {leaks}")
+    df = materialized(df, "training-rows")
     train = df.filter(F.col("split") == "train")
-    test = df.filter(F.col("split") == "test")
     stages = FeatureStages.fit(train, features, city)
-    prepared = stages.transform(train).select("features", F.col(target).cast("double").alias("label")).persist()
-    models, failures, scored = {}, {}, None
-    try:
-        for name, estimator in estimators.items():
-            try:
-                model = stages.with_model(estimator.fit(prepared))
-            except Exception as e:  # noqa: BLE001 - one model's failure must not stop the others
-                failures[name] = str(e)
-                continue
-            models[name] = model
-            part = model.transform(test).select(
-                *keep, F.lit(name).alias("model"), F.col(target).cast("double").alias("actual"),
-                clip("prediction", 0, 600).alias("predicted"),
-            )
-            scored = part if scored is None else scored.unionByName(part)
-    finally:
-        prepared.unpersist()
-    metrics = regression_metrics(scored) if scored is not None else None
+    prepared = settle(stages.transform(train).select("features", F.col(target).cast("double").alias("label")), "training-features")
+    models, failures = {}, {}
+    scored, parts = stages.transform(df.filter(F.col("split") == "test")), []
+    for i, (name, estimator) in enumerate(estimators.items()):
+        try:
+            model = estimator.fit(prepared)
+        except Exception as e:  # noqa: BLE001 - one model's failure must not stop the others
+            failures[name] = str(e)
+            continue
+        models[name] = stages.with_model(model)
+        scored = model.copy({model.predictionCol: f"__p{i}"}).transform(scored)
+        parts.append(F.struct(F.lit(name).alias("model"), clip(f"__p{i}", 0, 600).alias("predicted")))
+    metrics = None
+    if parts:
+        scored = scored.select(*keep, F.col(target).cast("double").alias("actual"), F.explode(F.array(*parts)).alias("r"))
+        metrics = regression_metrics(scored.select(*keep, "actual", "r.*"))
     return TrainingResult(models, metrics, failures, list(features))
 
 
@@ -146,62 +150,93 @@ def feature_importance(model: PipelineModel, features: list[str], spark) -> Data
 
 @dataclass
 class SequenceModel:
-    """One regressor per (target, forecast step) over the flattened, scaled history window."""
+    """One least-squares line per (target, forecast step) over the flattened, scaled history window.
+
+    All lines share the products of their inputs, so one pass over the windows fits every target and step.
+    """
 
     keys: list[str]
     features: list[str]
     targets: list[str]
     shape: dict[str, int]
     scaler: Scaler
-    steps: dict[tuple[str, int], object]
+    #: (target, step) -> intercept and one weight per window value
+    weights: dict[tuple[str, int], list[float]]
 
     @classmethod
     def fit(
         cls, daily: DataFrame, keys: list[str], features: list[str], targets: list[str] | str = "aqi",
-        horizons: tuple[int, ...] = (1, 2, 7), history: int = 24, horizon: int = 24, stride: int = 2, per_series: int = 800,
+        history: int = 24, horizon: int = 24, stride: int = 2, include_last: bool = False,
     ) -> "SequenceModel":
-        """Scaling is fitted on ``daily`` only, so pass the training part. Targets must be among the features."""
+        """Scaling is fitted on ``daily`` only, so pass the training part. Targets must be among the features.
+
+        Ordinary least squares; inputs that depend on each other share their weight (least norm). Without any
+        window every forecast is the training mean.
+        """
         targets = [targets] if isinstance(targets, str) else list(targets)
-        shape = {"history": history, "horizon": horizon, "stride": stride, "per_series": per_series}
+        shape = {"history": history, "horizon": horizon, "stride": stride, "include_last": include_last}
         self = cls(list(keys), list(features), targets, shape, Scaler.fit(daily, features), {})
-        rows = self._windows(daily).persist()
-        try:
-            for t in targets:
-                for h in horizons:
-                    step = rows.select("features", F.element_at("target", h)[t].alias("label"))
-                    self.steps[(t, h)] = LinearRegression(regParam=0.1).fit(step)
-        finally:
-            rows.unpersist()
+        inputs = 1 + history * len(features)
+        outputs = [(t, h) for t in targets for h in range(1, horizon + 1)]
+        ahead = F.concat(*[F.transform("target", _field(t)) for t in targets])
+        rows = self._windows(daily).select(array_to_vector(F.concat(F.array(F.lit(1.0)), "inputs", ahead)).alias("row"))
+        products = self._products(rows, inputs + len(outputs))
+        solved = np.linalg.lstsq(products[:inputs, :inputs], products[:inputs, inputs:], rcond=1e-10)[0]
+        self.weights = {o: solved[:, i].tolist() for i, o in enumerate(outputs)}
         return self
 
-    def _vector(self, df: DataFrame, column: str) -> DataFrame:
-        flat = F.flatten(F.transform(column, lambda x: F.array(*[x[f] for f in self.features])))
-        return df.withColumn("features", array_to_vector(flat))
+    @staticmethod
+    def _products(rows: DataFrame, size: int) -> np.ndarray:
+        """Sums of products of all pairs of columns, from partial sums of fixed size."""
+        if not rows.limit(1).count():
+            return np.zeros((size, size))
+        return RowMatrix(MLUtils.convertVectorColumnsFromML(rows)).computeGramianMatrix().toArray()
+
+    def _inputs(self, column: str) -> Column:
+        return F.flatten(F.transform(column, lambda x: F.array(*[x[f] for f in self.features])))
 
     def _windows(self, daily: DataFrame) -> DataFrame:
         scaled = self.scaler.transform(self.scaler.impute(daily))
-        return self._vector(sequence_windows(scaled, self.keys, self.features, self.targets, **self.shape), "history")
-
-    def _unscaled(self, column: Column, target: str) -> Column:
-        _, mean, std = self.scaler.stats[target]
-        return column * F.lit(std) + F.lit(mean)
+        return sequence_windows(scaled, self.keys, self.features, self.targets, **self.shape).withColumn("inputs", self._inputs("history"))
+
+    def _lines(self, spark, targets: list[str]) -> DataFrame:
+        """(target, step, line): at most targets x steps rows."""
+        rows = [(t, h, w) for (t, h), w in self.weights.items() if t in targets]
+        return spark.createDataFrame(rows, "target_name string, step int, line array<double>")
+
+    @staticmethod
+    def _predicted() -> Column:
+        products = F.zip_with(F.concat(F.array(F.lit(1.0)), "inputs"), "line", lambda x, w: x * w)
+        return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+
+    def _unscaled(self, column: Column, target: Column) -> Column:
+        """Back to the units of a target named by a column."""
+        out = F.lit(None).cast("double")
+        for t in self.targets:
+            _, mean, std = self.scaler.stats[t]
+            out = F.when(target == t, column * F.lit(std) + F.lit(mean)).otherwise(out)
+        return out
 
     def evaluate(self, daily: DataFrame) -> DataFrame:
         """(keys, start, target, step, actual, predicted) over the windows of ``daily``, in original units."""
-        rows, parts = self._windows(daily), []
-        for i, ((t, h), model) in enumerate(self.steps.items()):
-            rows = model.transform(rows).withColumnRenamed("prediction", f"__p{i}")
-            parts.append(F.struct(
-                F.lit(t).alias("target"), F.lit(h).alias("step"),
-                self._unscaled(F.element_at("target", h)[t], t).alias("actual"), self._unscaled(F.col(f"__p{i}"), t).alias("predicted"),
-            ))
-        return rows.select(*self.keys, "start", F.explode(F.array(*parts)).alias("r")).select(*self.keys, "start", "r.*")
-
-    def predict(self, daily: DataFrame, spine: DataFrame, target: str | None = None) -> DataFrame:
-        """Forecast per row of ``spine`` (keys, date, day_offset >= 0).
-
-        Each offset uses the nearest trained step at or after it, offsets beyond
-        the last step use the last. A key without history gets the training mean.
+        steps = F.explode(F.sequence(F.lit(1), F.lit(self.shape["horizon"])))
+        actual = F.element_at("target", F.col("step"))
+        rows = self._windows(daily).withColumn("step", steps)
+        rows = rows.withColumn("r", F.explode(F.array(*[F.struct(F.lit(t).alias("target_name"), actual[t].alias("y")) for t in self.targets])))
+        rows = rows.select(*self.keys, "start", "step", "inputs", "r.*")
+        joined = rows.join(F.broadcast(self._lines(daily.sparkSession, self.targets)), ["target_name", "step"])
+        name = F.col("target_name")
+        return joined.select(
+            *self.keys, "start", name.alias("target"), "step", self._unscaled(F.col("y"), name).alias("actual"),
+            self._unscaled(self._predicted(), name).alias("predicted"),
+        )
+
+    def predict(self, daily: DataFrame, spine: DataFrame, target: str | None = None, fallback: DataFrame | None = None) -> DataFrame:
+        """Forecast per row of ``spine`` (keys, date, day_offset).
+
+        Offset d is step d + 1, offsets beyond the last step use the last. Days before the first (negative offsets) and
+        keys without history take ``predicted_aqi`` from ``fallback`` (keys, date) and the tag ``simple_fallback``; without a
+        fallback they stay empty.
         """
         target = target or self.targets[0]
         windows = explode_window(recent_window(daily, self.keys, self.features, self.shape["history"]), self.keys)
@@ -210,15 +245,22 @@ class SequenceModel:
         packed = scaled.groupBy(*self.keys).agg(
             F.sort_array(F.collect_list(F.struct("position", *self.features))).alias("window")
         )
-        out = self._vector(packed, "window").select(*self.keys, "features")
-        steps = sorted(h for t, h in self.steps if t == target)
-        for h in steps:
-            out = self.steps[(target, h)].transform(out).withColumnRenamed("prediction", f"__step_{h}")
-        joined = spine.join(out.drop("features"), self.keys, "left")
-        pick = F.col(f"__step_{steps[-1]}")
-        for h in reversed(steps[:-1]):
-            pick = F.when(F.col("day_offset") + 1 <= h, F.col(f"__step_{h}")).otherwise(pick)
-        joined = joined.withColumn("__raw", clip(self._unscaled(F.coalesce(pick, F.lit(0.0)), target), 0, 600))
-        return joined.withColumns({"predicted_aqi": F.round("__raw", 2), "category": A.aqi_category("__raw")}).drop(
-            "__raw", *[f"__step_{h}" for h in steps]
-        )
+        known = packed.select(*self.keys, self._inputs("window").alias("inputs"))
+        step = F.least(F.col("day_offset") + 1, F.lit(self.shape["horizon"])).cast("int")
+        joined = spine.withColumn("step", step).join(known, self.keys, "left")
+        joined = joined.join(F.broadcast(self._lines(spine.sparkSession, [target]).drop("target_name")), "step", "left")
+        usable = F.col("inputs").isNotNull() & F.col("line").isNotNull()
+        raw = F.when(usable, clip(self._unscaled(self._predicted(), F.lit(target)), 0, 600))
+        model, value = F.when(usable, F.lit(SEQUENCE_NAME)), raw
+        out = joined.withColumns({"__raw": value, "model_used": model})
+        if fallback is not None:
+            simple = fallback.select(*self.keys, "date", F.col("predicted_aqi").alias("__simple"))
+            out = out.join(simple, [*self.keys, "date"], "left").withColumns({
+                "model_used": F.when(F.col("__raw").isNull() & F.col("__simple").isNotNull(), "simple_fallback").otherwise(F.col("model_used")),
+                "__raw": F.coalesce("__raw", "__simple"),
+            }).drop("__simple")
+        return out.withColumns({"predicted_aqi": F.round("__raw", 2), "category": A.aqi_category("__raw")}).drop("__raw", "step", "inputs", "line")
+
+
+def _field(name: str):
+    return lambda x: x[name]

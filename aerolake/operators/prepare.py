@@ -17,10 +17,11 @@ def hash_fraction(keys: list[str]) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def random_split(df: DataFrame, keys: list[str], share: float = 0.1, max_rows: int = 5000) -> DataFrame:
-    """Mark rows ``test`` with probability min(share, max_rows / rows), else ``train``."""
-    rows = df.agg(F.count("*")).scalar()
-    limit = F.least(F.lit(share), F.try_divide(F.lit(float(max_rows)), rows))
+def random_split(df: DataFrame, keys: list[str], share: float = 0.1, max_rows: int | None = None) -> DataFrame:
+    """Mark rows ``test`` with probability ``share``, else ``train``; with ``max_rows`` at most about so many are tests."""
+    limit = F.lit(share)
+    if max_rows is not None:
+        limit = F.least(limit, F.try_divide(F.lit(float(max_rows)), df.agg(F.count("*")).scalar()))
     return df.withColumn("split", F.when(hash_fraction(keys) < limit, "test").otherwise("train"))
 
 

@@ -111,13 +111,12 @@ def trend_factor(daily: DataFrame, keys: list[str] = ("city",), value: str = "aq
 
 def sequence_windows(
     df: DataFrame, keys: list[str], features: list[str], targets: list[str], history: int = 24, horizon: int = 24,
-    stride: int = 1, per_series: int = 1000, include_last: bool = False, date: str = "date",
+    stride: int = 1, include_last: bool = False, date: str = "date",
 ) -> DataFrame:
     """Sliding (history, horizon) windows per series as arrays of structs.
 
-    Window starts are every ``stride`` rows, at most ``per_series`` of them;
-    windows with a missing value are left out. The last possible start is
-    used only with ``include_last``.
+    Window starts are every ``stride`` rows of the whole series; windows with a
+    missing value are left out. The last possible start is used only with ``include_last``.
     """
     w = series_window(keys, date)
     span = history + horizon
@@ -129,8 +128,6 @@ def sequence_windows(
         "__n": F.count("*").over(Window.partitionBy(*keys)),
         "__gap": gap.cast("int"),
     })
-    # Rows behind the last wanted window are dropped before arrays are built.
-    numbered = numbered.filter(F.col("__i") < (per_series - 1) * stride + span)
     packed = numbered.withColumns({
         "history": F.collect_list(F.struct(date, *features)).over(w.rowsBetween(0, history - 1)),
         "target": F.collect_list(F.struct(date, *targets)).over(w.rowsBetween(history, span - 1)),
@@ -139,7 +136,7 @@ def sequence_windows(
     last = F.col("__n") - span
     fits = (F.col("__i") <= last) if include_last else (F.col("__i") < last)
     start = F.col("__i")
-    return packed.filter(fits & (start % stride == 0) & (F.floor(start / stride) < per_series) & (F.col("__gaps") == 0)).select(
+    return packed.filter(fits & (start % stride == 0) & (F.col("__gaps") == 0)).select(
         *keys, start.alias("start"), F.col(date).alias("start_date"), "history", "target"
     )
 

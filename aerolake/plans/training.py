@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from aerolake import lookups
 from aerolake.operators import daily, features, prepare, quality, windows
 from aerolake.operators.evaluate import long_metrics, regression_metrics
-from aerolake.operators.models import SequenceModel, TrainingResult, regressors, train_all_evaluate
+from aerolake.operators.models import SEQUENCE_NAME, SequenceModel, TrainingResult, regressors, train_all_evaluate
+from aerolake.plans.joins import materialized
 from aerolake.sources import sinks
 
 
@@ -29,7 +30,7 @@ def usable_features(df: DataFrame, candidates: list[str] | None = None) -> list[
 
 def train(df: DataFrame, keys: list[str], estimators: dict | None = None, target: str = "aqi") -> TrainingResult:
     """Split by key hash, fit every model and measure it on the held-out rows."""
-    table = training_table(df)
+    table = materialized(training_table(df), "training-table")
     names = usable_features(table)
     split = prepare.random_split(table, keys)
     return train_all_evaluate(split, names, target, estimators or regressors(), keep=keys)
@@ -44,7 +45,7 @@ def train_sequence(
     """
     split = windows.chrono_split(daily_means)
     model = SequenceModel.fit(split.filter("split = 'train'"), keys, inputs, targets, **options)
-    rows = model.evaluate(split.filter("split = 'validation'")).withColumn("model", F.lit("nf_vae"))
+    rows = model.evaluate(split.filter("split = 'validation'")).withColumn("model", F.lit(SEQUENCE_NAME))
     every = long_metrics(regression_metrics(rows), "all_features")
     single = long_metrics(regression_metrics(rows.filter(F.col("target") == target)), "aqi_only")
     return model, every.unionByName(single)

@@ -215,9 +215,9 @@ def test_sequence_window_count(spark, n, expected):
 def test_sequence_window_options(spark):
     df = series(spark, a=100)
     assert windows.sequence_windows(df, ["city"], ["aqi"], ["aqi"], include_last=True).count() == 53
-    capped = windows.sequence_windows(df, ["city"], ["aqi"], ["aqi"], stride=3, per_series=4).collect()
-    assert sorted(r.start for r in capped) == [0, 3, 6, 9]
-    first = next(r for r in capped if r.start == 3)
+    strided = windows.sequence_windows(df, ["city"], ["aqi"], ["aqi"], stride=3).collect()
+    assert sorted(r.start for r in strided) == list(range(0, 52, 3))
+    first = next(r for r in strided if r.start == 3)
     assert [x.aqi for x in first.history] == [float(i) for i in range(3, 27)]
     assert [x.aqi for x in first.target] == [float(i) for i in range(27, 51)]
     holes = df.withColumn("aqi", F.when(F.col("aqi") != 50, F.col("aqi")))
@@ -366,18 +366,46 @@ def test_scoring_defaults(spark):
 
 def test_sequence_model_horizons(spark):
     df = series(spark, a=200, b=200)
-    model = models.SequenceModel.fit(df, ["city"], ["aqi"], horizons=(1, 3), stride=1)
+    model = models.SequenceModel.fit(df, ["city"], ["aqi"], horizon=3, stride=1)
     spine = forecast.forecast_spine(spark.createDataFrame([("a",), ("new",)], "city string"), "2024-08-01", 5)
-    got = {(r.city, r.day_offset): r.predicted_aqi for r in model.predict(df, spine).collect()}
-    assert got[("a", 0)] == pytest.approx(200, abs=3) and got[("a", 2)] == pytest.approx(202, abs=3)
-    assert got[("a", 1)] == got[("a", 2)] == got[("a", 4)]
-    assert got[("new", 0)] == pytest.approx(99.5, abs=0.01)
+    spine = spine.withColumn("day_offset", F.col("day_offset") - 1)
+    simple = spine.select("city", "date", F.lit(42.0).alias("predicted_aqi"))
+    rows = model.predict(df, spine, fallback=simple).collect()
+    got = {(r.city, r.day_offset): (r.predicted_aqi, r.model_used) for r in rows}
+    assert [got[("a", d)] for d in range(4)] == [(200.0, "nf_vae"), (201.0, "nf_vae"), (202.0, "nf_vae"), (202.0, "nf_vae")]
+    assert got[("a", -1)] == got[("new", 0)] == (42.0, "simple_fallback")
+    assert all(r.predicted_aqi is None and r.model_used is None for r in model.predict(df, spine).filter("city = 'new'").collect())
+
+
+def test_sequence_model_is_least_squares_over_all_windows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(c, float(rng.normal(100, 9)), float(rng.normal(5, 2))) for c in "ab" for _ in range(90)]
+    start = dt.date(2024, 1, 1)
+    days = [(c, start + dt.timedelta(days=i % 90), x, y) for i, (c, x, y) in enumerate(rows)]
+    df = spark.createDataFrame(days, "city string, date date, aqi double, pm25 double")
+    model = models.SequenceModel.fit(df, ["city"], ["aqi", "pm25"], ["pm25"], history=3, horizon=4, stride=1, include_last=True)
+    x, y = [], []
+    for c in "ab":
+        v = np.array([[r[2], r[3]] for r in days if r[0] == c])
+        for i in range(90 - 6):  # the newest window ends with the last day
+            x.append([1, *v[i : i + 3].ravel()])
+            y.append(v[i + 3 : i + 7, 1])
+    want = np.linalg.lstsq(np.array(x), np.array(y), rcond=None)[0]
+    rows = model.evaluate(df.filter("city = 'a'")).orderBy("start", "step").collect()
+    assert len(rows) == 84 * 4
+    assert [r.predicted for r in rows] == pytest.approx((np.array(x)[:84] @ want).ravel().tolist(), abs=1e-6)
+
+
+def test_sequence_model_without_windows(spark):
+    model = models.SequenceModel.fit(series(spark, a=5), ["city"], ["aqi"], history=3, horizon=4)
+    spine = forecast.forecast_spine(spark.createDataFrame([("a",)], "city string"), "2024-08-01", 2)
+    assert [r.predicted_aqi for r in model.predict(series(spark, a=5), spine).collect()] == [2.0, 2.0]
 
 
 def test_sequence_training_measures_later_days(spark):
     days = series(spark, a=300, b=300).withColumn("pm25", F.col("aqi") % 7)
-    model, metrics = training.train_sequence(days, ["city"], ["aqi", "pm25"], ["aqi", "pm25"], horizons=(1, 2), stride=1)
-    assert set(model.steps) == {("aqi", 1), ("aqi", 2), ("pm25", 1), ("pm25", 2)}
+    model, metrics = training.train_sequence(days, ["city"], ["aqi", "pm25"], ["aqi", "pm25"], horizon=2, stride=1)
+    assert set(model.weights) == {("aqi", 1), ("aqi", 2), ("pm25", 1), ("pm25", 2)}
     # 480 training rows scale the data; validation rows are later days only.
     assert model.scaler.stats["aqi"][1] == pytest.approx(np.mean(range(240)))
     got = {(r.scope, r.metric): r.value for r in metrics.collect()}

@@ -6,7 +6,7 @@ from aerolake.catalog import QUERIES
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"]
 STREAMED = {n for n in QUERIES if n.startswith("stream_")}
-FITTED = {"train_random_forest", "train_gbt", "train_all_evaluate", "feature_importance", "predict_batch", "sequence_forecast"}
+FITTED = {"train_random_forest", "train_gbt", "train_all_evaluate", "feature_importance", "predict_batch"}
 
 
 def plan(df):
