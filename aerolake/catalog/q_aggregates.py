@@ -131,24 +131,27 @@ def _station_predictions(spark, d):
     )
 
 
+# Halves are rounded up in Spark; the billionth has DuckDB do so too.
 _SP = f"""SELECT city, date, station AS station_id, round(avg(aqi), 7) AS predicted_aqi, {sql_category("avg(aqi)")} AS category
           FROM v_city_daily GROUP BY city, date, station"""
 
 
 @query("city_rollup_of_stations", f"""
-    SELECT city, date, 'CITY_AVG' AS station_id, count(*) AS stations_count
+    SELECT city, date, 'CITY_AVG' AS station_id, count(*) AS stations_count, round(avg(predicted_aqi) + 1e-9, 2) AS predicted_aqi,
+           round(min(predicted_aqi) + 1e-9, 2) AS min_station_aqi, round(max(predicted_aqi) + 1e-9, 2) AS max_station_aqi
     FROM ({_SP}) GROUP BY city, date""", ("v_city_daily",))
 def city_rollup_of_stations(spark, d):
-    """The means are compared with whole forecasts in predict_stations; here every city and day must have its row."""
     out = forecast.city_rollup_of_stations(_station_predictions(spark, d))
-    return out.select("city", "date", "station_id", "stations_count")
+    return out.select("city", "date", "station_id", "stations_count", "predicted_aqi", "min_station_aqi", "max_station_aqi")
 
 
 @query("prediction_summary", f"""
     WITH p AS ({_SP}), h AS (SELECT city, date, string_agg(category || ':' || cast(n AS VARCHAR), ',' ORDER BY category) AS histogram
                              FROM (SELECT city, date, category, count(*) AS n FROM p GROUP BY city, date, category) GROUP BY city, date)
     SELECT p.city, p.date, count(*) AS stations, any_value(histogram) AS histogram,
-           arg_min(station_id, (-predicted_aqi, station_id)) AS worst_station, arg_min(station_id, (predicted_aqi, station_id)) AS best_station
+           arg_min(station_id, (-predicted_aqi, station_id)) AS worst_station, arg_min(station_id, (predicted_aqi, station_id)) AS best_station,
+           round(avg(predicted_aqi) + 1e-9, 2) AS average_aqi, round(min(predicted_aqi) + 1e-9, 2) AS min_aqi, round(max(predicted_aqi) + 1e-9, 2) AS max_aqi,
+           arg_min(category, (-predicted_aqi, station_id)) AS worst_category, arg_min(category, (predicted_aqi, station_id)) AS best_category
     FROM p JOIN h ON p.city = h.city AND p.date = h.date GROUP BY p.city, p.date""", ("v_city_daily",))
 def prediction_summary(spark, d):
     out = compare.prediction_summary(_station_predictions(spark, d))
@@ -157,6 +160,7 @@ def prediction_summary(spark, d):
     return out.select(
         "city", "date", stations, F.array_join(entries, ",").alias("histogram"),
         F.col("worst_station.station_id").alias("worst_station"), F.col("best_station.station_id").alias("best_station"),
+        "average_aqi", "min_aqi", "max_aqi", F.col("worst_station.category").alias("worst_category"), F.col("best_station.category").alias("best_category"),
     )
 
 

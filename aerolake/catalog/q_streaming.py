@@ -27,7 +27,9 @@ def stream_ingest(spark, d):
     data = F.struct(F.col("value").alias("aqi"), measures.alias("iaqi"))
     status = F.when(F.col("pollutant") == "error", "error").otherwise("ok")
     raw = f.select("event_id", "ts", city.alias("city"), F.to_json(F.struct(status.alias("status"), data.alias("data"))).alias("payload"))
-    out = live.run_available(live.stream_ingest(raw, v.city_alias(spark, d)), "ingest")
+    aliases = v.city_alias(spark, d)  # every alias in two spellings, of which one counts
+    aliases = aliases.unionByName(aliases.withColumn("alias", F.concat(F.upper("alias"), F.lit(" "))))
+    out = live.run_available(live.stream_ingest(raw, aliases), "ingest")
     return out.select("event_id", "city", "aqi", "pm25", F.lower(F.trim("station")).alias("station"))
 
 
@@ -51,8 +53,7 @@ def stream_ttl_dedupe(spark, d):
     SELECT city, event_id, value FROM v_feed QUALIFY row_number() OVER (PARTITION BY city ORDER BY ts DESC, event_id DESC) = 1""", ("v_feed",))
 def stream_latest_city(spark, d):
     f = _feed(spark, d).select("event_id", "ts", "city", "value")
-    out = live.run_available(live.stream_latest_city(f), "latest", "update")
-    return live.latest_batch(out, ["city"]).select("city", "event_id", "value")
+    return live.run_available(live.stream_latest_city(f), "latest", "update", ["city"]).select("city", "event_id", "value")
 
 
 @query("stream_compare", f"""

@@ -27,6 +27,12 @@ def canonical_cities(aliases: DataFrame) -> DataFrame:
     return aliases.select(F.col("canonical").alias("city")).distinct()
 
 
+def alias_keys(aliases: DataFrame) -> DataFrame:
+    """(__alias, canonical): one row per look-up key; of several names for one key the first by alias and name."""
+    keyed = aliases.select(lookup_key("alias").alias("__alias"), "alias", "canonical").filter("__alias IS NOT NULL")
+    return keyed.groupBy("__alias").agg(F.min_by("canonical", F.struct("alias", "canonical")).alias("canonical"))
+
+
 def normalize_city(
     df: DataFrame, aliases: DataFrame, column: str = "city", policy: str = "null", keep_original: bool = True
 ) -> DataFrame:
@@ -40,8 +46,7 @@ def normalize_city(
     raw = F.col(column)
     if keep_original and "city_original" not in df.columns:
         df = df.withColumn("city_original", raw)
-    dim = aliases.select(lookup_key("alias").alias("__alias"), "canonical").dropDuplicates(["__alias"])
-    joined = join_dimension(df.withColumn("__alias", lookup_key(column)), dim, ["__alias"], bound=aliases)
+    joined = join_dimension(df.withColumn("__alias", lookup_key(column)), alias_keys(aliases), ["__alias"], bound=aliases)
     found = F.col("canonical")
     name = {
         "null": found,

@@ -79,7 +79,7 @@ def with_live_comparison(predictions: DataFrame, current: DataFrame, as_of: str)
     """
     today = F.col("date") == F.lit(as_of).cast("date")
     live = current.select("city", F.col("current_aqi").alias("__live"))
-    joined = predictions.join(live, "city", "left").withColumn("realtime_aqi", F.when(today, F.col("__live"))).drop("__live")
+    joined = join_dimension(predictions, live, ["city"]).withColumn("realtime_aqi", F.when(today, F.col("__live"))).drop("__live")
     seen = F.col("realtime_aqi").isNotNull()
     return joined.withColumns({
         "realtime_category": F.when(seen, A.aqi_category("realtime_aqi")),

@@ -47,7 +47,7 @@ def forecast_horizon(df: DataFrame, as_of: str, days: int = 30, column: str = "d
 def city_average(history: DataFrame, requests: DataFrame, keys: list[str] = ("city",), value: str = "aqi") -> DataFrame:
     """Mean per requested key, with the city's default level where there is no history."""
     means = history.groupBy(*keys).agg(F.avg(value).alias("mean_aqi"))
-    return requests.join(means, list(keys), "left").withColumn(
+    return join_dimension(requests, settle(means, "means"), list(keys)).withColumn(
         "mean_aqi", F.coalesce("mean_aqi", A.default_city_level("city"))
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +36,13 @@ def add_provenance(df: DataFrame, dataset: V.ColumnOrName, file_name: V.ColumnOr
 def _rename(df: DataFrame, headers: Mapping[str, list[str]], keep: Iterable[str]) -> DataFrame:
     out, used = [], set()
     for target, variants in headers.items():
-        present, seen = [], set()
+        present = []
         for v in variants:
-            if v in df.columns and v.lower() not in seen:
-                seen.add(v.lower())
-                used.add(v)
-                present.append(F.col(f"`{v}`"))
+            # Names that differ in case only, which a CSV read numbers, are copies of one column.
+            for c in df.columns:
+                if re.sub(r"#[0-9]+$", "", c).lower() == v.lower() and c not in used:
+                    used.add(c)
+                    present.append(F.col(f"`{c}`"))
         if present:
             out.append((F.coalesce(*present) if len(present) > 1 else present[0]).alias(target))
     out += [F.col(c) for c in keep if c in df.columns and c not in used]

@@ -43,8 +43,14 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
 
 def derived(df: DataFrame) -> bool:
     """True when ``df`` is more than a scan with projections and filters, so that reading it twice is costly."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return any(node in plan for node in ("Aggregate", "Join", "Window", "Sort", "Generate", "Union"))
+
+    def names(node):
+        yield node.nodeName()
+        children = node.children()
+        for i in range(children.size()):
+            yield from names(children.apply(i))
+
+    return any(n in ("Aggregate", "Join", "Window", "Sort", "Generate", "Union") for n in names(df._jdf.queryExecution().optimizedPlan()))
 
 
 def materialized(df: DataFrame, purpose: str) -> DataFrame:

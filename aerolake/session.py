@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,14 +32,15 @@ def build_session(app_name: str = "aerolake", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``.
+    """A fresh folder under ``spark.checkpoint.dir``, or under the folder given to ``setCheckpointDir``.
 
     Every executor must reach it, so a machine-local folder is used only when
-    the setting is absent on a local master (as in tests).
+    neither is set and driver and executors are one process (as in tests).
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    set_by_caller = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or (set_by_caller.get() if set_by_caller.isDefined() else None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="aerolake-")
         spark.sparkContext.setCheckpointDir(root)

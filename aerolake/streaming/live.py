@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import aqi as A
 from aerolake.functions.values import lookup_key
-from aerolake.plans.joins import is_small
+from aerolake.operators.cities import alias_keys
+from aerolake.plans.joins import join_dimension
 from aerolake.session import shared_dir
 from aerolake.sources.feeds import parse_feed_components, parse_feed_iaqi
 
@@ -33,12 +34,10 @@ def read_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", *
 def stream_ingest(events: DataFrame, aliases: DataFrame, kind: str = "iaqi", payload: str = "payload") -> DataFrame:
     """Provider payloads to canonical rows; unmapped cities keep their lower-case name.
 
-    The alias table is a static side, broadcast when its size allows.
+    The alias table is a static side with one row per key, broadcast when its size allows.
     """
     parsed = parse_feed_iaqi(events, payload) if kind == "iaqi" else parse_feed_components(events, payload)
-    dim = aliases.select(lookup_key("alias").alias("__alias"), "canonical")
-    dim = F.broadcast(dim) if is_small(aliases) else dim
-    named = parsed.withColumn("__alias", lookup_key("city")).join(dim, "__alias", "left")
+    named = join_dimension(parsed.withColumn("__alias", lookup_key("city")), alias_keys(aliases), ["__alias"], bound=aliases)
     return named.withColumn("city", F.coalesce("canonical", "__alias")).drop("__alias", "canonical")
 
 
@@ -66,11 +65,11 @@ def stream_compare(live: DataFrame, forecast: DataFrame, value: str = "value", t
     """Live rows with the forecast of their day, accuracy, category and trend.
 
     The forecast is a static table of cities and a few days, read again by every
-    micro-batch: pass a written table, not a computation over the history.
+    micro-batch: pass a written table, not a computation over the history. It is broadcast when its size allows.
     """
     day = F.to_date(ts)
     days = forecast.select("city", F.col("date").alias("__day"), F.col("predicted_aqi").alias("predicted_today"))
-    joined = live.withColumn("__day", day).join(days, ["city", "__day"])
+    joined = join_dimension(live.withColumn("__day", day), days, ["city", "__day"], how="inner")
     return joined.withColumns({
         "accuracy": A.prediction_accuracy(value, "predicted_today"),
         "category": A.aqi_category(value),
@@ -89,38 +88,62 @@ def stream_daily(events: DataFrame, keys: list[str], value: str = "value", ts: s
     )
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain what is available into a Parquet table in the shared folder and read it back.
+def _folders(spark: SparkSession, out: str) -> dict[int, str]:
+    """Finished versions of a current table: number -> path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {}
+    for f in fs.listStatus(path) if fs.exists(path) else []:
+        name = f.getPath().getName()
+        if name.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
+            found[int(name.partition("=")[2])] = f"{out.rstrip('/')}/{name}"
+    return found
 
-    Update and complete results are written per batch with the batch number;
-    the newest batch that holds a result row wins, so reruns of a batch after a
-    failure overwrite their own folder only.
+
+def upsert(batch: DataFrame, number: int, out: str, keys: list[str]) -> None:
+    """Rows of a batch replace those of their keys in the current table at ``out``.
+
+    The table is a folder per version; the one before the last is kept for readers, older ones are deleted, so it holds
+    one row per key twice at most. A batch that runs again after a failure builds on the version before it.
     """
-    spark = df.sparkSession
-    out, checkpoint = shared_dir(spark, f"{name}-out"), shared_dir(spark, f"{name}-state")
-    writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    spark = batch.sparkSession
+    done = {n: p for n, p in _folders(spark, out).items() if n < number}
+    rows = batch
+    if done:
+        kept = spark.read.schema(batch.schema).parquet(done[max(done)]).join(batch.select(*keys).distinct(), keys, "left_anti")
+        rows = kept.select(*batch.columns).unionByName(batch)
+    rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/version={number}")
+    for n in sorted(done)[:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(done[n])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def current_table(spark: SparkSession, out: str, schema) -> DataFrame:
+    """The newest finished version of a current table."""
+    done = _folders(spark, out)
+    return spark.read.schema(schema).parquet(done[max(done)]) if done else spark.createDataFrame([], schema)
+
+
+def _writer(df: DataFrame, out: str, checkpoint: str, mode: str, keys: list[str], kind: str = "parquet"):
+    writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
     if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", out).start()
-        query.awaitTermination()
-        return spark.read.schema(df.schema).parquet(out)
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        return writer.format(kind).option("path", out)
+    if mode != "update" or not keys:
+        raise ValueError("use append mode, or update mode with the keys of the current table")
+    return writer.foreachBatch(lambda batch, number: upsert(batch, number, out, keys))
 
-    query = writer.outputMode(mode).foreachBatch(save).start()
-    query.awaitTermination()
-    return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
 
+def run_available(df: DataFrame, name: str, mode: str = "append", keys: list[str] = ()) -> DataFrame:
+    """Drain what is available into a table in the shared folder and read it back; in update mode the current table of ``keys``."""
+    spark = df.sparkSession
+    out, checkpoint = shared_dir(spark, f"{name}-out"), shared_dir(spark, f"{name}-state")
+    _writer(df, out, checkpoint, mode, list(keys)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out) if mode == "append" else current_table(spark, out, df.schema)
 
-def start_live(df: DataFrame, out: str, checkpoint: str, interval: str = REFRESH, mode: str = "append", kind: str = "parquet"):
-    """Run continuously: one micro-batch per refresh interval, appended to ``out``; returns the running query."""
-    return (
-        df.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=interval).outputMode(mode)
-        .format(kind).option("path", out).start()
-    )
 
+def start_live(df: DataFrame, out: str, checkpoint: str, interval: str = REFRESH, mode: str = "append", kind: str = "parquet", keys: list[str] = ()):
+    """Run continuously, one micro-batch per refresh interval; returns the running query.
 
-def latest_batch(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Last written row per key of an update-mode result."""
-    rest = [c for c in df.columns if c not in keys and c != "batch"]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")
+    Append mode adds files to ``out``; update mode keeps a current table with one row per key there, see :func:`current_table`.
+    """
+    return _writer(df, out, checkpoint, mode, list(keys), kind).trigger(processingTime=interval).start()

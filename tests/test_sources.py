@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolake import schema
 from aerolake.lookups import CITY_ALIASES
-from aerolake.operators import cities, models
+from aerolake.operators import cities, models, standardize
 from aerolake.operators.standardize import union_by_name
 from aerolake.plans import ingestion, training
 from aerolake.plans.service import AirQuality
@@ -201,6 +201,45 @@ def test_questions(spark, history):
         q.future(["Atlantis"], "2024-05-01").collect()
 
 
+def test_current_table_runs_continuously(spark, tmp_path):
+    source, out = str(tmp_path / "in"), shared_dir(spark, "current")
+    rows = "event_id bigint, ts timestamp, city string, value double"
+
+    def send(*values_):
+        stamped = [(i, dt.datetime(2024, 1, 1, hour), city, v) for i, hour, city, v in values_]
+        spark.createDataFrame(stamped, rows).coalesce(1).write.mode("append").parquet(source)
+
+    send((1, 1, "a", 1.0), (2, 2, "b", 2.0))
+    latest = live.stream_latest_city(live.read_stream(spark, source, rows))
+    running = live.start_live(latest, out, shared_dir(spark, "current-state"), "1 second", "update", keys=["city"])
+    try:
+        running.processAllAvailable()
+        for n in range(4):
+            send((10 + n, 3 + n, "a", 10.0 + n), (20 + n, 1, "b", 0.0), (30 + n, 1, f"c{n}", 5.0))
+            running.processAllAvailable()
+    finally:
+        running.stop()
+    got = {r.city: r.value for r in live.current_table(spark, out, latest.schema).collect()}
+    assert got == {"a": 13.0, "b": 2.0, "c0": 5.0, "c1": 5.0, "c2": 5.0, "c3": 5.0}
+    assert len(live._folders(spark, out)) <= 3
+    with pytest.raises(ValueError, match="keys"):
+        live.start_live(latest, out, out, mode="update")
+
+
+def test_duplicate_aliases_do_not_multiply_events(spark):
+    aliases = spark.createDataFrame([("delhi", "Delhi"), ("Delhi ", "Delhi"), ("delhi", "A"), (None, "x")], "alias string, canonical string")
+    payload = '{"status":"ok","data":{"aqi":7,"iaqi":{}}}'
+    events = spark.createDataFrame([(1, "DELHI", payload)], "event_id int, city string, payload string")
+    assert live.stream_ingest(events, aliases).count() == 1
+    assert cities.normalize_city(events, aliases).select("city").collect() == live.stream_ingest(events, aliases).select("city").collect()
+
+
+def test_headers_that_differ_in_case_are_one_column(spark, tmp_path):
+    (tmp_path / "city_day.csv").write_text("City,PM2.5,pm2.5\nDelhi,,7\nDelhi,3,4\n")
+    frame = csv_tree.scan_csv_tree(spark, str(tmp_path), "set")["city_daily"][0]
+    assert [r.pm25 for r in standardize.standardize_readings(frame).orderBy("pm25").collect()] == ["3", "7"]
+
+
 def test_continuous_query(spark, sf_dir):
     schema_ = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = live.read_stream(spark, f"{sf_dir}/events.parquet", schema_).select("event_id")
