@@ -6,13 +6,14 @@ permutations are evaluated. Bands of values from different permutations find
 candidates: with 40 bands of 4 values a pair of similarity 0.75 is missed with a chance of
 ``(1 - 0.75 ** 4) ** 40`` = 3e-7. Every link is confirmed on full sets: ``100 * common >= 75 * union``.
 
-Only components are asked for, so pairs within a component are not tested:
+Only components are asked for, so links are found block by block and never listed as all pairs:
 
 1. Documents with equal sets are one node, the smallest ``doc_id`` among them.
-2. Each node is tested against the smallest node of the buckets they share most often.
-3. While many pairs of different components share a bucket, buckets are dealt by a new hash
-   to small parts, and nodes are tested against the first node of another component in their part.
-4. All pairs of different components that still share a bucket are tested.
+2. Nodes that share buckets, directly or through others, form a cluster.
+3. A cluster is dealt to blocks of bounded size. The common shingles of all pairs of a block are
+   a product of its incidence matrix; of the links found only a spanning star of each component leaves the task.
+4. Of clusters with several blocks, all pairs of blocks are compared likewise, but for those
+   whose nodes are already in one component.
 
 A document is known by its ``doc_id``: rows with one id are one node even if texts
 differ. Rows with a null id belong to no component and are kept. Null, empty and
@@ -23,6 +24,7 @@ form one shingle. Texts of any length are read whole. An empty table gives an em
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -108,26 +110,49 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return by_batch(wanted, run, "node bigint, h bigint, items binary").repartition("node").dropDuplicates(["node", "h"]).drop("h")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+def spanning(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A star over each component of the nodes whose sets are similar enough: (smallest node, other node)."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], np.float64)
+    items, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), sizes.astype(int))
+    shared = n[column] > 1
+    row, column = row[shared], column[shared]
+    places = np.flatnonzero(n > 1)
+    column = np.searchsorted(places, column)
+    common = np.zeros((m, m), np.float32)
+    for at in range(0, len(places), 4096):
+        here = (column >= at) & (column < at + 4096)
+        part = np.zeros((m, min(4096, len(places) - at)), np.float32)
+        part[row[here], column[here] - at] = 1
+        common += part @ part.T
+    linked = OF * common >= SHARED * (sizes[:, None] + sizes[None, :] - common)
+    label = np.full(m, -1)
+    out = []
+    for i in np.argsort(nodes, kind="stable"):
+        if label[i] >= 0:
+            continue
+        reach, edge = np.zeros(m, bool), np.zeros(m, bool)
+        edge[i] = True
+        while edge.any():
+            reach |= edge
+            edge = linked[edge].any(axis=0) & ~reach
+        label[reach] = i
+        out += [(int(nodes[i]), int(nodes[j])) for j in np.flatnonzero(reach) if nodes[j] != nodes[i]]
+    return out
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if OF * min(len(x), len(y)) < SHARED * max(len(x), len(y)):
-                good.append(False)
-                continue
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            good.append(OF * common >= SHARED * (len(both) - common))
-        keep = pa.array(good, pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
-
-    first = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    second = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return by_batch(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), run, "a bigint, b bigint").distinct()
+
+def links_of(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Spanning links of each cluster within a group of rows (``cluster``, ``node``, ``items``); groups are of bounded size."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, rows in part.groupby("cluster", sort=False):
+            if len(rows) > 1:
+                found += spanning(rows["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["items"]])
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return groups.groupBy(*keys).applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -167,56 +192,59 @@ def relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return settle(moved.unionByName(new), "labels")
 
 
-def similar_size(x: str, y: str):
-    return OF * F.least(x, y) >= SHARED * F.greatest(x, y)
-
-
-def link(docs: DataFrame, part_rows: int = 32, most_rounds: int = 5) -> DataFrame:
+def compared(clusters: DataFrame, sets: DataFrame, block_rows: int) -> DataFrame:
+    """``node`` and ``label`` of all nodes that are linked; ``clusters`` has ``node`` and ``cluster``."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
+    blocks = F.ceil(F.col("m") / block_rows)
+    total = clusters.count()
+    bins = max(1, -(-total // block_rows))
+    # Small clusters are dealt to tasks together; each block of a large one is a task.
+    known = settle(clusters.join(sizes, "cluster").withColumn("large", F.col("m") > block_rows), "clusters")
+    first = known.join(sets, "node").select(
+        "cluster", "node", "items", F.when(F.col("large"), F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins))).alias("g"),
+        F.when(F.col("large"), F.pmod(F.xxhash64("node"), blocks)).otherwise(-1).alias("k"),
+    )
+    labels = relabel(None, settle(links_of(first, ["g", "k"]), "links"))
+    large = known.filter("large").select("cluster", "node")
+    if not large.limit(1).count():
+        return labels
+
+    # Components that fill blocks of their own are not compared with themselves again; all other nodes share blocks.
+    here = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    here = settle(here, "labelled")
+    big = here.groupBy("cluster", "label").agg(F.count("*").alias("c")).filter(F.col("c") >= 2 * block_rows)
+    here = here.join(big, ["cluster", "label"], "left").withColumn("own", F.when(F.col("c").isNotNull(), F.col("label")))
+    rest = here.groupBy("cluster", "own").agg(F.count("*").alias("c")).withColumn("parts", F.ceil(F.col("c") / block_rows))
+    parts = rest.withColumnsRenamed({"cluster": "rc", "own": "ro"}).select("rc", "ro", "parts")
+    here = here.drop("c").join(parts, (F.col("cluster") == F.col("rc")) & F.col("own").eqNullSafe(F.col("ro")))
+    here = settle(here.select("cluster", "node", "own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).alias("block")), "blocks")
+    listed = settle(here.select("cluster", "own", "block").distinct().withColumn("id", F.xxhash64("own", "block", F.lit(2))), "block-list")
+    one = listed.select("cluster", F.col("own").alias("own_x"), F.col("block").alias("block_x"), F.col("id").alias("x"))
+    two = listed.select("cluster", F.col("own").alias("own_y"), F.col("block").alias("block_y"), F.col("id").alias("y"))
+    same = F.col("own_x").isNotNull() & F.col("own_x").eqNullSafe(F.col("own_y"))
+    pairs = settle(one.join(two, "cluster").filter((F.col("x") <= F.col("y")) & ~same), "block-pairs")
+    rows = here.join(sets, "node").withColumn("id", F.xxhash64("own", "block", F.lit(2))).select("cluster", "node", "items", "id")
+    sides = [
+        rows.join(pairs.select("cluster", F.col("x").alias("id"), "x", "y"), ["cluster", "id"]),
+        rows.join(pairs.filter("x <> y").select("cluster", F.col("y").alias("id"), "x", "y"), ["cluster", "id"]),
+    ]
+    both = sides[0].unionByName(sides[1]).select("cluster", "node", "items", "x", "y")
+    return relabel(labels, settle(links_of(both, ["cluster", "x", "y"]), "links"))
+
+
+def link(docs: DataFrame, block_rows: int = 256) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs`` (``doc_id``, ``text``)."""
     rows = settle(sketch(docs), "sketches")
     known = rows.filter("same IS NOT NULL AND doc_id IS NOT NULL")
     copies = known.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("same", "first")
     copies = settle(copies, "copies")
     placed = known.join(copies, "same", "left").withColumn("node", F.coalesce("first", "doc_id"))
-    dealt = placed.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    members = settle(dealt.join(settle(shared, "shared-keys"), "key", "left_semi").groupBy("key", "node").agg(F.max("n").alias("n")), "members")
-    sets = settle(sets_of(docs, members.select("node").distinct()), "sets")
-
-    # Every node with the smallest node of its buckets, the one it meets most often.
-    center = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"))
-    met = members.join(center, "key").filter("node > c.node").filter(similar_size("n", "c.n"))
-    met = met.groupBy(F.col("c.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("times"))
-    pairs = met.groupBy("b").agg(F.max(F.struct("times", -F.col("a"), "a")).alias("best")).select("best.a", "b")
-    tested = settle(pairs, "pairs")
-    labels = relabel(None, settle(confirmed(tested, sets), "confirmed"))
-
-    for turn in range(most_rounds):
-        here = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = here.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("labels"))
-        open_keys = settle(sizes.filter("labels > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("cross")), "open-keys")
-        todo = open_keys.agg(F.sum("m").alias("m"), F.sum("cross").alias("cross")).first()
-        if not todo.m:
-            break
-        here = settle(here.join(open_keys.select("key", "m"), "key"), "open-members")
-        last = todo.cross <= 4 * todo.m or turn == most_rounds - 1
-        if last:
-            other = here.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = here.join(other, "key").filter("node < b AND label <> lb").filter(similar_size("n", "nb")).select(F.col("node").alias("a"), "b").distinct()
-        else:
-            part = here.withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / part_rows)))
-            order = F.xxhash64("node", F.lit(turn + 100))
-            first = part.groupBy("key", "part").agg(F.min(F.struct(order.alias("o"), "node", "n", "label")).alias("c"), F.max(F.struct(order.alias("o"), "node", "n", "label")).alias("d"))
-            met = part.join(first, ["key", "part"]).withColumn("c", F.when(F.col("c.label") == F.col("label"), F.col("d")).otherwise(F.col("c")))
-            met = met.filter("c.label <> label").filter(similar_size("n", "c.n"))
-            met = met.groupBy(F.col("node").alias("x"), F.col("c.node").alias("y")).agg(F.count("*").alias("times"))
-            best = met.groupBy("x").agg(F.max(F.struct("times", "y")).alias("best"))
-            pairs = best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
-        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        labels = relabel(labels, settle(confirmed(pairs, sets), "confirmed"))
-        if last:
-            break
-        tested = settle(tested.unionByName(pairs), "tested")
+    dealt = placed.select("node", F.explode("bands").alias("key"))
+    shared = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "lo")
+    met = dealt.join(settle(shared, "shared-keys"), "key").filter("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = settle(components(settle(met, "met")).withColumnRenamed("label", "cluster"), "clusters")
+    sets = settle(sets_of(docs, clusters.select("node")), "sets")
+    labels = compared(clusters, sets, block_rows)
 
     out = rows.select("doc_id", "n_shingles", "same").join(copies, "same", "left").withColumn("node", F.coalesce("first", "doc_id"))
     out = out.join(labels, "node", "left").withColumn("component_id", F.coalesce("label", "node"))
