@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from aerolake.catalog import views as v
 from aerolake.catalog.q_joins import _CANON, canonical_stations
-from aerolake.catalog.registry import query, rnd, sql_category, sql_confidence, sql_day, sql_rnd, sql_season
+from aerolake.catalog.registry import query, rnd, sql_accuracy, sql_category, sql_confidence, sql_day, sql_rnd, sql_season
 from aerolake.functions import aqi as A
-from aerolake.operators import cities, daily, forecast, sets, stations
+from aerolake.operators import cities, compare, daily, forecast, models, sets, stations
+from aerolake.plans.joins import settle
+from aerolake.session import shared_dir
+from aerolake.sources import sinks
 
 
 def _sql_simple(base: str, date: str, trend: str) -> str:
@@ -57,6 +61,43 @@ def predict_with_fallback(spark, d):
     return forecast.predict_with_fallback(asked, hist, scored, ["random_forest", "gradient_boosting"], "random_forest")
 
 
+_ASKED_MODELS = ("auto", "linear_regression", "simple", "other")
+
+
+@query("model_flow", f"""
+    WITH line AS (SELECT regr_slope(aqi, date - DATE '1992-01-01') AS b, regr_intercept(aqi, date - DATE '1992-01-01') AS a FROM v_city_history),
+    r AS (SELECT city, DATE '{v.AS_OF}' + cast(i AS INTEGER) AS date, model_type, CASE model_type WHEN 'auto' THEN 'linear_regression' ELSE model_type END AS model
+          FROM (SELECT DISTINCT city FROM v_city_history), range(7) t(i), (VALUES {", ".join(f"('{m}')" for m in _ASKED_MODELS)}) k(model_type)),
+    j AS (SELECT r.*, {_sql_simple("base", "date", "trend_factor")} AS raw,
+                 CASE WHEN r.city <> 'city_2' THEN round(least(greatest(a + b * (date - DATE '1992-01-01'), 0), 500), 2) END AS model_aqi
+          FROM r JOIN v_pattern p ON p.city = r.city, line),
+    u AS (SELECT *, CASE WHEN model = 'other' THEN 'emergency_fallback' WHEN model = 'simple' THEN 'simple' WHEN model_aqi IS NOT NULL THEN model ELSE 'simple_fallback' END AS model_used FROM j),
+    w AS (SELECT u.*, CASE model_used WHEN 'emergency_fallback' THEN 150 WHEN 'linear_regression' THEN model_aqi ELSE round(raw, 2) END AS predicted_aqi,
+                 CASE WHEN date = DATE '{v.AS_OF}' THEN current_aqi END AS realtime_aqi FROM u LEFT JOIN v_current c ON c.city = u.city)
+    SELECT city, date, model_type, model_used, predicted_aqi, {sql_category("predicted_aqi")} AS category, {sql_confidence("model_used")} AS confidence, realtime_aqi,
+           CASE WHEN realtime_aqi IS NOT NULL THEN {sql_category("realtime_aqi")} END AS realtime_category,
+           CASE WHEN realtime_aqi IS NOT NULL THEN {sql_accuracy("realtime_aqi", "predicted_aqi")} END AS accuracy, {sql_rnd("predicted_aqi - realtime_aqi", 2)} AS difference
+    FROM w""", ("v_pattern", "v_city_history", "v_current"))
+def model_flow(spark, d):
+    """A line is fitted, stored and loaded, scores the days to come, falls back where it must, and meets the live values."""
+    hist = v.city_history(spark, d)
+
+    def with_day(df):
+        return df.withColumn("x", F.date_diff("date", F.lit("1992-01-01").cast("date")).cast("double"))
+
+    path = sinks.save_model(models.train_model(with_day(hist), ["x"], "aqi", LinearRegression()), shared_dir(spark, "model"))
+    known = cities.canonical_cities(v.city_alias(spark, d)).join(hist.select("city").distinct(), "city", "left_semi")
+    spine = settle(forecast.forecast_spine(known, v.AS_OF, 7).drop("day_offset"), "spine")
+    scored = models.score(with_day(spine.filter("city <> 'city_2'")), sinks.load_model(path)).select(
+        "city", "date", F.lit("linear_regression").alias("model"), F.col("predicted_aqi").alias("model_aqi")
+    )
+    asked = spine.withColumn("model_type", F.explode(F.array(*[F.lit(m) for m in _ASKED_MODELS])))
+    out = forecast.predict_with_fallback(asked, hist, settle(scored, "scored"), ["linear_regression"], "linear_regression")
+    out = compare.with_live_comparison(out, v.current(spark, d), v.AS_OF)
+    return out.select("city", "date", "model_type", "model_used", "predicted_aqi", "category", "confidence", "realtime_aqi", "realtime_category", "accuracy",
+                      rnd("difference", 2).alias("difference"))
+
+
 _STATION = f"""
     WITH st AS ({_CANON}),
     h AS (SELECT station_id, date, sum(aqi) AS total, count(aqi) AS n, avg(aqi) AS aqi FROM v_readings
