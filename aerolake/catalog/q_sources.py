@@ -41,6 +41,45 @@ def scan_csv_tree(spark, d):
     return out.select(F.col("row_id").cast("bigint").alias("row_id"), "station_id", "date", "pm25", "aqi", "city", "source_dataset", "file_type")
 
 
+def _write_named(df, root, name):
+    """CSV files whose names tell their type, as providers send them."""
+    _write_csv(df, f"{root}/{name}")
+    _rename_parts(df.sparkSession, f"{root}/{name}", name)
+
+
+def _rename_parts(spark, path, name):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    for i, part in enumerate(parts):
+        fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name}_{i}.csv"))
+
+
+@query("ingest_tree", f"""
+    WITH r AS (SELECT cast(l_suppkey AS VARCHAR) AS station, cast(l_shipdate AS DATE) + 7305 AS date, l_quantity AS pm25, l_extendedprice / 200 AS aqi FROM lineitem),
+         dim AS (SELECT station_id, canonical AS city FROM v_stations JOIN v_city_alias ON lower(trim(city)) = alias WHERE copy = 0)
+    SELECT city, station, date, {sql_rnd("avg(pm25)", 9)} AS pm25, {sql_rnd("avg(aqi)", 9)} AS aqi FROM r JOIN dim ON station_id = station
+    WHERE date BETWEEN DATE '2015-01-01' AND DATE '2024-12-31' GROUP BY city, station, date""", ("v_stations", "v_city_alias"))
+def ingest_tree(spark, d):
+    """From a tree of CSV files with mixed headers, some in two spellings, and a station file to the daily table."""
+    rows, root, n = v.table(spark, d, "lineitem"), shared_dir(spark, "ingest"), F.col("l_linenumber")
+    day = F.date_format(F.date_add(F.col("l_shipdate").cast("date"), 7305), "yyyy-MM-dd")
+    pm, aqi, station = F.col("l_quantity"), (F.col("l_extendedprice") / 200).alias("AQI"), F.col("l_suppkey")
+    two = rows.filter(n <= 4).select(
+        station.alias("StationId"), day.alias("Date"), F.when(n % 2 == 1, pm).alias("PM2.5"), F.when(n % 2 == 0, pm).alias("pm2_5_copy"), aqi)
+    # A data frame cannot hold both spellings: the second header is written as text.
+    lines = two.select(F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in two.columns]).alias("StationId,Date,PM2.5,pm2.5,AQI"))
+    lines.write.option("header", "true").option("sep", "\u0001").option("quote", "").csv(f"{root}/raw")
+    _rename_parts(spark, f"{root}/raw", "station_day_a")
+    _write_named(rows.filter(n > 4).select(station.alias("station_id"), pm.alias("pm25"), aqi, day.alias("date")), root, "station_day_b")
+    named = v.stations(spark, d).filter("copy = 0")
+    _write_named(named.select(F.col("station_id").alias("StationId"), F.col("station_name").alias("StationName"), F.col("city").alias("City"), F.col("state").alias("State")), root, "stations")
+    aliases = v.city_alias(spark, d)
+    aliases = aliases.unionByName(aliases.select(F.col("canonical").alias("alias"), "canonical").distinct())
+    daily, _ = ingestion.ingest(spark, {"tables": root}, aliases)
+    return daily.select("city", "station", "date", rnd("pm25", 9).alias("pm25"), rnd("aqi", 9).alias("aqi"))
+
+
 @query("scan_csv_encoding", """
     SELECT o_orderkey, 'Málaga ' || o_orderpriority AS city, o_totalprice AS aqi FROM orders""")
 def scan_csv_encoding(spark, d):
