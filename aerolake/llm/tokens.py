@@ -9,19 +9,26 @@ special tokens are ordinary text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept by one Python worker; beyond it the store starts anew.
-STORE = 700_000
+STORE = 450_000
+
+#: Characters of one call; more are encoded in turn.
+CALL = 2_000_000
 
-_RISKY = re.compile(r"[\s\x00-\x20][\s\x00-\x20]|[\s\x00-\x20]$")
-#: Latin letters, then perhaps signs of ASCII: the tokenizer's rule parts them there and nowhere else.
-_SIMPLE = re.compile(r"([\n\x00]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 _CUT = re.compile(r" (?=[^\s\x00-\x20])")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Signs of ASCII: after letters, the tokenizer's rule takes a run of them together.
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Place of a piece that starts with white space: its text is cut with more care.
+_CAREFUL = -2
 
 
 def byte_signs() -> dict[int, str]:
@@ -46,6 +53,8 @@ class Encoder:
         self.signs = {b: c for b, c in byte_signs().items() if ord(c) != b}
         rule = self.library.pre_tokenizer
         self.by_bytes = type(rule).__name__ == "ByteLevel" and rule.use_regex and not rule.add_prefix_space and self.library.normalizer is None
+        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.space = byte_signs()[32]
         self.forget()
 
     @classmethod
@@ -58,64 +67,95 @@ class Encoder:
         # Keys: a piece after a space is kept without it; one after a line break with it; the first of a text after a zero character.
         self.place: dict[str, int] = {}
         self.signs_ids: dict[str, list[int]] = {}
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
-    def _run(self, text: str) -> list[int]:
-        """Ids of letters, perhaps after a space, by the library's model itself."""
-        return [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(self.signs))]
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def _ids(self, key: str) -> list[int]:
-        m = _SIMPLE.fullmatch(key) if self.by_bytes else None
-        if m is None:
-            whole = key[1:] if key[:1] == "\x00" else key if key[:1] == "\n" else f" {key}"
-            return self.library.encode(whole, add_special_tokens=False).ids
-        lead, letters, signs = m.groups()
-        if not lead and signs and (at := self.place.get(letters)) is not None:
-            ids = self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
+        lead = key[0] if key[0] in "\n\x00" else ""
+        rest = key[1:] if lead else key
+        letters = rest.rstrip(_SIGNS) if self.by_bytes else ""
+        if letters.isascii() and letters.isalpha():
+            spelled = letters
+        elif letters and _LATIN.fullmatch(letters):
+            spelled = letters.encode().decode("latin-1").translate(self.signs)
+        else:
+            return self._whole(rest if lead == "\x00" else lead + rest if lead else f" {rest}")
+        at = None if lead else self.place.get(letters)
+        if at is not None:
+            ids = self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tolist() if at < len(self.sizes) else self.fresh[at - len(self.sizes)]
         else:
-            ids = self._run(letters if lead else f" {letters}")
-        if signs:
+            ids = [t.id for t in self.library.model.tokenize(spelled if lead else self.space + spelled)]
+        if len(letters) < len(rest):
+            signs = rest[len(letters) :]
             if signs not in self.signs_ids:
-                self.signs_ids[signs] = self.library.encode(signs, add_special_tokens=False).ids
+                self.signs_ids[signs] = self._whole(signs)
             ids = ids + self.signs_ids[signs]
         return self.newline + ids if lead == "\n" else ids
 
     def _learn(self, keys: list[str]) -> None:
-        got = [self._ids(k) for k in keys]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        flat = np.fromiter((i for ids in got for i in ids), kind, int(sizes.sum()))
-        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+        self.fresh: list[list[int]] = []
+        known = len(self.sizes)
+        gc.disable()  # many small lists, none in a cycle
+        for key in keys:
+            rest = key[1:] if key[:1] in ("\n", "\x00") else key
+            if not rest or rest[0] <= " " or rest[0].isspace():
+                self.place[key] = _CAREFUL
+            else:
+                ids = self._ids(key)
+                self.place[key] = known + len(self.fresh)
+                self.fresh.append(ids)
+        gc.enable()
+        sizes = np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))
+        flat = np.fromiter(chain.from_iterable(self.fresh), self.kind, int(sizes.sum()))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids.astype(kind), flat])
+        self.ids = np.concatenate([self.ids, flat])
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at == -1).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(pieces[i] for i in missing)))
+            at[missing] = [self.place[pieces[i]] for i in missing]
+        return at
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other, and the end of each."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _carefully(self, text: str) -> np.ndarray:
+        """Cuts only where a visible character follows a space, whatever white space stands elsewhere."""
+        first, *rest = _CUT.split(text)
+        return np.concatenate([np.array(self._whole(first), self.kind), self._gather(self._places(rest))[0]])
+
+    def _call(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.place) > STORE:
+            self.forget()
+        cut = [("\x00" + t.replace("\n", " \n")).split(" ") for t in texts]
+        at = self._places(list(chain.from_iterable(cut)))
+        stops = np.cumsum([len(c) for c in cut])
+        care = at == _CAREFUL
+        careful = np.logical_or.reduceat(care, np.append(0, stops[:-1])) | np.array(["\x00" in t for t in texts])
+        ids, ends = self._gather(np.where(care, 0, at))
+        bounds = np.append(0, ends[stops - 1])
+        return [self._carefully(t) if c else ids[bounds[i] : bounds[i + 1]] for i, (t, c) in enumerate(zip(texts, careful, strict=True))]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text as unsigned integers; none for null and empty texts."""
-        if len(self.place) > STORE:
-            self.forget()
-        pieces: list[list[str]] = []
-        for text in texts:
-            if not text:
-                pieces.append([])
-            elif _RISKY.search(text) or text[0] in "\n\x00" or "\x00" in text:
-                parts = _CUT.split(text)
-                parts[0] = "\x00" + parts[0]
-                pieces.append(parts)
-            else:
-                pieces.append(("\x00" + text.replace("\n", " \n")).split(" "))
-        new = set().union(*pieces).difference(self.place)
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for parts in pieces:
-            if not parts:
-                out.append(self.ids[:0])
-                continue
-            at = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            out.append(self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])])
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
+        waiting, size = [], 0
+        for i, text in enumerate([*texts, None]):
+            if text:
+                waiting.append(i)
+                size += len(text)
+            if waiting and (size > CALL or i == len(texts)):
+                for k, ids in zip(waiting, self._call([texts[k] for k in waiting]), strict=True):
+                    out[k] = ids
+                waiting, size = [], 0
         return out
 
 
