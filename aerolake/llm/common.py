@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolake.plans.joins import join_dimension
+
 #: A word is a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 HAS_LETTER = re.compile(r"[^\W\d_]")
@@ -44,14 +46,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` on every Arrow batch."""
+#: Rows that a Python function gets at once.
+SLICE = 512
+
+
+def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``fn`` on every Arrow batch, a slice at a time."""
     on_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for start in range(0, batch.num_rows, SLICE):
+                yield fn(batch.slice(start, SLICE))
 
     return df.mapInArrow(run, schema)
 
@@ -118,5 +124,12 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-def empty_text(column: str = "text") -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def labelled_sample(docs: DataFrame, labels: DataFrame, rates: dict[int, float], seed: int) -> DataFrame:
+    """``text``, ``y`` and ``u`` of a sample of labelled documents: label ``y`` is kept at its rate, chosen by the hash of the id.
+
+    ``labels`` has ``doc_id`` and ``y``. They are sampled before they meet the texts, so that only bounded rows are sent to them.
+    """
+    rate = F.coalesce(*[F.when(F.col("y") == y, F.lit(float(r))) for y, r in rates.items()], F.lit(0.0))
+    chosen = labels.withColumn("u", unit(F.lit(seed), F.col("doc_id")) / rate).filter(F.col("u") < 1).select("doc_id", "y", "u")
+    return join_dimension(docs.select("doc_id", "text"), chosen, ["doc_id"], how="inner").select("text", "y", "u").filter("text IS NOT NULL")
+

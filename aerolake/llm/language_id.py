@@ -73,7 +73,12 @@ class LanguageModel:
 def clusters(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means; centroids of length 1 and the cluster of each row."""
     rng = np.random.default_rng(seed)
-    centers = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+    centers = x[[int(rng.integers(len(x)))]]
+    while len(centers) < min(k, len(x)):  # far rows are likelier to start a cluster
+        far = np.maximum(1 - (x @ centers.T).max(axis=1), 0).astype(float) ** 2
+        if far.sum() <= 1e-9:
+            break
+        centers = np.concatenate([centers, x[[int(rng.choice(len(x), p=far / far.sum()))]]])
     own = np.zeros(len(x), int)
     for _ in range(rounds):
         own = (x @ centers.T).argmax(axis=1)

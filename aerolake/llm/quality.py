@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import by_batch, mixed, unit, word_ends
+from aerolake.llm.common import by_batch, labelled_sample, mixed, word_ends
 
 BITS = 15
 #: White space of ASCII is a space; letters keep their case.
@@ -107,26 +107,26 @@ def best_cut(tail: np.ndarray, good: np.ndarray) -> float:
     return float(tail[order][int(np.argmax(f1))])
 
 
-def fit(graded: DataFrame, grades: int, tail_from: int | None = None, max_rows: int = 8000, calibrate: float = 0.25) -> OrdinalModel:
-    """Learns from ``text`` and ``grade`` (0 to ``grades`` - 1) of at most about ``max_rows`` rows, which the driver gets as features."""
+def fit(docs: DataFrame, graded: DataFrame, grades: int, tail_from: int | None = None, max_rows: int = 8000, calibrate: float = 0.25) -> OrdinalModel:
+    """Learns from ``doc_id``, ``text`` of ``docs`` and ``doc_id``, ``grade`` (0 to ``grades`` - 1) of at most about ``max_rows`` ratings, which the driver gets as features."""
     tail_from = grades // 2 if tail_from is None else tail_from
-    rows = graded.select("text", F.col("grade").cast("int").alias("grade")).filter(F.col("grade").between(0, grades - 1) & F.col("text").isNotNull())
-    n = rows.count()
-    sample = rows.withColumn("u", unit(F.lit(13), F.col("text"))).filter(F.col("u") < min(1.0, max_rows / max(n, 1)))
+    marks = graded.select("doc_id", F.col("grade").cast("int").alias("y")).filter(F.col("y").between(0, grades - 1) & F.col("doc_id").isNotNull())
+    n = marks.count()
+    sample = labelled_sample(docs, marks, dict.fromkeys(range(grades), min(1.0, max_rows / max(n, 1))), 13)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(t) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32())), batch.column("grade"), batch.column("u")],
-            ["at", "x", "grade", "u"],
+            [pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary()), batch.column("y"), batch.column("u")],
+            ["at", "x", "y", "u"],
         )
 
-    got = by_batch(sample, encode, "at array<int>, x array<float>, grade int, u double").toPandas().sort_values(["u", "grade"], kind="stable")
+    got = by_batch(sample, encode, "at binary, x binary, y int, u double").toArrow().sort_by([("u", "ascending"), ("y", "ascending")])
     if not len(got):
         return OrdinalModel(np.zeros(1 << BITS, np.float32), -np.log(np.arange(grades - 1, 0, -1) / np.arange(1, grades)))
-    data = [(np.asarray(a, np.int32), np.asarray(x, np.float32)) for a, x in zip(got["at"], got["x"], strict=True)]
-    y = got["grade"].to_numpy()
-    held = got["u"].to_numpy() * max(1.0, n / max_rows) < calibrate
+    data = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)) for a, x in zip(got["at"], got["x"], strict=True)]
+    y = got["y"].to_numpy()
+    held = got["u"].to_numpy() < calibrate
     if held.all() or not held.any():
         held = np.zeros(len(y), bool)
     model = train([d for d, h in zip(data, held, strict=True) if not h], y[~held], grades)

@@ -8,11 +8,10 @@ width one begin as a word list learned from the labels; everything is then train
 Adagrad in numpy on a bounded sample of labelled rows.
 
 The logit at which a text counts as toxic is calibrated for each language as predicted
-from the text (``language_id``) and moved to 0.7: ``score = sigmoid(slope * (logit -
-threshold) + logit(0.7))``. A language with few labelled texts uses the threshold of all.
+from the text (``language_id``) and moved to 0.7: ``score = sigmoid(logit - threshold
++ logit(0.7))``. A language with few labelled texts uses the threshold of all.
 
-Null, empty and wordless texts get the score of the empty text, which is below the
-threshold. Texts of any length are read whole. Rows without a label are not learned
+Null, empty and wordless texts get the share of toxic labels as their score, at most 0.5. Texts of any length are read whole. Rows without a label are not learned
 from; without any toxic or any clean label every score is 0.
 """
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import by_batch, unit, word_buckets
+from aerolake.llm.common import by_batch, labelled_sample, word_buckets
 from aerolake.llm.language_id import LanguageModel
 
 BITS, DIM, FILTERS, WIDTHS, PREFIXES = 16, 8, 8, (1, 2, 3), (4, 5, 6)
@@ -147,60 +146,61 @@ class ToxicityModel:
     net: Net | None
     languages: LanguageModel
     thresholds: dict[str, float]
-    slope: float = 1.0
+    share: float = 0.0  # of toxic labels
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.net is None:
             return np.zeros(len(texts))
         langs = self.languages.predict(texts)[0]
-        logits = np.array([self.net.logit(word_buckets(t, BITS, PREFIXES)) for t in texts])
+        logits, worded = np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for i, text in enumerate(texts):
+            ids = word_buckets(text, BITS, PREFIXES)
+            logits[i], worded[i] = self.net.logit(ids), len(ids) > 0
         usual = self.thresholds[""]
-        shifted = self.slope * (logits - np.array([self.thresholds.get(lang, usual) for lang in langs])) + CUT_LOGIT
-        return 1 / (1 + np.exp(-np.clip(shifted, -30, 30)))
+        shifted = logits - np.array([self.thresholds.get(lang, usual) for lang in langs]) + CUT_LOGIT
+        return np.where(worded, 1 / (1 + np.exp(-np.clip(shifted, -30, 30))), min(self.share, 0.5))
 
 
-def fit(labelled: DataFrame, languages: LanguageModel, max_rows: int = 6000, calibrate: float = 0.4, min_rows: int = 60) -> ToxicityModel:
-    """Learns from ``text`` and ``toxic`` (0 or 1) of at most about ``max_rows`` rows, half of them toxic where there are as many.
+def fit(docs: DataFrame, labels: DataFrame, languages: LanguageModel, max_rows: int = 6000, calibrate: float = 0.4, min_rows: int = 60) -> ToxicityModel:
+    """Learns from ``doc_id``, ``text`` of ``docs`` and ``doc_id``, ``toxic`` (0 or 1) of at most about ``max_rows`` labels, half of them toxic where there are as many.
 
     A share of ``calibrate`` of them is kept from training and sets the thresholds. The driver gets the
     rows of the sample as bucket ids.
     """
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("text").isNotNull())
-    found = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+    found = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(found) < 2:
         return ToxicityModel(None, languages, {"": 0.0})
     keep = {y: min(1.0, max_rows / 2 / n) for y, n in found.items()}
-    rate = F.when(F.col("y") == 1, keep[1]).otherwise(keep[0])
-    model = rows.sparkSession.sparkContext.broadcast(languages)
+    model = docs.sparkSession.sparkContext.broadcast(languages)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         return pa.RecordBatch.from_arrays(
-            [pa.array([word_buckets(t, BITS, PREFIXES).ravel() for t in texts], pa.list_(pa.int32())), pa.array(model.value.predict(texts)[0], pa.string()), batch.column("y"), batch.column("u")],
+            [pa.array([word_buckets(t, BITS, PREFIXES).tobytes() for t in texts], pa.binary()), pa.array(model.value.predict(texts)[0], pa.string()), batch.column("y"), batch.column("u")],
             ["ids", "lang", "y", "u"],
         )
 
-    sample = rows.withColumn("u", unit(F.lit(11), F.col("text"))).filter(F.col("u") < rate)
-    got = by_batch(sample, encode, "ids array<int>, lang string, y int, u double").toPandas().sort_values(["u", "y", "lang"], kind="stable")
-    texts = [np.asarray(x, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in got["ids"]]
-    y = got["y"].to_numpy(float)
+    sample = labelled_sample(docs, marks, keep, 11)
+    got = by_batch(sample, encode, "ids binary, lang string, y int, u double").toArrow().sort_by([("u", "ascending"), ("y", "ascending"), ("lang", "ascending")])
+    texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for x in got["ids"]]
+    y = got["y"].to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return ToxicityModel(None, languages, {"": 0.0})
-    within = got["u"].to_numpy() / np.where(y == 1, keep[1], keep[0])
-    held = within < calibrate
+    held = got["u"].to_numpy() < calibrate
     if any(len(np.unique(y[m])) < 2 for m in (held, ~held)):
         held = np.zeros(len(y), bool)
     net = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
     judged = held if held.any() else ~held
     logits = np.array([net.logit(t) for t, j in zip(texts, judged, strict=True) if j])
-    truth, langs = y[judged], got["lang"].to_numpy()[judged]
+    truth, langs = y[judged], np.array(got["lang"].to_pylist())[judged]
     stands_for = np.where(truth == 1, 1 / keep[1], 1 / keep[0])
     thresholds = {"": threshold(logits, truth, stands_for)}
     for lang in np.unique(langs):
         of = langs == lang
         if lang != "und" and truth[of].sum() >= min_rows and (1 - truth[of]).sum() >= min_rows:
             thresholds[str(lang)] = threshold(logits[of], truth[of], stands_for[of])
-    return ToxicityModel(net, languages, thresholds)
+    return ToxicityModel(net, languages, thresholds, found[1] / sum(found.values()))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
