@@ -56,15 +56,12 @@ def partition(sizes: np.ndarray, k: int) -> np.ndarray:
         over = len(a[0]) + len(b[0]) - k
         if over <= 0:  # windows of one beside those of the other
             sums, first, last = (np.concatenate([x, y]) for x, y in zip(a, b, strict=True))
-        else:  # the smallest `over` of a meet the smallest `over` of b, in opposite order
+        else:  # the `over` smallest of both meet in opposite order
             i, j = len(a[0]) - over, len(b[0]) - over
-            head, tail = a[2][i:], b[1][j:][::-1]
-            both = head >= 0
-            following[head[both & (tail >= 0)]] = tail[both & (tail >= 0)]
+            following[a[2][i:]] = b[1][j:][::-1]
             sums = np.concatenate([a[0][:i], b[0][:j], a[0][i:] + b[0][j:][::-1]])
-            first = np.concatenate([a[1][:i], b[1][:j], np.where(a[1][i:] >= 0, a[1][i:], tail)])
-            b_last = b[2][j:][::-1]
-            last = np.concatenate([a[2][:i], b[2][:j], np.where(b_last >= 0, b_last, a[2][i:])])
+            first = np.concatenate([a[1][:i], b[1][:j], a[1][i:]])
+            last = np.concatenate([a[2][:i], b[2][:j], b[2][j:][::-1]])
         order = np.argsort(-sums, kind="stable")
         sums, first, last = sums[order], first[order], last[order]
         if len(sums) == k:
@@ -101,13 +98,11 @@ def cut(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacit
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cells: list[list[int]] = [[], [], [], [], []]
         encoder = Encoder.of(path)
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                ids = np.append(ids.astype(np.uint32), np.uint32(end_id))
-                for start, length in pieces_of(len(ids), capacity, piece):
-                    for cell, value in zip(cells, (doc_id, start, length, crc_of_ids(ids[start : start + length]), len(ids)), strict=True):
-                        cell.append(value)
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+            ids = np.append(ids.astype(np.uint32), np.uint32(end_id))
+            for start, length in pieces_of(len(ids), capacity, piece):
+                for cell, value in zip(cells, (doc_id, start, length, crc_of_ids(ids[start : start + length]), len(ids)), strict=True):
+                    cell.append(value)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names)
 
     return by_batch(docs.select("doc_id", "text"), run, ", ".join(f"{n} bigint" for n in names))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import hilbert, language_id, mixing, near_dup, packing, quality, secrets, tokenfiles, topk, toxicity
+from aerolake.llm import hilbert, language_id, mixing, near_dup, packing, quality, secret_scan, tokenfiles, topk, toxicity
 from aerolake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,12 +64,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_secrets")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kind = {k: secrets.count_of(F.col("spans"), k) for k in secrets.KINDS}
+    found = secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kind = {k: secret_scan.count_of(F.col("spans"), k) for k in secret_scan.KINDS}
     return found.select(
-        "doc_id", *[kind[k].alias(f"n_{k}") for k in secrets.BASE],
-        F.sha2(secrets.listed(F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))), 256).alias("base_sha256"),
-        secrets.listed(F.col("spans")).alias("spans"), kind["novel"].alias("n_novel"),
+        "doc_id", *[kind[k].alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(secret_scan.listed(F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"), kind["novel"].alias("n_novel"),
     )
 
 
@@ -83,15 +83,34 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op10_minhash")
+@query("op10_minhash", sql=r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), reach(doc_id, place) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.doc_id, CASE WHEN a = place THEN b ELSE a END FROM reach JOIN link ON a = place OR b = place
+), label AS (
+  SELECT doc_id, min(place) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM label LEFT JOIN n USING (doc_id)
+""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("op2_top_k", sql="""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
