@@ -230,3 +230,29 @@ def test_hilbert_recall(spark):
         part = part.sort_values("rank")
         assert len(part) == 20 and np.allclose(part.score, s[part.vec_id], rtol=0, atol=1e-12) and q not in part.vec_id.tolist()
     assert got.query_id.nunique() == 300 and hit / 6000 >= 0.9
+
+
+def test_hilbert_recall_of_hot_groups(spark):
+    """A third of the rows copies of one vector, a fifth near copies of another: recall by id within each group alone."""
+    rng = np.random.default_rng(7)
+    n = 6000
+    x = rng.normal(size=(n, 32))
+    copies, near = rng.permutation(n)[: n // 3], rng.permutation(n)[: n // 5]
+    near = np.setdiff1d(near, copies)
+    x[near] = x[near[0]] + 0.001 * rng.normal(size=(len(near), 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[copies] = x[copies[0]]
+    x = x.astype(np.float32).astype(float)
+    two = next(i for i in range(0, n, 20) if i not in copies)  # an id with two vectors
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(two, [float(v) for v in x[copies[0]]])]
+    got = hilbert.search(vectors(spark, rows), F.col("vec_id") % 20 == 0, least=64).toPandas()
+    for group, least in ((copies, 1.0), (near, 0.9), (np.setdiff1d(np.arange(n), np.concatenate([copies, near])), 0.9)):
+        hit, asked = 0, [q for q in group if q % 20 == 0 and q != two]
+        for q in asked:
+            s = (x * x[q]).sum(axis=1)
+            s = np.append(s, (x[copies[0]] * x[q]).sum())
+            ids = np.append(np.arange(n), two)
+            best = [ids[i] for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+            hit += len(set(best) & set(got.vec_id[got.query_id == q]))
+        assert len(asked) > 20 and hit / (20 * len(asked)) >= least
+    assert two not in got.vec_id[got.query_id == two].tolist() and (got.groupby("query_id").size() == 20).all()
