@@ -9,7 +9,8 @@ Adagrad in numpy on a bounded sample of labelled rows.
 
 The logit at which a text counts as toxic is calibrated for each language as predicted
 from the text (``language_id``) and moved to 0.7: ``score = sigmoid(logit - threshold
-+ logit(0.7))``. A language with few labelled texts uses the threshold of all.
++ logit(0.7))``. The thresholds come from all labelled rows that the net was not trained on, counted
+by language, logit and label. A language with few labelled texts uses the threshold of all.
 
 Null, empty and wordless texts get the share of toxic labels as their score, at most 0.5. Texts of any length are read whole. Rows without a label are not learned
 from; without any toxic or any clean label every score is 0.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import by_batch, labelled_sample, word_buckets
+from aerolake.llm.common import by_batch, labelled_sample, unit, word_buckets
 from aerolake.llm.language_id import LanguageModel
 
 BITS, DIM, FILTERS, WIDTHS, PREFIXES = 16, 8, 8, (1, 2, 3), (4, 5, 6)
@@ -32,6 +33,10 @@ CUT = 0.7
 CUT_LOGIT = float(np.log(CUT / (1 - CUT)))
 #: Words of a text that enter the filters at once.
 CHUNK = 4096
+#: Of the hash of ids that draws the sample.
+SEED = 11
+#: Logits are counted in bins of 1 / BINS, from -FAR to FAR.
+BINS, FAR = 64, 64
 
 
 @dataclass
@@ -148,59 +153,88 @@ class ToxicityModel:
     thresholds: dict[str, float]
     share: float = 0.0  # of toxic labels
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.net is None:
-            return np.zeros(len(texts))
-        langs = self.languages.predict(texts)[0]
+    def logits(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, logit and whether there are words, for each whole text."""
         logits, worded = np.zeros(len(texts)), np.zeros(len(texts), bool)
         for i, text in enumerate(texts):
             ids = word_buckets(text, BITS, PREFIXES)
             logits[i], worded[i] = self.net.logit(ids), len(ids) > 0
+        return self.languages.predict(texts)[0], logits, worded
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.net is None:
+            return np.zeros(len(texts))
+        langs, logits, worded = self.logits(texts)
         usual = self.thresholds[""]
         shifted = logits - np.array([self.thresholds.get(lang, usual) for lang in langs]) + CUT_LOGIT
         return np.where(worded, 1 / (1 + np.exp(-np.clip(shifted, -30, 30))), min(self.share, 0.5))
 
 
+def counted(docs: DataFrame, marks: DataFrame, model: ToxicityModel) -> pa.Table:
+    """Labelled rows with words by predicted language, bin of the logit and label: ``lang``, ``bin``, ``y``, ``n``. Bounded by the languages and bins."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size but for the centroids of languages
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, logits, worded = shared.value.logits(batch.column("text").to_pylist())
+        at = np.floor(np.clip(logits, -FAR, FAR) * BINS).astype(np.int32)
+        found = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(at, pa.int32())], ["doc_id", "lang", "bin"])
+        return found.filter(pa.array(worded))
+
+    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    bins = by_batch(texts, run, f"doc_id {id_type}, lang string, bin int")
+    # Repeated ids are counted on both sides before they meet, so that none makes pairs.
+    bins = bins.groupBy("doc_id", "lang", "bin").agg(F.count("*").alias("rows"))
+    of = marks.groupBy("doc_id", "y").agg(F.count("*").alias("times"))
+    return bins.join(of, "doc_id").groupBy("lang", "bin", "y").agg(F.sum(F.col("rows") * F.col("times")).alias("n")).toArrow()
+
+
 def fit(docs: DataFrame, labels: DataFrame, languages: LanguageModel, max_rows: int = 6000, calibrate: float = 0.4, min_rows: int = 60) -> ToxicityModel:
     """Learns from ``doc_id``, ``text`` of ``docs`` and ``doc_id``, ``toxic`` (0 or 1) of at most about ``max_rows`` labels, half of them toxic where there are as many.
 
-    A share of ``calibrate`` of them is kept from training and sets the thresholds. The driver gets the
-    rows of the sample as bucket ids.
+    A share of ``calibrate`` of them is kept from training; these and all labelled rows beyond the sample set the
+    thresholds, a language's own where it has ``min_rows`` of either label. The driver gets the
+    rows of the sample as bucket ids, and counts by language and bin.
     """
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     found = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(found) < 2:
         return ToxicityModel(None, languages, {"": 0.0})
     keep = {y: min(1.0, max_rows / 2 / n) for y, n in found.items()}
-    model = docs.sparkSession.sparkContext.broadcast(languages)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([word_buckets(t, BITS, PREFIXES).tobytes() for t in texts], pa.binary()), pa.array(model.value.predict(texts)[0], pa.string()), batch.column("y"), batch.column("u")],
-            ["ids", "lang", "y", "u"],
-        )
-
-    sample = labelled_sample(docs, marks, keep, 11)
-    got = by_batch(sample, encode, "ids binary, lang string, y int, u double").toArrow().sort_by([("u", "ascending"), ("y", "ascending"), ("lang", "ascending")])
+        ids = [word_buckets(t, BITS, PREFIXES).tobytes() for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column("y"), batch.column("u")], ["ids", "y", "u"])
+
+    sample = labelled_sample(docs, marks, keep, SEED)
+    got = by_batch(sample, encode, "ids binary, y int, u double").toArrow().sort_by([("u", "ascending"), ("y", "ascending"), ("ids", "ascending")])
     texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for x in got["ids"]]
     y = got["y"].to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return ToxicityModel(None, languages, {"": 0.0})
     held = got["u"].to_numpy() < calibrate
-    if any(len(np.unique(y[m])) < 2 for m in (held, ~held)):
+    apart = all(len(np.unique(y[m])) == 2 for m in (held, ~held))
+    if not apart:
         held = np.zeros(len(y), bool)
     net = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
-    judged = held if held.any() else ~held
-    logits = np.array([net.logit(t) for t, j in zip(texts, judged, strict=True) if j])
-    truth, langs = y[judged], np.array(got["lang"].to_pylist())[judged]
-    stands_for = np.where(truth == 1, 1 / keep[1], 1 / keep[0])
-    thresholds = {"": threshold(logits, truth, stands_for)}
-    for lang in np.unique(langs):
+    model = ToxicityModel(net, languages, {"": 0.0}, found[1] / sum(found.values()))
+    stands_for = {0: 1.0, 1: 1.0}
+    if apart:
+        rate = F.when(F.col("y") == 1, F.lit(keep[1])).otherwise(F.lit(keep[0]))
+        u = unit(F.lit(SEED), F.col("doc_id")) / rate
+        marks = marks.filter((u < calibrate) | (u >= 1))
+        stands_for = {k: 1 / (1 - (1 - calibrate) * r) for k, r in keep.items()}
+    counts = counted(docs, marks, model)
+    langs, truth, n = np.array(counts["lang"].to_pylist(), object), counts["y"].to_numpy().astype(float), counts["n"].to_numpy()
+    middle = (counts["bin"].to_numpy() + 0.5) / BINS  # halfway between two neighbours is the border of their bins
+    weight = n * np.where(truth == 1, stands_for[1], stands_for[0])
+    if n[truth == 1].sum():
+        model.thresholds[""] = threshold(middle, truth, weight)
+    for lang in np.unique(langs.astype(str)):
         of = langs == lang
-        if lang != "und" and truth[of].sum() >= min_rows and (1 - truth[of]).sum() >= min_rows:
-            thresholds[str(lang)] = threshold(logits[of], truth[of], stands_for[of])
-    return ToxicityModel(net, languages, thresholds, found[1] / sum(found.values()))
+        if lang != "und" and min(n[of & (truth == k)].sum() for k in (0, 1)) >= min_rows:
+            model.thresholds[str(lang)] = threshold(middle[of], truth[of], weight[of])
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

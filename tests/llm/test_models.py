@@ -139,3 +139,25 @@ def test_ordinal_thresholds_are_ordered_and_grades_follow():
     assert means == sorted(means) and means[3] - means[0] > 1.5
     at, x = quality.features(None)
     assert len(at) == len(x) == 0
+
+
+def test_threshold_of_a_rare_language_uses_all_its_labels(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = {"en": [f"the{c}ing" for c in "abcdefghij"], "de": [f"sch{c}ung" for c in "klmnopqrst"]}
+    rows, marks = [], []
+    for i in range(2000):
+        lang, bad = "de" if i % 10 == 0 else "en", i % 3 == 0
+        words = rng.choice(vocabulary[lang], 20).tolist() + ["loweiq"] * (bad and rng.random() < 0.9)
+        rows.append((i, " ".join(words), lang))
+        marks.append((i, int(bad)))
+    docs = docs_of(spark, rows)
+    languages = language_id.fit(docs)
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, languages, max_rows=200)
+    assert {"", "de", "en"} == set(model.thresholds)  # the sample holds about 20 labels of de
+    twice = toxicity.counted(docs.unionByName(docs), labels.unionByName(labels).withColumnRenamed("toxic", "y"), model)
+    assert sum(twice["n"].to_pylist()) == 4 * 2000
+    of = [(t, y) for (i, t, lang), (_, y) in zip(rows, marks, strict=True) if lang == "de"]
+    logits, truth = model.logits([t for t, _ in of])[1], np.array([y for _, y in of])
+    chosen = logits >= model.thresholds["de"]
+    assert 2 * (chosen & (truth == 1)).sum() / (chosen.sum() + truth.sum()) > 0.9
