@@ -5,8 +5,8 @@ Each language has several centroids, found by spherical k-means over its own tex
 text gets the language of the centroid with the largest cosine. ``rejected`` marks a
 text farther from its centroid than all but ``reject_share`` of the centroid's own texts.
 
-The model is fitted on at most about ``docs_per_lang`` rows of each language, chosen by
-a hash; every text is scored whole. Null texts and texts without a letter are ``und``,
+The model is fitted on at most about ``docs_per_lang`` different texts of each language, chosen by
+a hash among those with a letter, each taken once however many copies it has; every text is scored whole. Null texts and texts without a letter are ``und``,
 with score 0. Rows without a language are not learned from. Without any labelled row
 all texts are ``und``.
 """
@@ -25,6 +25,8 @@ from aerolake.llm.common import HAS_LETTER, by_batch, on_workers, unit
 from aerolake.plans.joins import join_dimension, settle
 
 BITS = 12
+#: What ``HAS_LETTER`` finds, for the JVM; a few characters may differ between Unicode versions.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 #: Digits and punctuation of ASCII count as a space.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -92,9 +94,11 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> tuple[np
 def fit(docs: DataFrame, docs_per_lang: int = 1500, per_lang: int = 4, reject_share: float = 0.01) -> LanguageModel:
     """Learns from the columns ``text`` and ``lang`` of all rows of ``docs``; the number of languages bounds what the driver gets."""
     on_workers(docs.sparkSession)
-    labelled = docs.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rate = labelled.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("rate"))
-    chosen = join_dimension(labelled, rate, ["lang"], how="inner").filter(unit(F.col("text")) < F.col("rate"))
+    labelled = docs.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    # Copies count once: the rate comes from the different texts, and only the chosen ones are compared.
+    different = labelled.select("lang", F.xxhash64("text").alias("of")).distinct()
+    rate = settle(different.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("rate")), "language-rates")
+    chosen = join_dimension(labelled, rate, ["lang"], how="inner").filter(unit(F.col("text")) < F.col("rate")).select("text", "lang").distinct()
 
     def sparse(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, at, n = [], [], []
@@ -105,7 +109,7 @@ def fit(docs: DataFrame, docs_per_lang: int = 1500, per_lang: int = 4, reject_sh
                 n.append(c[at[-1]].astype(np.float32))
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["lang", "at", "n"])
 
-    sample = settle(by_batch(chosen.select("text", "lang"), sparse, "lang string, at array<int>, n array<float>"), "language-sample")
+    sample = settle(by_batch(chosen, sparse, "lang string, at array<int>, n array<float>"), "language-sample")
     size = sample.count()
     if not size:
         return LanguageModel([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), np.ones(1 << BITS, np.float32))

@@ -161,3 +161,16 @@ def test_threshold_of_a_rare_language_uses_all_its_labels(spark):
     logits, truth = model.logits([t for t, _ in of])[1], np.array([y for _, y in of])
     chosen = logits >= model.thresholds["de"]
     assert 2 * (chosen & (truth == 1)).sum() / (chosen.sum() + truth.sum()) > 0.9
+
+
+def test_language_of_few_texts_with_many_copies(spark):
+    few = {lang: [f"{word} number {'abcdefghij'[i]} of {word} texts" for i in range(2)] for lang, word in (("xa", "kolu"), ("xb", "mira"), ("xc", "tendo"), ("xd", "zuppe"), ("xe", "wrath"))}
+    rows = [(i, few[lang][i % 2], lang) for lang in few for i in range(400)]
+    rows += [(i, f"plain {i} words of the most common kind {i * 7}", "en") for i in range(400)]
+    rows += [(i, "one text " * 20, "en") for i in range(400)]
+    model = language_id.fit(docs_of(spark, rows), docs_per_lang=20)
+    assert set(model.langs) == {*few, "en"}
+    texts = [t for lang in few for t in few[lang]]
+    assert model.predict(texts)[0] == [lang for lang in few for _ in few[lang]]
+    once = language_id.fit(docs_of(spark, list({(t, lang): (i, t, lang) for i, t, lang in rows}.values())), docs_per_lang=20)
+    assert np.allclose(model.idf, once.idf)  # copies change nothing
