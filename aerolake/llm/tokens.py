@@ -3,8 +3,9 @@
 The tokenizer's own rule never joins anything across a space that a visible character
 follows, nor across a line break between visible characters. A text is cut there, every
 piece is encoded once by the tokenizers library, and its ids are kept for the pieces to
-come. The result equals the library's ids of the whole text (tested). The strings of
-special tokens are ordinary text.
+come. The result equals the library's ids of the whole text (tested). A text with the string of an added
+token, such as a special one, is encoded whole by the library, whose defaults hold; only an encoder made
+with ``plain_specials`` reads such strings as ordinary text.
 """
 
 from __future__ import annotations
@@ -43,12 +44,16 @@ class Encoder:
 
     _known: dict[str, Encoder] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain_specials: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        if plain_specials:
+            self.library.encode_special_tokens = True
+            added = [t for t in added if not t.special]
+        self.added = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
         self.signs = {b: c for b, c in byte_signs().items() if ord(c) != b}
         rule = self.library.pre_tokenizer
@@ -60,7 +65,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in cls._known:
-            cls._known[path] = cls(path)
+            cls._known[path] = cls(path, plain_specials=False)
         return cls._known[path]
 
     def forget(self) -> None:
@@ -69,6 +74,12 @@ class Encoder:
         self.signs_ids: dict[str, list[int]] = {}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
+    def _has_added(self, text: str) -> bool:
+        if self.added is None:
+            return False
+        normal = self.library.normalizer
+        return bool(self.added.search(text) or normal is not None and self.added.search(normal.normalize_str(text)))
+
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
@@ -149,7 +160,9 @@ class Encoder:
         out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
         waiting, size = [], 0
         for i, text in enumerate([*texts, None]):
-            if text:
+            if text and self._has_added(text):
+                out[i] = np.array(self._whole(text), self.kind)
+            elif text:
                 waiting.append(i)
                 size += len(text)
             if waiting and (size > CALL or i == len(texts)):

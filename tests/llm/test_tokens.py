@@ -155,3 +155,20 @@ def test_packing_edges(spark, library):
     twice = packing.pack(docs.unionByName(docs)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert all(r.n == 2 * len(want[r.doc_id]) for r in twice)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny z", "<|endoftext| >", " <|endoftext|><|endoftext|>  end"]
+
+
+def test_special_tokens_as_the_unmodified_library(spark):
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    rng = random.Random(6)
+    texts = SPECIAL + ["".join(rng.choice(PARTS) for _ in range(rng.randrange(14))) for _ in range(5000)]
+    for got, want in zip(tokens.Encoder.of(tokens.vocabulary_path()).encode(texts), plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.tolist() == want.ids
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string")
+    start = 0
+    for r, ids in zip(sorted(tokenfiles.read(tokenfiles.write(docs)).collect(), key=lambda r: r.doc_id), expected(SPECIAL, plain, 2), strict=True):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc(ids))
+        start += len(ids)
+    check_pieces(packing.pack(docs).collect(), dict(enumerate(expected(SPECIAL, plain, 1))))
