@@ -1,12 +1,13 @@
 """Secrets: patterns, and strings that a primed compressor finds new.
 
-Three patterns give the base spans. Beyond them, strings in a sensitive context (shortly
-after a word such as ``credential`` or ``bearer``) are candidates. A candidate's novelty
+Three patterns give the base spans. Beyond them, all runs of 16 or more characters in a sensitive context are candidates:
+after a word such as ``credential`` or ``bearer`` to the end of its paragraph, of the lines indented more than
+its own, or of a key that begins on its line. A candidate's novelty
 is its marginal compressed size: bytes that zstandard needs for the candidate, primed
 with identifiers common in code and with the text around it, over those for nothing.
 Ordinary words, identifiers and repetitions cost little; random strings cost
 nearly their whole length. A candidate that costs at least ``per_char`` of its length
-and mixes letters with digits is a span of kind ``novel``.
+is a span of kind ``novel``.
 
 Every whole text is searched. Spans count code points, the end is exclusive. Null and
 empty texts have no spans; repeated rows have the same ones.
@@ -15,6 +16,8 @@ empty texts have no spans; repeated rows have the same ones.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -31,9 +34,10 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CONTEXT = re.compile(
-    r"(?ai:credential|bearer|authorization|private.?key|access.?key|secret|passw|pwd|token|api.?key)[^\n]{0,24}?[\s\"'`=:]([A-Za-z0-9+/_.~=-]{16,})"
-)
+CONTEXT = re.compile(r"(?ai:credential|bearer|authorization|private.?key|access.?key|secret|passw|pwd|token|api.?key)")
+RUN = re.compile(r"[A-Za-z0-9+/_.~=-]{16,}")
+#: What a run may start with that is not the value: the rest of a name, and its sign.
+NAME = re.compile(r"[A-Za-z_.-]*=+(?=.{16})")
 CONTEXT_WORDS = ("credential", "bearer", "authorization", "private", "access", "secret", "passw", "pwd", "token", "key")
 
 #: What common code looks like to the compressor.
@@ -54,17 +58,47 @@ def cost(candidate: bytes, around: bytes) -> int:
     return len(packer.compress(candidate)) - len(packer.compress(b""))
 
 
+def sensitive(text: str) -> list[tuple[int, int]]:
+    """The parts of lines in a sensitive context."""
+    found, at, paragraph, deeper, key = [], 0, False, None, False
+    for line in text.split("\n"):
+        bare = line.strip(" \t\r")
+        indent = len(line) - len(line.lstrip(" \t"))
+        ends = "-----END" in line
+        key = key and not ends
+        if not bare:
+            paragraph = False
+        elif deeper is not None and indent <= deeper:
+            deeper = None
+        word = CONTEXT.search(line)
+        if bare and (key or paragraph or deeper is not None):
+            found.append((at, at + len(line)))
+        elif word:
+            found.append((at + word.end(), at + len(line)))
+        if word and not ends:
+            paragraph, deeper = True, indent if deeper is None else min(deeper, indent)
+            key = key or "-----BEGIN" in line
+        at += len(line) + 1
+    return found
+
+
 def novel(text: str, taken: list[tuple[int, int]], reach: int = 400, per_char: float = 0.7) -> list[tuple[int, int]]:
     """Spans of strings in a sensitive context that the text around does not explain."""
     found = []
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        value = m.group(1)
-        if any(start < e and s < end for s, e in taken) or not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
-            continue
-        around = (text[max(0, start - reach) : start] + text[end : end + reach]).encode("utf-8", "replace")
-        if cost(value.encode(), around) >= per_char * len(value):
-            found.append((start, end))
+    taken = sorted(taken)
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    for a, b in sensitive(text):
+        for m in RUN.finditer(text, a, b):
+            start, end = m.span()
+            if name := NAME.match(text, start, end):
+                start = name.end()
+            before = bisect_left(starts, end)
+            if before and ends[before - 1] > start:
+                continue
+            value = text[start:end]
+            around = (text[max(0, start - reach) : start] + text[end : end + reach]).encode("utf-8", "replace")
+            if cost(value.encode(), around) >= per_char * len(value):
+                found.append((start, end))
     return found
 
 

@@ -1,6 +1,8 @@
 """Secret spans against a plain reading of the rules."""
 
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +59,18 @@ def test_edges_and_redaction(spark):
     assert secret_scan.find(docs.limit(0)).count() == 0
     listed = secret_scan.find(docs).select(secret_scan.listed(F.col("spans")).alias("s")).collect()
     assert listed[3].s == "assign:0:49,hex:9:49" and listed[0].s == ""
+
+
+def test_secrets_of_several_lines_and_far_from_the_word():
+    rng = random.Random(4)
+
+    def fresh(n, signs=string.ascii_letters + string.digits):
+        return "".join(rng.choices(signs, k=n))
+
+    lines = [fresh(64) for _ in range(25)]
+    far, deep, letters, later = fresh(32), fresh(32), fresh(32, string.ascii_letters), fresh(32)
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----\n\n"
+    text += f"bearer, after quite a long remark on where it comes from: {far}\n\ncredentials:\n  first:\n\n    value: {deep}\n  other: {letters}\n\nplain {later}\n"
+    found = {text[s:e] for k, s, e in secret_scan.spans(text) if k == "novel"}
+    assert found == {*lines, far, deep, letters}
+    assert secret_scan.spans("the secret of internal documentation in a paragraph of words\nand user_id session_id") == []
