@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import hilbert, language_id, mixing, near_dup, packing, quality, secret_scan, tokenfiles, topk, toxicity
+from aerolake.llm import fill_middle, hilbert, language_id, mixing, near_dup, packing, quality, secret_scan, simhash, tokenfiles, topk, toxicity, vector_codes
 from aerolake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,67 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_hilbert")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_fill_middle", sql=r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), l AS (
+  SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, [('0x' || h[8 * i + 1 : 8 * i + 8])::BIGINT FOR i IN range(4)] AS r FROM d
+), c AS (
+  SELECT *, len(u) AS n, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS lo, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS hi FROM l
+), p AS (
+  SELECT *, array_to_string(u[1 : lo], '') AS prefix, array_to_string(u[lo + 1 : hi], '') AS middle, array_to_string(u[hi + 1 :], '') AS suffix,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+              WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.arrange(table(spark, sf_dir, "documents"))
+    return fill_middle.restore(cut).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def _codes_sql(rounds: int) -> str:
+    """Integer k-means in SQL: a pair of tables for each round, and a last assignment."""
+    steps = ["""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT *, list_inner_product(x, x) AS xx FROM (SELECT vec_id, label, k AS part, x[k * len(x) // 4 + 1 : (k + 1) * len(x) // 4] AS x FROM v, range(4) r(k))
+), b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER w - 1 AS entry, x AS c, xx AS cc FROM p WINDOW w AS (PARTITION BY part ORDER BY vec_id, x) QUALIFY row_number() OVER w <= 256
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, best // 256 AS error, best % 256 AS entry FROM (
+    SELECT vec_id, label, p.part, x, min((xx + cc - 2 * list_inner_product(x, c))::HUGEINT * 256 + entry) AS best FROM p JOIN b{i} b ON p.part = b.part GROUP BY vec_id, label, p.part, x)
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT part, entry, list(floor(s / n) ORDER BY i) AS c FROM (
+    SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM a{i}, range(1, 100000) r(i) WHERE i <= len(x) GROUP BY part, entry, i) GROUP BY part, entry
+), b{i + 1} AS MATERIALIZED (
+  SELECT part, entry, c, list_inner_product(c, c) AS cc FROM (SELECT part, entry, coalesce(m{i}.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} USING (part, entry))
+)""")
+    last = rounds
+    return ", ".join(steps) + f""", coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry::BIGINT), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM a{last} GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY part, entry)) FROM b{last}) AS codebooks_sha256 FROM coded
+"""
+
+
+@query("op12_vector_codes", sql=_codes_sql(4))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query("op13_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
