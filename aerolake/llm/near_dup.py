@@ -155,7 +155,22 @@ def links_of(groups: DataFrame, keys: list[str]) -> DataFrame:
     return groups.groupBy(*keys).applyInPandas(run, "a bigint, b bigint").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, hub: int) -> DataFrame:
+    """Edges (u, v) with ``m``, the least ``v`` of their ``u``.
+
+    The least ones come from partial sums. Nodes with more than ``hub`` edges are few, at most one in ``hub`` edges, and
+    their edges meet the least one without being gathered in a task.
+    """
+    least = settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hubs = least.filter(F.col("n") > hub).select("u", F.col("m").alias("hub_m"))
+    if not hubs.limit(1).count():
+        return edges.join(least.drop("n"), "u")
+    told = join_dimension(edges, hubs, ["u"])
+    rest = told.filter("hub_m IS NULL").select("u", "v").join(least.filter(F.col("n") <= hub).drop("n"), "u")
+    return rest.unionByName(told.filter("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")))
+
+
+def components(links: DataFrame, hub: int = 1000) -> DataFrame:
     """``node`` and ``label``, the smallest node it can reach, for the nodes of ``links`` (a, b).
 
     Alternating stars: nodes hang themselves onto the smallest node among their neighbours until nothing changes.
@@ -164,12 +179,10 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, both.u == least.w).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, hub).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = settle(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        hung = large.join(least, large.u == least.w)
-        small = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
+        hung = _with_least(large, hub)
+        small = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v")))
         star = settle(small.distinct(), "small-star")
         state = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:

@@ -95,6 +95,7 @@ def test_components_of_graphs(spark):
     links = spark.createDataFrame([e for e in edges if e[0] != e[1]], "a bigint, b bigint")
     got = dict(map(tuple, near_dup.components(links).collect()))
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert dict(map(tuple, near_dup.components(links, hub=3).collect())) == got
     first = near_dup.relabel(None, links.filter("a < 20"))
     both = dict(map(tuple, near_dup.relabel(first, links.filter("a >= 20")).collect()))
     assert both == got
