@@ -9,13 +9,14 @@ the largest spread are merged again and again, the fullest windows of one with t
 starts at the least count that could hold the group and rises, in proportion to the
 excess, while any window exceeds the capacity.
 
-Null and empty texts consist of the end id. Repeated rows are packed each. An empty
+Null and empty texts consist of the end id. Very long texts are read whole and give as many pieces as they need. Repeated rows are packed each. An empty
 table gives an empty one.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import by_batch, crc_of_ids, on_workers
+from aerolake.llm.common import by_batch, on_workers
 from aerolake.llm.tokens import Encoder, vocabulary_path
 from aerolake.plans.joins import settle
 
@@ -99,10 +100,14 @@ def cut(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacit
         cells: list[list[int]] = [[], [], [], [], []]
         encoder = Encoder.of(path)
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-            ids = np.append(ids.astype(np.uint32), np.uint32(end_id))
-            for start, length in pieces_of(len(ids), capacity, piece):
-                for cell, value in zip(cells, (doc_id, start, length, crc_of_ids(ids[start : start + length]), len(ids)), strict=True):
-                    cell.append(value)
+            ids = np.append(ids.astype("<u4"), np.uint32(end_id))
+            raw = memoryview(ids).cast("B")
+            found = pieces_of(len(ids), capacity, piece)
+            cells[0] += [doc_id] * len(found)
+            cells[1] += [s for s, _ in found]
+            cells[2] += [n for _, n in found]
+            cells[3] += [zlib.crc32(raw[4 * s : 4 * (s + n)]) for s, n in found]
+            cells[4] += [len(ids)] * len(found)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names)
 
     return by_batch(docs.select("doc_id", "text"), run, ", ".join(f"{n} bigint" for n in names))

@@ -2,7 +2,7 @@
 
 Documents are laid out in ascending ``doc_id`` order, nulls first, equal ids by their text. A shard
 holds consecutive documents. Within it frequent pairs of neighbouring ids are replaced
-by new symbols, round after round, over the pairs of the round before; a pair is
+by new symbols, round after round, over the pairs of the round before, until no pair is frequent; a pair is
 replaced where it does not cross the end of a document, so every document can be decoded
 alone. Each round counts all pairs of the shard and replaces all that are frequent and
 fit, from the left where they overlap.
@@ -27,6 +27,7 @@ each. An empty table gives no shard.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import by_batch, crc_of_ids, on_workers
+from aerolake.llm.common import on_workers
 from aerolake.llm.tokens import Encoder, vocabulary_path
 from aerolake.plans.joins import join_dimension, settle
 
@@ -44,56 +45,82 @@ _HASH = 18
 _ODD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - _HASH)
 
 
-def replace_frequent(seq: np.ndarray, ends: np.ndarray, first: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slots(key: np.ndarray) -> np.ndarray:
+    return ((key * _ODD) >> _SHIFT).astype(np.int32)
+
+
+def replace_frequent(
+    seq: np.ndarray, ends: np.ndarray, first: int, most: int, least: int, since: int = 0, waiting: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One round: pairs that occur at least ``least`` times, the ``most`` most frequent, become symbols from ``first`` on.
 
-    ``ends`` are the documents' ends in symbols. Chosen pairs are found again by a hash; of two in
-    one slot the less frequent waits for the next round. Returns the new sequence and ends, and the pairs.
+    ``ends`` are the documents' ends in symbols. In a later round only pairs with a symbol from ``since`` on, those of the round before, and
+    pairs that had to wait can be frequent, so only they are counted. Pairs are dealt to slots by a hash; those of slots with enough
+    pairs are sorted and counted. Chosen pairs are found again by their slot; of two in one slot the less frequent waits for the next round.
+    Returns the new sequence and ends, the pairs, and those that wait.
     """
     inside = np.ones(len(seq) - 1, bool)
     inside[ends[(ends > 0) & (ends < len(seq))] - 1] = False
-    key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    ordered = np.sort(key[inside])
+    if since:
+        new = seq >= since
+        near = new[:-1] | new[1:]
+        if len(waiting):
+            held = np.zeros(1 << _HASH, bool)
+            held[_slots(waiting)] = True
+            near |= held[_slots((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:])]
+        inside &= near
+    places = np.flatnonzero(inside)
+    key = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
+    slot = _slots(key)
+    often = np.bincount(slot, minlength=1 << _HASH)[slot] >= least
+    places, key, slot = places[often], key[often], slot[often]
+    ordered = np.sort(key)
     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, int)
     n = np.diff(np.append(starts, len(ordered)))
     often = np.flatnonzero(n >= least)
-    often = often[np.argsort(-n[often], kind="stable")[:most]]
-    pairs = ordered[starts[often]]
-    slots = ((pairs * _ODD) >> _SHIFT).astype(np.int32)
-    pairs = pairs[np.sort(np.unique(slots, return_index=True)[1])]
+    often = often[np.argsort(-n[often], kind="stable")]
+    every = ordered[starts[often]]
+    pairs = every[:most]
+    taken = np.sort(np.unique(_slots(pairs), return_index=True)[1])
+    waits = np.delete(every, taken)
+    pairs = pairs[taken]
     if not len(pairs):
-        return seq, ends, np.zeros((0, 2), np.uint32)
+        return seq, ends, np.zeros((0, 2), np.uint32), waits
     place = np.full(1 << _HASH, -1, np.int32)
-    place[((pairs * _ODD) >> _SHIFT).astype(np.int32)] = np.arange(len(pairs))
-    found = place[((key * _ODD) >> _SHIFT).astype(np.int32)]
-    at = np.flatnonzero((pairs[found] == key) & inside & (found >= 0))
+    place[_slots(pairs)] = np.arange(len(pairs))
+    found = place[slot]
+    hit = (found >= 0) & (pairs[found] == key)
+    at, found = places[hit], found[hit]
     # Of hits that follow each other without a gap, every second stands, from the left.
     new_run = np.append(True, np.diff(at) != 1)
     run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-    at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+    stands = (np.arange(len(at)) - run_start) % 2 == 0
+    at, found = at[stands], found[stands]
     out = seq.copy()
-    out[at] = first + found[at]
+    out[at] = first + found
     stays = np.ones(len(seq), bool)
     stays[at + 1] = False
-    return out[stays], ends - np.searchsorted(at + 1, ends), np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)], axis=1)
+    sides = np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)], axis=1)
+    return out[stays], ends - np.searchsorted(at + 1, ends), sides, waits
 
 
-def pack(docs: list[np.ndarray], base: int, rounds: int = 3, most: int = 6000, least: int = 16) -> bytes:
-    """A shard of documents' ids."""
+def pack(docs: list[np.ndarray], base: int, most: int = 6000, least: int = 16) -> bytes:
+    """A shard of documents' ids; rounds go on until no pair occurs ``least`` times."""
     sizes = np.array([len(d) for d in docs], np.int64)
     token_ends = np.cumsum(sizes)
     seq = np.concatenate([d.astype(np.uint32) for d in docs]) if len(docs) else np.zeros(0, np.uint32)
-    ends, rules = token_ends.copy(), np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        seq, ends, pairs = replace_frequent(seq, ends, base + len(rules), most, least)
+    ends, rules, lengths = token_ends.copy(), np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
+    since, waiting = 0, None
+    while len(seq) > 1:
+        first = base + len(rules)
+        seq, ends, pairs, waiting = replace_frequent(seq, ends, first, most, least, since, waiting)
         if not len(pairs):
             break
-        rules = np.concatenate([rules, pairs])
-    lengths = np.ones(len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[i] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
+        since = first
+        # A round's pairs consist of ids and of symbols of earlier rounds.
+        known = np.append(lengths, np.uint32(1))
+        parts = np.where(pairs >= base, pairs.astype(np.int64) - base, len(lengths))
+        rules, lengths = np.concatenate([rules, pairs]), np.concatenate([lengths, known[parts].sum(axis=1, dtype=np.uint32)])
     width = 2 if base + len(rules) <= 1 << 16 else 4
     kind = f"<u{width}"
     head = _HEAD.pack(VERSION, base, len(rules), len(docs), len(seq), width, int(sizes.sum()), 0, 0)
@@ -123,17 +150,21 @@ class Shard:
         self.symbols = take(n, kind)
 
     def _spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every symbol in full: where it starts, how long it is, and the ids."""
+        """Every symbol in full: where it starts, how long it is, and the ids.
+
+        All rules are replaced by their two sides at once, again and again, until only ids are left.
+        """
         if not hasattr(self, "_full"):
             sizes = np.concatenate([np.ones(self.base, np.int64), self.lengths.astype(np.int64)])
-            starts = np.cumsum(sizes) - sizes
-            ids = np.zeros(int(sizes.sum()), np.uint32)
-            ids[: self.base] = np.arange(self.base)
-            for i, (a, b) in enumerate(self.rules.tolist()):
-                s = starts[self.base + i]
-                ids[s : s + sizes[a]] = ids[starts[a] : starts[a] + sizes[a]]
-                ids[s + sizes[a] : s + sizes[a] + sizes[b]] = ids[starts[b] : starts[b] + sizes[b]]
-            self._full = starts, sizes, ids
+            flat = np.arange(self.base, self.base + len(self.rules), dtype=np.int64)
+            while len(rule := np.flatnonzero(flat >= self.base)):
+                n = np.ones(len(flat), np.int64)
+                n[rule] = 2
+                sides = self.rules[flat[rule] - self.base].astype(np.int64)
+                at = (np.cumsum(n) - n)[rule]
+                flat = np.repeat(flat, n)
+                flat[at], flat[at + 1] = sides[:, 0], sides[:, 1]
+            self._full = np.cumsum(sizes) - sizes, sizes, np.concatenate([np.arange(self.base), flat]).astype(np.uint32)
         return self._full
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -163,8 +194,8 @@ class Shard:
 def write(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = 500_000) -> DataFrame:
     """Encodes ``doc_id`` and ``text`` and writes shards to the shared folder; the table read back, one row for each shard.
 
-    Columns: ``part`` (range of ids), ``shard`` (place in it), ``doc_ids``, ``n_docs``, ``n_tokens``, ``payload``. A document
-    longer than ``shard_tokens`` has a shard of its own.
+    Columns: ``part`` (range of ids), ``shard`` (place in it), ``doc_ids``, ``n_docs``, ``n_tokens``, ``payload``. A shard ends
+    with the document that fills it, so it holds at most that document beyond ``shard_tokens``.
     """
     spark = docs.sparkSession
     on_workers(spark)
@@ -212,19 +243,22 @@ def read(shards: DataFrame) -> DataFrame:
     offsets = shards.select("part", "shard", (F.sum("n_tokens").over(inner) - F.col("n_tokens")).alias("within"))
     offsets = settle(join_dimension(offsets, totals.select("part", "before"), ["part"], how="inner"), "shard-offsets")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cells: list[list] = [[], [], [], [], [], []]
-        for part, number, ids, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "doc_ids", "payload")), strict=True):
-            shard = Shard(raw)
-            start = 0
-            for i, doc_id in enumerate(ids):
-                one = shard.document(i)
-                for cell, value in zip(cells, (part, number, doc_id, start, len(one), crc_of_ids(one)), strict=True):
-                    cell.append(value)
-                start += len(one)
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], ["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"])
-
-    decoded = by_batch(shards.select("part", "shard", "doc_ids", "payload"), run, "part int, shard int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
+    names = ["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a shard at a time
+                part, number, ids, raw = (batch.column(c)[i] for c in ("part", "shard", "doc_ids", "payload"))
+                shard = Shard(raw.as_buffer())
+                tokens = memoryview(shard.expand(shard.symbols).astype("<u4", copy=False)).cast("B")
+                ends = shard.token_ends
+                starts = np.append(0, ends[:-1])
+                crc = [zlib.crc32(tokens[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                n = len(ends)
+                columns = [pa.array(np.full(n, part.as_py()), pa.int32()), pa.array(np.full(n, number.as_py()), pa.int32()), ids.values.cast(pa.int64())]
+                columns += [pa.array(x, pa.int64()) for x in (starts, ends - starts, np.array(crc, np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    decoded = shards.select("part", "shard", "doc_ids", "payload").mapInArrow(run, "part int, shard int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
     placed = join_dimension(decoded, offsets, ["part", "shard"], how="inner")
     return placed.select("doc_id", (F.col("before") + F.col("within") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

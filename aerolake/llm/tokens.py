@@ -18,14 +18,14 @@ from itertools import chain, repeat
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces kept by one Python worker; beyond it the store starts anew.
-STORE = 450_000
+#: Pieces kept by one Python worker; beyond it those that did not come again are let go.
+STORE = 600_000
 
 #: Characters of one call; more are encoded in turn.
 CALL = 2_000_000
 
 _CUT = re.compile(r" (?=[^\s\x00-\x20])")
-_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_LATIN = [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x250)]
 #: Signs of ASCII: after letters, the tokenizer's rule takes a run of them together.
 _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Place of a piece that starts with white space: its text is cut with more care.
@@ -55,7 +55,8 @@ class Encoder:
             added = [t for t in added if not t.special]
         self.added = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
-        self.signs = {b: c for b, c in byte_signs().items() if ord(c) != b}
+        signs = byte_signs()
+        self.spelling = {chr(c): "".join(signs[b] for b in chr(c).encode()) for c in _LATIN}
         rule = self.library.pre_tokenizer
         self.by_bytes = type(rule).__name__ == "ByteLevel" and rule.use_regex and not rule.add_prefix_space and self.library.normalizer is None
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
@@ -73,6 +74,21 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.signs_ids: dict[str, list[int]] = {}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.came_again = np.zeros(0, bool)
+
+    def thin_out(self) -> None:
+        """Lets go of the pieces that were met once only, of all if too few were."""
+        stays = np.flatnonzero(self.came_again)
+        if len(stays) > STORE // 2:
+            return self.forget()
+        new = np.full(len(self.sizes), -1, np.int64)
+        new[stays] = np.arange(len(stays))
+        moved = new.tolist()
+        self.place = {k: moved[at] for k, at in self.place.items() if at >= 0 and moved[at] >= 0}
+        self.ids, ends = self._gather(stays)
+        self.sizes = self.sizes[stays]
+        self.starts = ends - self.sizes
+        self.came_again = np.zeros(len(stays), bool)
 
     def _has_added(self, text: str) -> bool:
         if self.added is None:
@@ -83,49 +99,69 @@ class Encoder:
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def _signs(self, signs: str) -> list[int]:
+        if signs not in self.signs_ids:
+            self.signs_ids[signs] = self._whole(signs)
+        return self.signs_ids[signs]
+
     def _ids(self, key: str) -> list[int]:
+        """Ids of a piece by the library, words of Latin letters by its model alone."""
         lead = key[0] if key[0] in "\n\x00" else ""
         rest = key[1:] if lead else key
         letters = rest.rstrip(_SIGNS) if self.by_bytes else ""
-        if letters.isascii() and letters.isalpha():
-            spelled = letters
-        elif letters and _LATIN.fullmatch(letters):
-            spelled = letters.encode().decode("latin-1").translate(self.signs)
-        else:
+        spelled = self._spelled(letters)
+        if not spelled:
             return self._whole(rest if lead == "\x00" else lead + rest if lead else f" {rest}")
-        at = None if lead else self.place.get(letters)
-        if at is not None:
-            ids = self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tolist() if at < len(self.sizes) else self.fresh[at - len(self.sizes)]
-        else:
-            ids = [t.id for t in self.library.model.tokenize(spelled if lead else self.space + spelled)]
+        ids = [t.id for t in self.library.model.tokenize(spelled if lead else self.space + spelled)]
         if len(letters) < len(rest):
-            signs = rest[len(letters) :]
-            if signs not in self.signs_ids:
-                self.signs_ids[signs] = self._whole(signs)
-            ids = ids + self.signs_ids[signs]
+            ids = ids + self._signs(rest[len(letters) :])
         return self.newline + ids if lead == "\n" else ids
 
+    def _spelled(self, letters: str) -> str:
+        """Latin letters as the vocabulary writes their bytes; empty if any is not one."""
+        try:
+            return "".join(map(self.spelling.__getitem__, letters))
+        except KeyError:
+            return ""
+
     def _learn(self, keys: list[str]) -> None:
-        self.fresh: list[list[int]] = []
-        known = len(self.sizes)
+        fresh: list[list[int]] = []
+        known, place, spelling, space, tokenize = len(self.sizes), self.place, self.spelling.__getitem__, self.space, self.library.model.tokenize
         gc.disable()  # many small lists, none in a cycle
         for key in keys:
-            rest = key[1:] if key[:1] in ("\n", "\x00") else key
-            if not rest or rest[0] <= " " or rest[0].isspace():
-                self.place[key] = _CAREFUL
+            # Most pieces are words after a space, with signs after them or without.
+            letters = key.rstrip(_SIGNS) if self.by_bytes else ""
+            try:
+                spelled = "".join(map(spelling, letters))
+            except KeyError:
+                spelled = ""
+            if spelled:
+                at = place.get(letters)
+                if at is None:
+                    ids = [t.id for t in tokenize(space + spelled)]
+                else:
+                    ids = self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tolist() if at < known else fresh[at - known]
+                if len(letters) < len(key):
+                    ids = ids + self._signs(key[len(letters) :])
             else:
+                rest = key[1:] if key[:1] in ("\n", "\x00") else key
+                if not rest or rest[0] <= " " or rest[0].isspace():
+                    place[key] = _CAREFUL
+                    continue
                 ids = self._ids(key)
-                self.place[key] = known + len(self.fresh)
-                self.fresh.append(ids)
+            place[key] = known + len(fresh)
+            fresh.append(ids)
         gc.enable()
-        sizes = np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))
-        flat = np.fromiter(chain.from_iterable(self.fresh), self.kind, int(sizes.sum()))
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        flat = np.fromiter(chain.from_iterable(fresh), self.kind, int(sizes.sum()))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, flat])
+        self.came_again = np.concatenate([self.came_again, np.zeros(len(fresh), bool)])
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        self.came_again[at[at >= 0]] = True
         missing = np.flatnonzero(at == -1).tolist()
         if missing:
             self._learn(list(dict.fromkeys(pieces[i] for i in missing)))
@@ -145,7 +181,7 @@ class Encoder:
 
     def _call(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > STORE:
-            self.forget()
+            self.thin_out()
         cut = [("\x00" + t.replace("\n", " \n")).split(" ") for t in texts]
         at = self._places(list(chain.from_iterable(cut)))
         stops = np.cumsum([len(c) for c in cut])
