@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import aqi as A
 from aerolake.functions.values import lookup_key
+from aerolake.operators import daily_state
 from aerolake.operators.cities import alias_keys
 from aerolake.plans.joins import join_dimension
 from aerolake.session import shared_dir
 from aerolake.sources.feeds import parse_feed_components, parse_feed_iaqi
+from aerolake.streaming import current
 
 # Refresh interval and cache life time of the live feed.
 REFRESH = "5 minutes"
@@ -77,6 +79,30 @@ def stream_compare(live: DataFrame, forecast: DataFrame, value: str = "value", t
     }).withColumnRenamed("__day", "date")
 
 
+def stream_compare_published(
+    live: DataFrame, forecasts: DataFrame, value: str = "value", ts: str = "ts", published: str = "published", ahead: str = "2 days", wait: str = "1 hour",
+    delay: str = "1 hour",
+) -> DataFrame:
+    """Live rows with the forecasts of their city and day from a second stream, published while this one runs.
+
+    A forecast counts for a reading if it was published at most ``ahead`` before it and ``wait`` after it. Both streams have a watermark, so state
+    holds that span only; a reading without any forecast comes out with nulls once both watermarks say none can follow. A forecast
+    that is published again gives another row; the newest ``published`` is the valid one.
+    """
+    said = forecasts.select(
+        F.col("city").alias("__city"), F.col("date").alias("__date"), F.col("predicted_aqi").alias("predicted_today"), F.col(published).alias("published"),
+    ).withWatermark("published", delay)
+    seen = live.withWatermark(ts, delay).withColumn("date", F.to_date(ts))
+    span = F.col("published").between(F.col(ts) - F.expr(f"INTERVAL {ahead}"), F.col(ts) + F.expr(f"INTERVAL {wait}"))
+    joined = seen.join(said, (F.col("city") == F.col("__city")) & (F.col("date") == F.col("__date")) & span, "left_outer").drop("__city", "__date")
+    known = F.col("predicted_today").isNotNull()
+    return joined.withColumns({
+        "accuracy": F.when(known, A.prediction_accuracy(value, "predicted_today")),
+        "category": A.aqi_category(value),
+        "trend": F.when(known, A.trend_word(value, "predicted_today")),
+    })
+
+
 def stream_daily(events: DataFrame, keys: list[str], value: str = "value", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Daily mean per key on event time; rows later than the watermark are dropped.
 
@@ -88,40 +114,86 @@ def stream_daily(events: DataFrame, keys: list[str], value: str = "value", ts: s
     )
 
 
-def _folders(spark: SparkSession, out: str) -> dict[int, str]:
-    """Finished versions of a current table: number -> path."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = {}
-    for f in fs.listStatus(path) if fs.exists(path) else []:
-        name = f.getPath().getName()
-        if name.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
-            found[int(name.partition("=")[2])] = f"{out.rstrip('/')}/{name}"
-    return found
+def current_table(spark: SparkSession, out: str, schema) -> DataFrame:
+    """The newest committed state of a current table."""
+    return current.read(spark, out, schema)
+
+
+_folders = current.versions
 
 
-def upsert(batch: DataFrame, number: int, out: str, keys: list[str]) -> None:
-    """Rows of a batch replace those of their keys in the current table at ``out``.
+def use_state_store(spark: SparkSession) -> None:
+    """Arbitrary state with timers needs the store on disk; set before the query starts, unless the caller chose one."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(name, ""):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    The table is a folder per version; the one before the last is kept for readers, older ones are deleted, so it holds
-    one row per key twice at most. A batch that runs again after a failure builds on the version before it.
+
+def stream_first_answer(
+    events: DataFrame, keys: list[str] = ("city",), ts: str = "ts", ttl: str = TTL, delay: str = "1 hour", tie: str = "event_id",
+) -> DataFrame:
+    """The readings that answer: the first of a key answers for the life time from *its* time, those within are left out, the next one answers anew.
+
+    State is one time for each key, cleared by a timer once the watermark passes it. Rows of a key are taken in order of time
+    within a micro-batch, of equal times the smallest ``tie``; a reading older than the answer that holds is left out.
+    A task sees the rows of a key of one micro-batch, so ``maxFilesPerTrigger`` bounds them.
     """
-    spark = batch.sparkSession
-    done = {n: p for n, p in _folders(spark, out).items() if n < number}
-    rows = batch
-    if done:
-        kept = spark.read.schema(batch.schema).parquet(done[max(done)]).join(batch.select(*keys).distinct(), keys, "left_anti")
-        rows = kept.select(*batch.columns).unionByName(batch)
-    rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/version={number}")
-    for n in sorted(done)[:-1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(done[n])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    from pyspark.sql.streaming import StatefulProcessor
 
+    spark = events.sparkSession
+    use_state_store(spark)
+    span = int(events.sparkSession.range(1).select((F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {ttl}"))).alias("m")).first().m)
+    names = events.columns
 
-def current_table(spark: SparkSession, out: str, schema) -> DataFrame:
-    """The newest finished version of a current table."""
-    done = _folders(spark, out)
-    return spark.read.schema(schema).parquet(done[max(done)]) if done else spark.createDataFrame([], schema)
+    class Answers(StatefulProcessor):
+        """Keeps until when the last answer of a key holds, in microseconds."""
+
+        def init(self, handle) -> None:
+            self._handle = handle
+            self._until = handle.getValueState("until", "until bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import datetime
+
+            epoch, micro = datetime.datetime(1970, 1, 1), datetime.timedelta(microseconds=1)
+            until = before = self._until.get()[0] if self._until.exists() else None
+            for row in sorted((r for r in rows if r[ts] is not None), key=lambda r: (r[ts], r[tie])):
+                at = (row[ts].replace(tzinfo=None) - epoch) // micro
+                if until is None or at >= until:
+                    until = at + span
+                    yield row
+            if until != before:
+                self._until.update((until,))
+                if before is not None:
+                    self._handle.deleteTimer(-(-before // 1000))
+                self._handle.registerTimer(-(-until // 1000))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self._until.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    marked = events.withWatermark(ts, delay).groupBy(*keys)
+    return marked.transformWithState(statefulProcessor=Answers(), outputStructType=events.schema, outputMode="append", timeMode="eventTime").select(*names)
+
+
+def run_daily_states(
+    readings: DataFrame, name: str, keys: list[str], measures: list[str], attributes: list[str] = (), order: list[str] = (), date: str = "date",
+) -> DataFrame:
+    """Drains a stream of readings into stored daily states and reads the daily table; late rows join their day.
+
+    No watermark is needed: what is kept are the states, and a micro-batch reads only the months it touches.
+    """
+    spark = readings.sparkSession
+    out, checkpoint = shared_dir(spark, f"{name}-states"), shared_dir(spark, f"{name}-state")
+    writer = readings.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, number: daily_state.add_readings(batch, number, out, keys, measures, attributes, order, date)
+    )
+    writer.trigger(availableNow=True).start().awaitTermination()
+    example = spark.createDataFrame([], readings.schema)
+    return daily_state.stored(spark, out, example, keys, measures, attributes, order)
 
 
 def _writer(df: DataFrame, out: str, checkpoint: str, mode: str, keys: list[str], kind: str = "parquet"):
@@ -130,7 +202,7 @@ def _writer(df: DataFrame, out: str, checkpoint: str, mode: str, keys: list[str]
         return writer.format(kind).option("path", out)
     if mode != "update" or not keys:
         raise ValueError("use append mode, or update mode with the keys of the current table")
-    return writer.foreachBatch(lambda batch, number: upsert(batch, number, out, keys))
+    return writer.foreachBatch(lambda batch, number: current.upsert(batch, number, out, keys))
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append", keys: list[str] = ()) -> DataFrame:
