@@ -63,6 +63,12 @@ def merge_readings(frames: dict[str, list[DataFrame]], station_dim: DataFrame |
     return standardize.union_by_name(parts)
 
 
+def named_readings(readings: DataFrame, aliases: DataFrame, low: str = "2015-01-01", high: str = "2024-12-31") -> DataFrame:
+    """Readings of known cities under their canonical names, within the date range."""
+    named = cities.normalize_city(readings, aliases)
+    return daily.date_range(daily.drop_null_dates(named.filter(F.col("city").isNotNull())), low, high)
+
+
 def enhance(
     readings: DataFrame, aliases: DataFrame, low: str = "2015-01-01", high: str = "2024-12-31",
     order: tuple[str, ...] = ("source_dataset", "source_file", "datetime"),
@@ -72,8 +78,7 @@ def enhance(
     City and date conditions are on grouping keys and applied before the
     aggregation, so rows outside them are not shuffled.
     """
-    named = cities.normalize_city(readings, aliases)
-    kept = daily.date_range(daily.drop_null_dates(named.filter(F.col("city").isNotNull())), low, high)
+    kept = named_readings(readings, aliases, low, high)
     return daily.daily_aggregate(kept, order=[c for c in order if c in kept.columns])
 
 

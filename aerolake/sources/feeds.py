@@ -41,6 +41,34 @@ def parse_feed_iaqi(df: DataFrame, payload: str = "payload", city: str = "city")
     }).drop("__p", payload)
 
 
+def parse_feed_variant(df: DataFrame, payload: str = "payload", city: str = "city") -> DataFrame:
+    """Nested-measure payloads of any shape, each row kept: what :func:`parse_feed_iaqi` gives, and what it would lose.
+
+    ``other_measures`` maps the codes of measures without a column of their own to their values, ``malformed`` marks payloads that are no
+    JSON, ``usable`` those with status ok. Values of another type than expected are null there and 0 in the measures.
+    """
+    parsed = df.withColumn("__v", F.try_parse_json(payload))
+    node = F.col("__v")
+
+    def number(path: str) -> Column:
+        return _or_zero(F.try_variant_get(node, path, "double"))
+
+    codes = F.lit(list(IAQI_CODES))
+    every = F.try_variant_get(node, "$.data.iaqi", "map<string,variant>")
+    other = F.transform_values(F.map_filter(every, lambda k, _: ~F.array_contains(codes, k)), lambda _, x: F.try_variant_get(x, "$.v", "double"))
+    return parsed.withColumns({
+        "aqi": number("$.data.aqi"), **{name: number(f"$.data.iaqi.{code}.v") for code, name in IAQI_CODES.items()},
+        "station": F.coalesce(F.try_variant_get(node, "$.data.city.name", "string"), F.col(city)), "source": F.lit("waqi"),
+        "other_measures": F.when(F.size(other) > 0, other), "malformed": node.isNull() & F.col(payload).isNotNull(),
+        "usable": F.coalesce(F.try_variant_get(node, "$.status", "string") == "ok", F.lit(False)),
+    }).drop("__v", payload)
+
+
+def feed_shape(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """The schema that covers all payloads, in one row (``shape``), to see what providers have added."""
+    return df.agg(F.schema_of_variant_agg(F.try_parse_json(payload)).alias("shape"))
+
+
 def parse_feed_components(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Component-list payloads: the first element; payloads with an empty list are skipped."""
     parsed = df.withColumn("__p", F.from_json(payload, COMPONENT_SCHEMA)).filter(F.size("__p.list") > 0)
