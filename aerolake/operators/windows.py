@@ -111,12 +111,13 @@ def trend_factor(daily: DataFrame, keys: list[str] = ("city",), value: str = "aq
 
 def sequence_windows(
     df: DataFrame, keys: list[str], features: list[str], targets: list[str], history: int = 24, horizon: int = 24,
-    stride: int = 1, include_last: bool = False, date: str = "date",
+    stride: int = 1, include_last: bool = False, most: int | None = None, date: str = "date",
 ) -> DataFrame:
     """Sliding (history, horizon) windows per series as arrays of structs.
 
     Window starts are every ``stride`` rows of the whole series; windows with a
-    missing value are left out. The last possible start is used only with ``include_last``.
+    missing value are left out. The last possible start is used only with ``include_last``. With ``most`` a series gives its first
+    ``most`` starts only; by default all of them.
     """
     w = series_window(keys, date)
     span = history + horizon
@@ -136,6 +137,8 @@ def sequence_windows(
     last = F.col("__n") - span
     fits = (F.col("__i") <= last) if include_last else (F.col("__i") < last)
     start = F.col("__i")
+    if most is not None:
+        fits = fits & (start < most * stride)
     return packed.filter(fits & (start % stride == 0) & (F.col("__gaps") == 0)).select(
         *keys, start.alias("start"), F.col(date).alias("start_date"), "history", "target"
     )

@@ -136,29 +136,34 @@ def exact_quantiles(
     probabilities: list[float],
     sort_limit: int = SORT_LIMIT,
     accuracy: int = ACCURACY,
+    edges: dict[str, list[tuple[float, float]]] | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column over non-null, non-NaN values.
 
-    Returns ``{column: [quantile per probability]}``; null for an empty column.
+    Returns ``{column: [quantile per probability]}``; null for an empty column. ``edges`` are values known to lie about each
+    quantile, as from a stored sketch; they take the place of the first approximate pass, and the result is exact however wide of it they are.
     """
     df = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
     if not derived(df):
-        return _quantiles(df, columns, probabilities, sort_limit, accuracy)
+        return _quantiles(df, columns, probabilities, sort_limit, accuracy, edges)
     # Several passes follow: keep the columns instead of computing joins and aggregates again.
     # Blocks of a lost executor are computed anew from the input.
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _quantiles(df, columns, probabilities, sort_limit, accuracy)
+        return _quantiles(df, columns, probabilities, sort_limit, accuracy, edges)
     finally:
         df.unpersist()
 
 
-def _quantiles(df: DataFrame, columns: list[str], probabilities: list[float], sort_limit: int, accuracy: int) -> dict[str, list[float | None]]:
+def _quantiles(
+    df: DataFrame, columns: list[str], probabilities: list[float], sort_limit: int, accuracy: int, given: dict[str, list[tuple[float, float]]] | None = None,
+) -> dict[str, list[float | None]]:
     start = []
     for c in columns:
         whole = _Target(c, 0, 0)
         value = F.when(whole.inside, F.col(f"`{c}`"))
-        start += [F.count(value), F.percentile_approx(value, [p for q in probabilities for p in _edges(q, accuracy)], accuracy)]
+        about = F.lit(None) if given else F.percentile_approx(value, [p for q in probabilities for p in _edges(q, accuracy)], accuracy)
+        start += [F.count(value), about]
     first = _row(df, start)
     totals = dict(zip(columns, first[0::2]))
     sketches = dict(zip(columns, first[1::2]))
@@ -171,7 +176,7 @@ def _quantiles(df: DataFrame, columns: list[str], probabilities: list[float], so
                 for rank in (math.floor(position), math.ceil(position)):
                     if (c, rank) not in targets:
                         targets[(c, rank)] = _Target(c, rank, totals[c])
-                        edges[(c, rank)] = tuple(sketches[c][2 * i : 2 * i + 2])
+                        edges[(c, rank)] = given[c][i] if given else tuple(sketches[c][2 * i : 2 * i + 2])
 
     def still_open() -> list[_Target]:
         return [t for t in targets.values() if t.value is None and t.count > sort_limit]
