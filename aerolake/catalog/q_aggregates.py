@@ -8,7 +8,8 @@ from aerolake.catalog import views as v
 from aerolake.catalog.q_joins import SQL_MERGED, SQL_MODEL_ROWS, SQL_METRICS, canonical_stations, measured, model_rows
 from aerolake.catalog.registry import query, rnd, sql_category, sql_confidence, sql_rnd
 from aerolake.functions import aqi as A
-from aerolake.operators import compare, daily, evaluate, forecast, prepare, quality
+from aerolake.operators import compare, daily, evaluate, forecast, prepare, quality, sketches
+from aerolake.session import shared_dir
 
 KEY = ["l_orderkey", "l_linenumber"]
 _RKEY = "l_orderkey, l_linenumber, l_partkey, station_id, dt"
@@ -350,3 +351,45 @@ def station_fallback(spark, d):
     averages = v.city_history(spark, d).groupBy("city").agg(F.avg("aqi").alias("mean_aqi"))
     out = forecast.station_fallback(named.withColumn("station_name", name), averages)
     return out.select("city", "station_id", "predicted_aqi", "station_variation")
+
+
+# ---- stored sketches -----------------------------------------------------------------------
+
+
+def _in_parts(rows, key, out, names, measures):
+    """Three batches merged into the profile stored at ``out``, each with rows of every month."""
+    for number in range(3):
+        sketches.add_rows(rows.filter(F.pmod(F.xxhash64(key), F.lit(3)) == number), number, out, names, measures)
+    return sketches.stored(rows.sparkSession, out, names, measures)
+
+
+@query("coverage_sketches", """
+    SELECT count(*) AS records, count(DISTINCT city) AS city, count(DISTINCT station) AS station, min(date) AS first_date, max(date) AS last_date,
+           cast(max(date) - min(date) AS INTEGER) AS total_days FROM v_city_daily""", ("v_city_daily",))
+def coverage_sketches(spark, d):
+    """Coverage from sketches of each month, stored and merged batch by batch; so few names are counted exactly."""
+    stored = _in_parts(v.city_daily(spark, d), "o_orderkey", shared_dir(spark, "coverage"), ["city", "station"], [])
+    return sketches.coverage(stored).select("records", "city", "station", "first_date", "last_date", "total_days")
+
+
+@query("cities_in_both", """
+    WITH h AS (SELECT DISTINCT city FROM v_city_history), l AS (SELECT DISTINCT city FROM v_feed)
+    SELECT (SELECT count(*) FROM (SELECT city FROM h UNION SELECT city FROM l)) AS either, (SELECT count(*) FROM h JOIN l USING (city)) AS both,
+           (SELECT count(*) FROM h ANTI JOIN l USING (city)) AS first_only""", ("v_city_history", "v_feed"))
+def cities_in_both(spark, d):
+    """Cities of the history that are live as well, from the sketches of both."""
+    live = v.feed(spark, d).withColumn("date", F.to_date("ts"))
+    return sketches.in_both(sketches.profile(v.city_history(spark, d), ["city"], []), sketches.profile(live, ["city"], []), "city")
+
+
+@query("quantiles_from_sketches", """
+    SELECT feature, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, TRUE AS near
+    FROM (SELECT 'pm25' AS feature, pm25 AS x FROM v_readings UNION ALL SELECT 'aqi', aqi FROM v_readings) GROUP BY feature""", ("v_readings",))
+def quantiles_from_sketches(spark, d):
+    """Exact quartiles whose brackets come from stored sketches, and whether the sketches alone come within 3 % of the rows of them."""
+    rows, names = v.readings(spark, d), ["pm25", "aqi"]
+    stored = _in_parts(rows, "l_orderkey", shared_dir(spark, "kll"), [], names)
+    exact = sketches.exact_quantiles(rows, stored, names, [0.25, 0.75])
+    about = sketches.approximate_quantiles(stored, names, [0.22, 0.28, 0.72, 0.78])
+    found = [(n, *exact[n], about[n][0] <= exact[n][0] <= about[n][1] and about[n][2] <= exact[n][1] <= about[n][3]) for n in names]
+    return spark.createDataFrame(found, "feature string, q1 double, q3 double, near boolean")

@@ -149,6 +149,21 @@ def parse_feed_iaqi(spark, d):
     return out.select("event_id", "city", "aqi", "pm25", "no2", "temperature", "wind_speed", "station", "source")
 
 
+@query("parse_feed_variant", """
+    SELECT event_id, city, CASE WHEN event_id % 11 = 0 THEN 0 ELSE value END AS aqi, CASE WHEN event_id % 11 <> 0 AND pollutant IN ('view', 'click') THEN value ELSE 0 END AS pm25,
+           CASE WHEN event_id % 11 <> 0 AND event_id % 5 = 0 THEN value + 1 END AS radon, event_id % 11 = 0 AS malformed, event_id % 11 <> 0 AND pollutant <> 'error' AS usable
+    FROM v_feed""", ("v_feed",))
+def parse_feed_variant(spark, d):
+    """Payloads of which every fifth has a measure nobody asked for and every eleventh is cut off."""
+    e = F.col("event_id")
+    raw = v.feed(spark, d).select("event_id", "value").join(_iaqi(spark, d), "event_id")
+    extra = F.concat(F.lit('"iaqi":{"r":{"v":'), (F.col("value") + 1).cast("string"), F.lit('},"note":{"v":"low"},'))
+    more = F.when(e % 5 == 0, F.replace(F.replace("payload", F.lit('"iaqi":{'), extra), F.lit(",}"), F.lit("}"))).otherwise(F.col("payload"))
+    cut = F.when(e % 11 == 0, F.substring(more, 1, 25)).otherwise(more)
+    out = feeds.parse_feed_variant(raw.withColumn("payload", cut))
+    return out.select("event_id", "city", "aqi", "pm25", F.try_element_at("other_measures", F.lit("r")).alias("radon"), "malformed", "usable")
+
+
 @query("parse_feed_components", """
     SELECT event_id, city, cast(CASE event_id % 7 WHEN 1 THEN 50 WHEN 2 THEN 100 WHEN 3 THEN 150 WHEN 4 THEN 200 WHEN 5 THEN 300 ELSE 150 END AS DOUBLE) AS aqi,
            value AS pm25, CASE WHEN event_id % 2 = 0 THEN value ELSE 0 END AS o3, 0.0::DOUBLE AS co
