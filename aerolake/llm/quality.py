@@ -9,7 +9,8 @@ sample of graded rows; every text is graded whole.
 Results: ``expected_grade``, ``tail`` = P(grade >= ``tail_from``), ``selected`` = tail at least
 the threshold with the best F1 on rows of the sample kept from training. Null and empty
 texts have no features and get what the thresholds alone say. Rows without a grade are not
-learned from. Without graded rows all grades are equally likely and nothing is selected.
+learned from. Without graded rows all grades are equally likely and nothing is selected. Repeated rows are graded each, alike, and equal tails are
+selected alike; an empty table gives an empty one. Runs of scripts without spaces are read as pairs of characters.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import by_batch, labelled_sample, mixed, word_ends
+from aerolake.llm.common import by_batch, labelled_sample, mixed, spaced, word_codes
 
 BITS = 15
 #: White space of ASCII is a space; letters keep their case.
@@ -32,11 +33,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and their values."""
     if not text:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    first, last, size = word_ends(text.encode("utf-8", "replace").translate(_SPACE))
+    first, last, size, word = word_codes(spaced(text).encode("utf-8", "replace").translate(_SPACE))
     if not len(size):
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     ends = last >> ((np.minimum(8, size) - np.minimum(2, size)) * 8).astype(np.uint64)
-    word = mixed(first, last, size.astype(np.uint64))
     same = word[1:][word[1:] == word[:-1]] * np.uint64(0) + np.uint64(3)
     kinds = [
         mixed(word, np.uint64(1)), mixed(first & np.uint64((1 << 32) - 1), np.uint64(2)), mixed(ends, np.uint64(4)),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolake.llm import language_id, quality, toxicity
-from aerolake.llm.common import word_buckets, word_ends
+from aerolake.llm.common import HAS_LETTER, labelled_sample, spaced, word_buckets, word_ends
 from aerolake.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -34,6 +34,45 @@ def test_word_ends_and_buckets():
     assert word_buckets(None, 16, (4, 5)).shape == (0, 3)
 
 
+@pytest.mark.parametrize(("one", "other"), [
+    ("abcdefgh" + "X" * 20 + "stuvwxyz", "abcdefgh" + "Y" * 20 + "stuvwxyz"),
+    ("abcdefghi" + "x" * 40 + "stuvwxyz", "abcdefghi" + "x" * 19 + "y" + "x" * 20 + "stuvwxyz"),
+    ("这是一个没有空格的很长的中文句子需要完整地读取每个字符才行", "这是一个没有空格的很长的中文句牛需要完整地读取每个字符才行"),
+    ("ประโยคภาษาไทยที่ยาวมากและไม่มีช่องว่างเลยสักนิดเดียว", "ประโยคภาษาไทยที่ยาวมากและมมีช่องว่างเลยสักนิดเดียว"),
+    ("スペースのない長い日本語の文をすべて読む必要がある", "スペースのない長い日本話の文をすべて読む必要がある"),
+])
+def test_a_character_in_the_middle_of_a_run_counts(one, other):
+    assert word_buckets(one, 18).ravel().tolist() != word_buckets(other, 18).ravel().tolist()
+    assert [x.tolist() for x in quality.features(one)] != [x.tolist() for x in quality.features(other)]
+
+
+def test_words_in_scripts_without_spaces():
+    inside = set(word_buckets("我们去看大熊猫吧。", 18).ravel().tolist())
+    assert set(word_buckets("熊猫", 18).ravel().tolist()) <= inside
+    assert word_buckets("un mot«deux»trois", 18).tolist() == word_buckets("un mot deux trois", 18).tolist()
+    assert spaced("plain text, as it is") == "plain text, as it is"
+
+
+def test_letters_are_what_python_takes_for_letters():
+    for c in "½²①Ⅷ_1- ":
+        assert not HAS_LETTER.search(c)
+    for c in "aÄß字ªʼn":
+        assert HAS_LETTER.search(c) and c.isalpha()
+
+
+def test_numbers_alone_have_no_language(spark):
+    docs = docs_of(spark, [(i, t, lang) for i, (t, lang) in enumerate([("the text of one", "en"), ("der Text von zwei", "de"), ("½ ² ① Ⅷ", "de")] * 5)])
+    got = language_id.identify(docs, language_id.fit(docs)).filter("text LIKE '½%'").select("lang_pred", "lang_score").distinct().collect()
+    assert [tuple(r) for r in got] == [("und", 0.0)]
+
+
+def test_repeated_rows_do_not_make_the_sample_larger(spark):
+    docs = spark.range(500).selectExpr("1L AS doc_id", "concat('text ', id) AS text").unionByName(spark.createDataFrame([(2, "other")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (3, 1)], "doc_id bigint, y int")
+    got = labelled_sample(docs, labels, {0: 1.0, 1: 1.0}, 3).collect()
+    assert sorted(r.y for r in got) == [0, 1] and all(r.text for r in got)
+
+
 def test_language_held_out_accuracy(spark):
     got = QUERIES["op3_language_id"](spark, SF).toPandas()
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()
