@@ -8,7 +8,7 @@ text farther from its centroid than all but ``reject_share`` of the centroid's o
 The model is fitted on at most about ``docs_per_lang`` different texts of each language, chosen by
 a hash among those with a letter, each taken once however many copies it has; every text is scored whole. Null texts and texts without a letter are ``und``,
 with score 0. Rows without a language are not learned from. Without any labelled row
-all texts are ``und``.
+all texts are ``und``. Of equally near centroids the first in order of languages wins; repeated rows get the same result each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import HAS_LETTER, by_batch, on_workers, unit
+from aerolake.llm.common import HAS_LETTER, LETTER, by_batch, on_workers, unit
 from aerolake.plans.joins import join_dimension, settle
 
 BITS = 12
-#: What ``HAS_LETTER`` finds, for the JVM; a few characters may differ between Unicode versions.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
 #: Digits and punctuation of ASCII count as a space.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
