@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import by_batch, hashes, mixed, words_of
+from aerolake.llm.common import by_batch, fresh, hashes, mixed, words_of
 from aerolake.plans.joins import join_dimension, settle
 
 WORDS, SHARED, OF = 5, 75, 100
@@ -161,8 +161,8 @@ def _with_least(edges: DataFrame, hub: int) -> DataFrame:
     The least ones come from partial sums. Nodes with more than ``hub`` edges are few, at most one in ``hub`` edges, and
     their edges meet the least one without being gathered in a task.
     """
-    least = settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    hubs = least.filter(F.col("n") > hub).select("u", F.col("m").alias("hub_m"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = settle(least.filter(F.col("n") > hub).select("u", F.col("m").alias("hub_m")), "hubs")
     if not hubs.limit(1).count():
         return edges.join(least.drop("n"), "u")
     told = join_dimension(edges, hubs, ["u"])
@@ -251,7 +251,8 @@ def link(docs: DataFrame, block_rows: int = 256) -> DataFrame:
     known = rows.filter("same IS NOT NULL AND doc_id IS NOT NULL")
     copies = known.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("same", "first")
     copies = settle(copies, "copies")
-    placed = known.join(copies, "same", "left").withColumn("node", F.coalesce("first", "doc_id"))
+    # Copies have equal bands: the first of them stands for all.
+    placed = join_dimension(known, copies, ["same"]).filter("first IS NULL OR doc_id = first").withColumn("node", F.col("doc_id"))
     dealt = placed.select("node", F.explode("bands").alias("key"))
     shared = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "lo")
     met = dealt.join(settle(shared, "shared-keys"), "key").filter("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
@@ -259,18 +260,31 @@ def link(docs: DataFrame, block_rows: int = 256) -> DataFrame:
     sets = settle(sets_of(docs, clusters.select("node")), "sets")
     labels = compared(clusters, sets, block_rows)
 
-    out = rows.select("doc_id", "n_shingles", "same").join(copies, "same", "left").withColumn("node", F.coalesce("first", "doc_id"))
+    out = join_dimension(rows.select("doc_id", "n_shingles", "same"), copies, ["same"]).withColumn("node", F.coalesce("first", "doc_id"))
     out = out.join(labels, "node", "left").withColumn("component_id", F.coalesce("label", "node"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that a smaller ``doc_id`` stands for; of rows with one id, one stays."""
-    found = settle(link(docs.select("doc_id", "text")), "linked")
-    out = join_dimension(docs, found.filter("NOT kept").select("doc_id").distinct(), ["doc_id"], how="left_anti")
-    again = found.filter("doc_id IS NOT NULL AND kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if again.limit(1).count():
-        single = join_dimension(out, again, ["doc_id"], how="left_anti")
-        return single.unionByName(join_dimension(out, again, ["doc_id"], how="left_semi").dropDuplicates(["doc_id"]))
-    return out
+    """The rows of ``docs`` without those that another one stands for.
+
+    Of each component the row with the smallest ``doc_id`` stays. Where ids repeat, every different text is judged by itself: of a component the
+    text with the smallest id stays, of equal ids the one with the smallest hash; of rows with equal id and text one stays, the one whose
+    other columns have the smallest hash. Rows with a null id are kept.
+    """
+    ids = docs.filter("doc_id IS NOT NULL")
+    again = ids.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    if not again:
+        found = settle(link(docs.select("doc_id", "text")), "linked")
+        return join_dimension(docs, found.filter("NOT kept").select("doc_id").distinct(), ["doc_id"], how="left_anti")
+    name = fresh(docs, "text_id")
+    marked = docs.withColumn(name, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    single = marked.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("doc_id")).agg(F.min("doc_id").alias("real"), F.first("text").alias("text"))
+    single = settle(single, "different-texts")
+    found = link(single.select("doc_id", "text")).select("doc_id", "component_id")
+    stays = settle(found, "linked").join(single.select("doc_id", "real"), "doc_id").groupBy("component_id").agg(F.min(F.struct("real", "doc_id")).alias("r"))
+    left = join_dimension(marked, settle(stays.select(F.col("r.doc_id").alias(name)), "staying"), [name], how="left_semi")
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    one = left.groupBy(name).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), hashed).alias("r")).select("r.*")
+    return one.unionByName(docs.filter("doc_id IS NULL"))

@@ -59,6 +59,14 @@ def test_near_dup_edges(spark):
     assert near_dup.link(docs.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_id_are_judged_by_themselves(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "p"), (2, a, "p"), (2, b, "p"), (5, c, "p"), (5, b + " more", "p"), (7, c, "q"), (7, c, "r"), (None, a, "p"), (None, a, "p")]
+    left = near_dup.dedupe(spark.createDataFrame(rows, "doc_id bigint, text string, text_id string"))
+    assert left.columns == ["doc_id", "text", "text_id"]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(1, a), (2, b), (5, c), (None, a), (None, a)])
+
+
 def test_signature_keeps_both_ends_of_each_permutation():
     rng = np.random.default_rng(0)
     table = near_dup.Permutations(bands=200, rows=4)
@@ -130,6 +138,35 @@ def test_mix(spark, sf_dir):
     assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_certain_copies_and_frequencies(spark):
+    """Small documents by the hundred: frequencies meet min(1, factor * words) closely, and a few long ones are certain."""
+    sizes = {1: 300, 4: 200, 10: 60, 400: 2}
+    rows = [(s * 1000 + i, "w " * n, f"s{s:03}") for s in range(40) for i, n in enumerate(n for n, k in sizes.items() for _ in range(k))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(1, 3), slice_rows=30).toPandas()
+    got["extra"] = got.taken / got["size"] - got.source.str[1:].astype(int) % 2
+    rest = sum(n * k for n, k in sizes.items()) / 2
+    factor = (rest - 800) / sum(n * n * k for n, k in sizes.items() if n < 400)
+    found = got.groupby("size").extra.mean()
+    assert 0 < factor * 10 < 1 and found[400] == 1
+    for n in (1, 4, 10):
+        assert found[n] == pytest.approx(factor * n, abs=0.03)
+    near = got.groupby("source").taken.sum() - got.groupby("source").target.first()
+    assert near.abs().max() <= 5  # half a document that may or may not be taken
+
+
+def test_mix_of_any_slices_comes_near(spark, monkeypatch):
+    """Few slices, so that they are cut again and again: the targets are met all the same, and as closely by large slices."""
+    rows = [(i, "w " * (i % 23 + 1), "hot" if i % 3 else "cold") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for slices, levels, slice_rows, bound in ((4, 10, 20, 12), (1000, 5, 2000, 1)):
+        monkeypatch.setattr(mixing, "SLICES", slices)
+        monkeypatch.setattr(mixing, "LEVELS", levels)
+        monkeypatch.setattr(mixing, "UNITS", slices**levels)
+        got = mixing.mix(docs, weights=(2, 3), slice_rows=slice_rows).toPandas()
+        near = got.groupby("source").taken.sum() - got.groupby("source").target.first()
+        assert near.abs().max() <= bound and len(got) == 4000
+
+
 def test_mix_caps_small_sources_and_splits_a_hot_one(spark):
     rows = [(i, "w " * (i % 9 + 1), "hot") for i in range(3000)] + [(5000 + i, "x y", s) for i, s in enumerate(["a", None, "z", "z"])]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), slice_rows=100).toPandas()
