@@ -6,6 +6,7 @@ text unless an operator says otherwise. Python runs on Arrow batches only.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -56,6 +57,14 @@ def fresh(df: DataFrame, name: str) -> str:
 SLICE = 512
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system, so that it does not stay beside what the next stage needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` on every Arrow batch, a slice at a time."""
     on_workers(df.sparkSession)
@@ -64,6 +73,7 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 yield fn(batch.slice(start, SLICE))
+        give_back()
 
     return df.mapInArrow(run, schema)
 

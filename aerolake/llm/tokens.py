@@ -19,7 +19,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept by one Python worker; beyond it those that did not come again are let go.
-STORE = 600_000
+STORE = 300_000
 
 #: Characters of one call; more are encoded in turn.
 CALL = 2_000_000
@@ -73,18 +73,24 @@ class Encoder:
         # Keys: a piece after a space is kept without it; one after a line break with it; the first of a text after a zero character.
         self.place: dict[str, int] = {}
         self.signs_ids: dict[str, list[int]] = {}
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
-        self.came_again = np.zeros(0, bool)
+        # Place 0 is a piece without ids, for those that are read with more care.
+        self.starts, self.sizes, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.kind)
+        self.came_again = np.zeros(1, bool)
 
     def thin_out(self) -> None:
         """Lets go of the pieces that were met once only, of all if too few were."""
+        self.came_again[0] = True
         stays = np.flatnonzero(self.came_again)
         if len(stays) > STORE // 2:
             return self.forget()
         new = np.full(len(self.sizes), -1, np.int64)
         new[stays] = np.arange(len(stays))
-        moved = new.tolist()
-        self.place = {k: moved[at] for k, at in self.place.items() if at >= 0 and moved[at] >= 0}
+        # In place: a second store beside the first would double the worker's memory.
+        gone = [k for k, at in self.place.items() if at < 0 or new[at] < 0]
+        for k in gone:
+            del self.place[k]
+        for k, at in self.place.items():
+            self.place[k] = int(new[at])
         self.ids, ends = self._gather(stays)
         self.sizes = self.sizes[stays]
         self.starts = ends - self.sizes

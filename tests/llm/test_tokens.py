@@ -139,6 +139,20 @@ def check_pieces(got, want):
     return by_sequence
 
 
+def test_texts_without_a_plain_piece_and_a_store_that_is_thinned_out(library, monkeypatch):
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    for text in (" \n\t", "\n", " ", "  \x00"):
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(tokens, "STORE", 40)
+    rng = random.Random(8)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["often", "seen", f"w{rng.randrange(10**6)},", "été", " \t x"]) for _ in range(20)) for _ in range(3)]
+        for got, want in zip(encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert got.tolist() == want.ids
+        assert len(encoder.place) < 40 + 70
+    assert "often" in encoder.place
+
+
 def test_packing_query(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = dict(zip([d.doc_id for d in docs], expected([d.text for d in docs], library, 1), strict=True))
