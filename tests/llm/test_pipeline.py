@@ -13,6 +13,12 @@ from aerolake.plans.joins import settle
 from tests.llm.brute import components
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    """Enough labels to learn from; the smallest tables have a dozen."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf_dir):
     """Input and output of every stage over odd rows beside the given ones; the input has an extra column that is named like a result."""
