@@ -91,14 +91,14 @@ def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         k = min(len(sizes), max(k + 1, -(-k * fullest // capacity) if fullest < 1.05 * capacity else k + max(1, k // 50)))
 
 
-def cut(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, piece: int = 512) -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, piece: int = 512, store: int | None = None) -> DataFrame:
     """A row for each piece of each row of ``docs`` (``doc_id``, ``text``): start, length, ids_crc32, doc_tokens."""
     path = vocabulary or vocabulary_path()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cells: list[list[int]] = [[], [], [], [], []]
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(path, store)
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
             ids = np.append(ids.astype("<u4"), np.uint32(end_id))
             raw = memoryview(ids).cast("B")
@@ -113,10 +113,13 @@ def cut(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacit
     return by_batch(docs.select("doc_id", "text"), run, ", ".join(f"{n} bigint" for n in names))
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, piece: int = 512, group_rows: int = 1500) -> DataFrame:
-    """The pieces of ``docs`` with ``sequence_id`` and ``offset``, the place of the piece in its sequence."""
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, piece: int = 512, group_rows: int = 1500, store: int | None = None) -> DataFrame:
+    """The pieces of ``docs`` with ``sequence_id`` and ``offset``, the place of the piece in its sequence.
+
+    ``store`` limits the encoded words that a worker keeps, see :mod:`aerolake.llm.tokens`; it bears on memory and time only.
+    """
     on_workers(docs.sparkSession)
-    pieces = settle(cut(docs, vocabulary, end_id, capacity, piece), "pieces")
+    pieces = settle(cut(docs, vocabulary, end_id, capacity, piece, store), "pieces")
     numbered = pieces.withColumn("__row", F.monotonically_increasing_id())
     full = numbered.filter(F.col("length") == capacity).select("*", (F.col("__row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = numbered.filter(F.col("length") < capacity)

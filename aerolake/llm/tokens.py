@@ -19,7 +19,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept by one Python worker; beyond it those that did not come again are let go.
-STORE = 300_000
+STORE = 600_000
 
 #: Characters of one call; more are encoded in turn.
 CALL = 2_000_000
@@ -63,10 +63,14 @@ class Encoder:
         self.space = byte_signs()[32]
         self.forget()
 
+    #: Pieces to keep where memory is shared with other work; None: ``STORE``.
+    store: int | None = None
+
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, store: int | None = None) -> Encoder:
         if path not in cls._known:
             cls._known[path] = cls(path, plain_specials=False)
+        cls._known[path].store = store
         return cls._known[path]
 
     def forget(self) -> None:
@@ -81,7 +85,7 @@ class Encoder:
         """Lets go of the pieces that were met once only, of all if too few were."""
         self.came_again[0] = True
         stays = np.flatnonzero(self.came_again)
-        if len(stays) > STORE // 2:
+        if len(stays) > (self.store or STORE) // 2:
             return self.forget()
         new = np.full(len(self.sizes), -1, np.int64)
         new[stays] = np.arange(len(stays))
@@ -186,7 +190,7 @@ class Encoder:
         return np.concatenate([np.array(self._whole(first), self.kind), self._gather(self._places(rest))[0]])
 
     def _call(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > STORE:
+        if len(self.place) > (self.store or STORE):
             self.thin_out()
         cut = [("\x00" + t.replace("\n", " \n")).split(" ") for t in texts]
         at = self._places(list(chain.from_iterable(cut)))
