@@ -110,13 +110,16 @@ def cut(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacit
             cells[4] += [len(ids)] * len(found)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names)
 
-    return by_batch(docs.select("doc_id", "text"), run, ", ".join(f"{n} bigint" for n in names))
+    # Workers stay for the stages to come: with a limited store, none keeps an encoder beyond its partition.
+    after = (lambda: Encoder.drop(path)) if store else None
+    return by_batch(docs.select("doc_id", "text"), run, ", ".join(f"{n} bigint" for n in names), after)
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, piece: int = 512, group_rows: int = 1500, store: int | None = None) -> DataFrame:
     """The pieces of ``docs`` with ``sequence_id`` and ``offset``, the place of the piece in its sequence.
 
-    ``store`` limits the encoded words that a worker keeps, see :mod:`aerolake.llm.tokens`; it bears on memory and time only.
+    ``store`` limits the encoded words that a worker keeps, see :mod:`aerolake.llm.tokens`, and has it keep none from one
+    partition to the next; it bears on memory and time only.
     """
     on_workers(docs.sparkSession)
     pieces = settle(cut(docs, vocabulary, end_id, capacity, piece, store), "pieces")

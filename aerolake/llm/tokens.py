@@ -73,6 +73,11 @@ class Encoder:
         cls._known[path].store = store
         return cls._known[path]
 
+    @classmethod
+    def drop(cls, path: str) -> None:
+        """Lets go of this worker's encoder and all it keeps; the next :meth:`of` reads the file again."""
+        cls._known.pop(path, None)
+
     def forget(self) -> None:
         # Keys: a piece after a space is kept without it; one after a line break with it; the first of a text after a zero character.
         self.place: dict[str, int] = {}

@@ -1,9 +1,11 @@
 """Token ids, token files and packing: equality with the library, round trips, brute force."""
 
 import random
+import shutil
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -171,6 +173,19 @@ def test_packing_edges(spark, library):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_with_a_limited_store_leaves_no_encoder_in_the_workers(spark, tmp_path):
+    path = str(tmp_path / "vocabulary.json")
+    shutil.copy(tokens.vocabulary_path(), path)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words and"), "id").alias("text")).repartition(8)
+    assert packing.cut(docs, path, store=50).count() == 40
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(path in tokens.Encoder._known)], pa.int64())], ["n"])
+
+    assert spark.range(0, 64, 1, 32).mapInArrow(held, "n bigint").agg(F.sum("n")).first()[0] == 0
+
+
 SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny z", "<|endoftext| >", " <|endoftext|><|endoftext|>  end"]
 
 
