@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import on_workers
+from aerolake.llm.common import SLICE, on_workers
 from aerolake.llm.tokens import Encoder, vocabulary_path
 from aerolake.plans.joins import join_dimension, settle
 
@@ -215,8 +215,8 @@ def write(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, shard
 
         for batch in batches:
             where = batch.column("part")
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(start, SLICE)
                 for doc_id, one in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("text").to_pylist()), strict=True):
                     part = where[0].as_py()
                     ids.append(doc_id)

@@ -10,13 +10,15 @@ with ``plain_specials`` reads such strings as ordinary text.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
-from itertools import chain, repeat
+from itertools import repeat
+from operator import attrgetter
 
 import numpy as np
 
+from aerolake.llm.common import MASKS, mixed
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept by one Python worker; beyond it those that did not come again are let go.
 STORE = 600_000
@@ -30,6 +32,7 @@ _LATIN = [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7
 _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Place of a piece that starts with white space: its text is cut with more care.
 _CAREFUL = -2
+_ID = attrgetter("id")
 
 
 def byte_signs() -> dict[int, str]:
@@ -85,6 +88,9 @@ class Encoder:
         # Place 0 is a piece without ids, for those that are read with more care.
         self.starts, self.sizes, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.kind)
         self.came_again = np.zeros(1, bool)
+        # Of short pieces: their first and last eight bytes and their length, 0 for others, and a table of their places.
+        self.first, self.last, self.bytes = np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.uint8)
+        self._deal()
 
     def thin_out(self) -> None:
         """Lets go of the pieces that were met once only, of all if too few were."""
@@ -100,10 +106,13 @@ class Encoder:
             del self.place[k]
         for k, at in self.place.items():
             self.place[k] = int(new[at])
+        self._describe(np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3)
         self.ids, ends = self._gather(stays)
         self.sizes = self.sizes[stays]
         self.starts = ends - self.sizes
         self.came_again = np.zeros(len(stays), bool)
+        self.first, self.last, self.bytes = self.first[stays], self.last[stays], self.bytes[stays]
+        self._deal()
 
     def _has_added(self, text: str) -> bool:
         if self.added is None:
@@ -140,39 +149,41 @@ class Encoder:
             return ""
 
     def _learn(self, keys: list[str]) -> None:
-        fresh: list[list[int]] = []
-        known, place, spelling, space, tokenize = len(self.sizes), self.place, self.spelling.__getitem__, self.space, self.library.model.tokenize
-        gc.disable()  # many small lists, none in a cycle
+        known, place, signs, space, tokenize = len(self.sizes), self.place, self._signs, self.space, self.library.model.tokenize
+        flat: list[int] = []
+        ends = [0]
         for key in keys:
             # Most pieces are words after a space, with signs after them or without.
             letters = key.rstrip(_SIGNS) if self.by_bytes else ""
-            try:
-                spelled = "".join(map(spelling, letters))
-            except KeyError:
-                spelled = ""
-            if spelled:
-                at = place.get(letters)
-                if at is None:
-                    ids = [t.id for t in tokenize(space + spelled)]
-                else:
-                    ids = self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tolist() if at < known else fresh[at - known]
-                if len(letters) < len(key):
-                    ids = ids + self._signs(key[len(letters) :])
-            else:
+            spelled = letters if letters.isascii() and letters.isalpha() else self._spelled(letters)
+            if not spelled:
                 rest = key[1:] if key[:1] in ("\n", "\x00") else key
                 if not rest or rest[0] <= " " or rest[0].isspace():
                     place[key] = _CAREFUL
                     continue
-                ids = self._ids(key)
-            place[key] = known + len(fresh)
-            fresh.append(ids)
-        gc.enable()
-        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        flat = np.fromiter(chain.from_iterable(fresh), self.kind, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, flat])
-        self.came_again = np.concatenate([self.came_again, np.zeros(len(fresh), bool)])
+                flat.extend(self._ids(key))
+            elif len(letters) == len(key):
+                if key in place:  # learned with signs after it
+                    continue
+                flat.extend(map(_ID, tokenize(space + spelled)))
+            else:
+                at = place.get(letters)
+                if at is None:  # the word may come again with other signs
+                    flat.extend(map(_ID, tokenize(space + spelled)))
+                    place[letters] = at = known + len(ends) - 1
+                    ends.append(len(flat))
+                if at < known:
+                    flat.extend(self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tolist())
+                else:
+                    flat.extend(flat[ends[at - known] : ends[at - known + 1]])
+                flat.extend(signs(key[len(letters) :]))
+            place[key] = known + len(ends) - 1
+            ends.append(len(flat))
+        ends = np.array(ends, np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + ends[:-1]])
+        self.sizes = np.concatenate([self.sizes, np.diff(ends)])
+        self.ids = np.concatenate([self.ids, np.array(flat, self.kind)])
+        self.came_again = np.concatenate([self.came_again, np.zeros(len(ends) - 1, bool)])
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
@@ -183,6 +194,82 @@ class Encoder:
             at[missing] = [self.place[pieces[i]] for i in missing]
         return at
 
+    def _find(self, first: np.ndarray, last: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Place of each short piece; -1 if the table has none. Pieces are compared in full, not by their code."""
+        at = np.full(len(code), -1, np.int64)
+        rows, slot = np.arange(len(code)), (code >> np.uint64(64 - self.table_bits)).astype(np.int64)
+        while len(rows):
+            held = self.table[slot]
+            known = held >= 0
+            rows, slot, held = rows[known], slot[known], held[known]
+            same = (self.first[held] == first[rows]) & (self.last[held] == last[rows]) & (self.bytes[held] == size[rows])
+            at[rows[same]] = held[same]
+            rows, slot = rows[~same], (slot[~same] + 1) & (len(self.table) - 1)
+        return at
+
+    def _enter(self, places: np.ndarray) -> None:
+        """Puts places whose piece is described into the table; of several that want one slot, one gets it."""
+        code = mixed(self.first[places], self.last[places], self.bytes[places].astype(np.uint64))
+        slot = (code >> np.uint64(64 - self.table_bits)).astype(np.int64)
+        while len(places):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = places[free]
+            out = self.table[slot] != places
+            places, slot = places[out], (slot[out] + 1) & (len(self.table) - 1)
+
+    def _describe(self, places: np.ndarray, first: np.ndarray, last: np.ndarray, size: np.ndarray) -> None:
+        """Enters short pieces at their places; the table is dealt anew when half full."""
+        more = len(self.sizes) - len(self.bytes)
+        self.first, self.last = (np.append(x, np.zeros(more, np.uint64)) for x in (self.first, self.last))
+        self.bytes = np.append(self.bytes, np.zeros(more, np.uint8))
+        self.first[places], self.last[places], self.bytes[places] = first, last, size
+        if 2 * len(self.sizes) > len(self.table):
+            self._deal()
+        else:
+            self._enter(places)
+
+    def _deal(self) -> None:
+        self.table_bits = max(16, int(4 * len(self.sizes)).bit_length())
+        self.table = np.full(1 << self.table_bits, -1, np.int32)
+        self._enter(np.flatnonzero(self.bytes))
+
+    def _places_in(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each piece between spaces, and where the spaces are.
+
+        A piece of at most 16 bytes is known by its first and last eight and its length, and found for all at once; other pieces, and those met for the first time, as text.
+        """
+        padded = b" " * 8 + raw + b" " * 8
+        spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+        start, end = np.append(0, spaces + 1), np.append(spaces, len(raw))
+        size = end - start
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        short = np.minimum(size, 8)
+        first = eight[start + 8] & MASKS[short]
+        last = np.where(size, eight[end] >> ((8 - np.maximum(short, 1)) * 8).astype(np.uint64), np.uint64(0))
+        code = mixed(first, last, size.astype(np.uint64))
+        at = np.full(len(size), _CAREFUL, np.int64)
+        brief = (size > 0) & (size <= 16)
+        rows = np.flatnonzero(brief)
+        at[rows] = self._find(first[rows], last[rows], size[rows], code[rows])
+        self.came_again[at[at >= 0]] = True
+        rows = rows[at[rows] < 0]
+        while len(rows):
+            _, one = np.unique(code[rows], return_index=True)
+            new = rows[np.sort(one)]
+            found = self._places([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            plain = found >= 0
+            self._describe(found[plain], first[new[plain]], last[new[plain]], size[new[plain]])
+            at[rows] = self._find(first[rows], last[rows], size[rows], code[rows])
+            rows = rows[at[rows] < 0]
+            if not plain.all():  # pieces that are read with more care are in no table
+                odd = np.isin(code[rows], code[new[~plain]])
+                at[rows[odd]] = self._places([raw[a:b].decode() for a, b in zip(start[rows[odd]].tolist(), end[rows[odd]].tolist(), strict=True)])
+                rows = rows[~odd]
+        rows = np.flatnonzero(size > 16)
+        if len(rows):
+            at[rows] = self._places([raw[a:b].decode() for a, b in zip(start[rows].tolist(), end[rows].tolist(), strict=True)])
+        return at, spaces
+
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after the other, and the end of each."""
         sizes = self.sizes[at]
@@ -197,9 +284,9 @@ class Encoder:
     def _call(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > (self.store or STORE):
             self.thin_out()
-        cut = [("\x00" + t.replace("\n", " \n")).split(" ") for t in texts]
-        at = self._places(list(chain.from_iterable(cut)))
-        stops = np.cumsum([len(c) for c in cut])
+        raws = [("\x00" + t.replace("\n", " \n")).encode() for t in texts]
+        at, spaces = self._places_in(b" ".join(raws))
+        stops = np.searchsorted(spaces, np.cumsum([len(r) + 1 for r in raws]) - 1) + 1
         care = at == _CAREFUL
         careful = np.logical_or.reduceat(care, np.append(0, stops[:-1])) | np.array(["\x00" in t for t in texts])
         ids, ends = self._gather(np.where(care, 0, at))

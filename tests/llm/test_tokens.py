@@ -155,6 +155,36 @@ def test_texts_without_a_plain_piece_and_a_store_that_is_thinned_out(library, mo
     assert "often" in encoder.place
 
 
+def test_known_short_pieces_are_found_without_text_and_words_are_kept_without_their_signs(library, monkeypatch):
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    long = "abcdefghijklmnopqrstuvw"
+    texts = [" ".join(long[:n] + end for n in range(1, 24) for end in ("", ",", "é", "!?")), "see Xylander, 12345678 1234567 é\x00 12345678z", "ab\ncd  ef", "x"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert "Xylander" in encoder.place
+    known = [" ".join(p for p in t.split(" ") if len(p.encode()) <= 16) for t in texts[:2]]
+    known = [t.replace("\x00", "") for t in known if t]
+    want = [e.ids for e in library.encode_batch(known, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(known)] == want
+    monkeypatch.setattr(encoder, "_places", lambda pieces: pytest.fail(f"looked up as text: {pieces}"))
+    assert [x.tolist() for x in encoder.encode(known)] == want
+
+
+def test_a_table_of_few_slots_finds_every_piece(library):
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))) for _ in range(4000)) for _ in range(20)]
+    for _ in range(2):
+        for got, want in zip(encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert got.tolist() == want.ids
+    places = np.flatnonzero(encoder.bytes)
+    encoder.table_bits = int(2 * len(places)).bit_length() - 1  # nearly full
+    encoder.table = np.full(1 << encoder.table_bits, -1, np.int32)
+    encoder._enter(places)
+    found = encoder._find(encoder.first[places], encoder.last[places], encoder.bytes[places], tokens.mixed(encoder.first[places], encoder.last[places], encoder.bytes[places].astype(np.uint64)))
+    assert (found == places).all()
+
+
 def test_packing_query(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = dict(zip([d.doc_id for d in docs], expected([d.text for d in docs], library, 1), strict=True))
