@@ -22,10 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import by_batch, labelled_sample, unit, word_buckets
+from aerolake.llm.common import by_batch, give_back, labelled_sample, unit, word_buckets
 from aerolake.llm.language_id import LanguageModel
 
 BITS, DIM, FILTERS, WIDTHS, PREFIXES = 16, 8, 8, (1, 2, 3), (4, 5, 6)
@@ -33,6 +34,8 @@ CUT = 0.7
 CUT_LOGIT = float(np.log(CUT / (1 - CUT)))
 #: Words of a text that enter the filters at once.
 CHUNK = 4096
+#: Type that holds a bucket, as the driver gets it.
+SENT = np.uint16
 #: Of the hash of ids that draws the sample.
 SEED = 11
 #: Logits are counted in bins of 1 / BINS, from -FAR to FAR.
@@ -203,20 +206,23 @@ def fit(docs: DataFrame, labels: DataFrame, languages: LanguageModel, max_rows:
     keep = {y: min(1.0, max_rows / 2 / n) for y, n in found.items()}
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [word_buckets(t, BITS, PREFIXES).tobytes() for t in batch.column("text").to_pylist()]
+        ids = [word_buckets(t, BITS, PREFIXES).astype(SENT).tobytes() for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column("y"), batch.column("u")], ["ids", "y", "u"])
 
     sample = labelled_sample(docs, marks, keep, SEED)
-    got = by_batch(sample, encode, "ids binary, y int, u double").toArrow().sort_by([("u", "ascending"), ("y", "ascending"), ("ids", "ascending")])
-    texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for x in got["ids"]]
-    y = got["y"].to_numpy().astype(float)
+    got = by_batch(sample, encode, "ids binary, y int, u double").toArrow()
+    order = pc.sort_indices(got, [("u", "ascending"), ("y", "ascending"), ("ids", "ascending")]).to_numpy()
+    texts = [np.frombuffer(got["ids"][int(i)].as_buffer(), SENT).reshape(-1, 1 + len(PREFIXES)) for i in order]
+    y, drawn = got["y"].to_numpy()[order].astype(float), got["u"].to_numpy()[order]
     if len(np.unique(y)) < 2:
         return ToxicityModel(None, languages, {"": 0.0})
-    held = got["u"].to_numpy() < calibrate
+    held = drawn < calibrate
     apart = all(len(np.unique(y[m])) == 2 for m in (held, ~held))
     if not apart:
         held = np.zeros(len(y), bool)
     net = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
+    del texts, got  # the driver keeps the net only
+    give_back()
     model = ToxicityModel(net, languages, {"": 0.0}, found[1] / sum(found.values()))
     stands_for = {0: 1.0, 1: 1.0}
     if apart:

@@ -213,3 +213,16 @@ def test_language_of_few_texts_with_many_copies(spark):
     assert model.predict(texts)[0] == [lang for lang in few for _ in few[lang]]
     once = language_id.fit(docs_of(spark, list({(t, lang): (i, t, lang) for i, t, lang in rows}.values())), docs_per_lang=20)
     assert np.allclose(model.idf, once.idf)  # copies change nothing
+
+
+def test_toxicity_sends_two_bytes_a_bucket_to_the_driver(spark, monkeypatch):
+    got = {}
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: got.update(texts=texts, y=y) or train(texts, y))
+    rows = [(i, f"word{i} good and {'bad' if i % 2 else 'fine'}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    toxicity.fit(docs, marks, language_id.LanguageModel([], np.zeros((0, 4096), np.float32), np.zeros(0), np.ones(4096, np.float32)))
+    assert sum(t.nbytes for t in got["texts"]) == sum(2 * t.size for t in got["texts"]) > 0
+    want = {(tuple(word_buckets(t, toxicity.BITS, toxicity.PREFIXES).ravel().tolist()), i % 2) for i, t in rows}
+    assert {(tuple(t.ravel().tolist()), int(b)) for t, b in zip(got["texts"], got["y"], strict=True)} <= want

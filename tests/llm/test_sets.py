@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from aerolake.llm import hilbert, mixing, near_dup, topk
 from aerolake.llm.common import words_of
 from aerolake.llm.queries import ORACLES, QUERIES
+from aerolake.plans.joins import settle
 from tests.llm.brute import components, oracle
 
 
@@ -109,6 +110,21 @@ def test_components_of_graphs(spark):
     assert both == got
 
 
+def test_components_take_few_jobs(spark, monkeypatch):
+    """Rounds end when stars are left, and none is made of links that are stars already; shuffled and sent edges give the same."""
+    written = []
+    monkeypatch.setattr(near_dup, "settle", lambda df, purpose: written.append(purpose) or settle(df, purpose))
+    stars = spark.createDataFrame([(i % 7, 100 + i) for i in range(300)], "a bigint, b bigint")
+    assert {(r.node, r.label) for r in near_dup.components(stars).collect()} == {(100 + i, i % 7) for i in range(300)} | {(i, i) for i in range(7)}
+    assert len(written) <= 2
+    chain = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 9)] + [(100 + i, 200 + i) for i in range(9)], "a bigint, b bigint")
+    want = {i: 0 for i in range(41)} | {k + i: 100 for i in range(9) for k in (100, 200)}
+    for hub, few in ((1000, 50_000), (1000, 0), (2, 0)):
+        assert dict(map(tuple, near_dup.components(chain, hub=hub, few=few).collect())) == want
+    none = near_dup.components(chain.limit(0))
+    assert none.columns == ["node", "label"] and not none.count()
+
+
 def water(sizes, weights, most):
     """Targets by raising and capping in turn."""
     capped, total = {}, sum(sizes.values())
