@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import by_batch, on_workers
+from aerolake.llm.common import by_batch, on_workers, small_batches
 from aerolake.llm.tokens import Encoder, vocabulary_path
 from aerolake.plans.joins import settle
 
 CAPACITY = 2048
+#: Rows that a worker gets at once where its store is limited: its arrays for them, and the executor's buffers, grow with their texts.
+ROWS = 128
 
 
 def pieces_of(size: int, capacity: int = CAPACITY, piece: int = 512) -> list[tuple[int, int]]:
@@ -119,10 +122,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capaci
     """The pieces of ``docs`` with ``sequence_id`` and ``offset``, the place of the piece in its sequence.
 
     ``store`` limits the encoded words that a worker keeps, see :mod:`aerolake.llm.tokens`, and has it keep none from one
-    partition to the next; it bears on memory and time only.
+    partition to the next, and get fewer rows at once; it bears on memory and time only.
     """
     on_workers(docs.sparkSession)
-    pieces = settle(cut(docs, vocabulary, end_id, capacity, piece, store), "pieces")
+    with small_batches(docs.sparkSession, ROWS) if store else nullcontext():
+        pieces = settle(cut(docs, vocabulary, end_id, capacity, piece, store), "pieces")
     numbered = pieces.withColumn("__row", F.monotonically_increasing_id())
     full = numbered.filter(F.col("length") == capacity).select("*", (F.col("__row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = numbered.filter(F.col("length") < capacity)

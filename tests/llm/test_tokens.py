@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aerolake.llm import packing, tokenfiles, tokens
+from aerolake.llm import common, packing, tokenfiles, tokens
 from aerolake.llm.queries import QUERIES
 
 PARTS = [
@@ -216,6 +216,24 @@ def test_packing_with_a_limited_store_leaves_no_encoder_in_the_workers(spark, tm
     assert spark.range(0, 64, 1, 32).mapInArrow(held, "n bigint").agg(F.sum("n")).first()[0] == 0
 
 
+def test_packing_with_a_limited_store_sends_few_rows_at_once(spark, library):
+    before = spark.conf.get(common.BATCH_ROWS)
+
+    def told(batches):
+        for b in batches:  # each text says how many rows came together
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(["a " * b.num_rows] * b.num_rows)], ["doc_id", "text"])
+
+    docs = spark.range(0, 1000, 1, 1).mapInArrow(told, "doc_id bigint, text string")
+    rows = packing.pack(docs, store=50).groupBy("doc_id").agg(F.max("doc_tokens").alias("n"), F.sum("length").alias("all")).collect()
+    sizes = [len(x) for x in expected(["a " * packing.ROWS, "a " * (1000 % packing.ROWS)], library, 1)]
+    assert len(rows) == 1000 and {r.n for r in rows} == set(sizes) and all(r.all == r.n for r in rows)
+    assert spark.conf.get(common.BATCH_ROWS) == before
+    with pytest.raises(ZeroDivisionError), common.small_batches(spark, 7):
+        assert spark.conf.get(common.BATCH_ROWS) == "7"
+        raise ZeroDivisionError
+    assert spark.conf.get(common.BATCH_ROWS) == before
+
+
 SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny z", "<|endoftext| >", " <|endoftext|><|endoftext|>  end"]
 
 
