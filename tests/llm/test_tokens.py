@@ -1,5 +1,6 @@
 """Token ids, token files and packing: equality with the library, round trips, brute force."""
 
+import json
 import random
 import shutil
 import zlib
@@ -170,6 +171,48 @@ def test_known_short_pieces_are_found_without_text_and_words_are_kept_without_th
     assert [x.tolist() for x in encoder.encode(known)] == want
 
 
+def test_new_words_are_read_many_at_once_and_apart_from_their_signs(library, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeéßſǄžÀɏ") for _ in range(rng.randrange(1, 8))) for _ in range(3000)]
+    texts = ["x " + " ".join(w + rng.choice(["", ",", ".)", "!!!", "'s", "-" + w]) for w in words[i : i + 100]) + "\nEnd" for i in range(0, 3000, 100)]
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    monkeypatch.setattr(tokens, "_WORDS", 64)
+    looked_up, places = [], encoder._places
+    monkeypatch.setattr(encoder, "_places", lambda pieces: looked_up.extend(pieces) or places(pieces))
+    for got, want in zip(encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.tolist() == want.ids
+    # What is left are signs, words after a hyphen and the first word of a text.
+    assert not [p for p in looked_up if p.isalpha() and len(p.encode()) <= 16] and {"\udc00,", "\udc00.)"} <= set(looked_up)
+    assert {w for w in words if len(w.encode()) <= 15} <= set(encoder.place)
+
+
+def test_pieces_are_cut_where_the_rule_starts_anew(library, monkeypatch):
+    ends = ["a", "Z", "9", "é", "ſ", "ɏ", "ɿ", "ʯ", "×", "÷", "ª", "µ", "²", "e\u0301", "Ж", "日", "…", "—", "\xa0", "\u200b", "_", "'", "😀", "\x01"]
+    signs = [".", "'", "'t", "'S", "'s'", "!?", "-x", "...'re", "_a_", "<|", "'ll.", "''d", "$1", "\u2019s"]
+    texts = [f"{lead}{a}{b}{c}" for lead in ("", "w ", "w\n") for a in ends for b in signs for c in ("", " z", "é", "1", "\ny")]
+    texts += ["×× ÷÷ a× b÷ ×c ÷d À× ×.", "\n×", "a\n\nb\n×c\né"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for joins in (True, False):
+        encoder = tokens.Encoder(tokens.vocabulary_path())
+        assert encoder.joins
+        encoder.joins = joins
+        for _ in range(2):
+            assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
+def test_words_are_read_one_by_one_where_a_token_reaches_into_the_next(tmp_path):
+    library = Tokenizer.from_file(tokens.vocabulary_path())
+    spec = json.loads(library.to_str())
+    spec["model"]["vocab"]["aĠ"] = max(spec["model"]["vocab"].values()) + 1
+    spec["model"]["merges"].insert(0, ["a", "Ġ"])
+    path = tmp_path / "crossing.json"
+    path.write_text(json.dumps(spec))
+    library, encoder = Tokenizer.from_file(str(path)), tokens.Encoder(str(path), plain_specials=False)
+    texts = ["x la banana panda la", "x banana, la\npizza la pasta"]
+    assert not encoder.joins and encoder.by_bytes
+    assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_a_table_of_few_slots_finds_every_piece(library):
     encoder = tokens.Encoder(tokens.vocabulary_path())
     rng = random.Random(3)
