@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolake.llm import hilbert, mixing, near_dup, topk
-from aerolake.llm.common import words_of
+from aerolake.llm.common import free_driver, words_of
 from aerolake.llm.queries import ORACLES, QUERIES
 from aerolake.plans.joins import settle
 from tests.llm.brute import components, oracle
@@ -110,6 +110,19 @@ def test_components_of_graphs(spark):
     assert both == got
 
 
+def test_rounds_let_go_of_what_the_driver_holds(spark, monkeypatch):
+    """Every round that joins edges ends with the driver's memory given back, which collects its garbage."""
+    freed = []
+    monkeypatch.setattr(near_dup, "free_driver", lambda spark: freed.append(1))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    assert {r.label for r in near_dup.components(chain).collect()} == {0}
+    assert len(freed) > 1
+    before = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    runs = sum(b.getCollectionCount() for b in before)
+    free_driver(spark)
+    assert sum(b.getCollectionCount() for b in before) > runs
+
+
 def test_components_take_few_jobs(spark, monkeypatch):
     """Rounds end when stars are left, and none is made of links that are stars already; shuffled and sent edges give the same."""
     written = []
