@@ -122,6 +122,15 @@ def test_packing_covers_every_id_once(stages):
     assert got == want and max(held.values()) <= 2048
 
 
+def test_near_duplicates_begin_with_a_driver_that_let_go(spark, monkeypatch):
+    """Before the stage of the most jobs, memory that earlier stages left in the driver is given back."""
+    order = []
+    monkeypatch.setattr(corpus_pipeline, "free_driver", lambda spark: order.append("freed"))
+    monkeypatch.setattr(corpus_pipeline.near_dup, "dedupe", lambda docs: order.append("dedupe") or docs)
+    docs = spark.range(3)
+    assert corpus_pipeline.without_near_copies(spark, docs, "") is docs and order == ["freed", "dedupe"]
+
+
 def test_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
