@@ -131,15 +131,68 @@ def use_state_store(spark: SparkSession) -> None:
 
 def stream_first_answer(
     events: DataFrame, keys: list[str] = ("city",), ts: str = "ts", ttl: str = TTL, delay: str = "1 hour", tie: str = "event_id",
+    run_rows: int = 20_000,
 ) -> DataFrame:
     """The readings that answer: the first of a key answers for the life time from *its* time, those within are left out, the next one answers anew.
 
     State is one time for each key, cleared by a timer once the watermark passes it. Rows of a key are taken in order of time
     within a micro-batch, of equal times the smallest ``tie``; a reading older than the answer that holds is left out.
-    A task sees the rows of a key of one micro-batch, so ``maxFilesPerTrigger`` bounds them.
+    A task sees the rows of a key of one micro-batch, but holds ``run_rows`` of them: more are sorted in runs, which wait in Spark's local folder.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
+    # What workers run is defined in here, so that it goes with the query and they need not have this package.
+    def in_order(rows):
+        """The rows in order of time and tie, whatever their number."""
+        import heapq
+        import os
+        import pickle
+        import tempfile
+        from itertools import batched, chain, islice
+
+        from pyspark.sql import Row
+
+        first = list(islice(rows, 1))
+        if not first:
+            return
+        fields = first[0].__fields__
+        when, then = fields.index(ts), fields.index(tie)
+
+        def order(values):
+            return values[when], values[then]
+
+        local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+
+        def put(values):
+            """A file of its own, gone when it is closed."""
+            file = tempfile.TemporaryFile(dir=local if os.path.isdir(local) else None)
+            for part in batched(values, 500):
+                pickle.dump(part, file, pickle.HIGHEST_PROTOCOL)
+            return file
+
+        def read(file):
+            file.seek(0)
+            with file:
+                while True:
+                    try:
+                        yield from pickle.load(file)
+                    except EOFError:
+                        return
+
+        found = (tuple(r) for r in chain(first, rows) if r[ts] is not None)
+        runs = [[]]  # of runs as long as each other, at most 63; earlier rows are in the longer ones
+        while len(run := sorted(islice(found, run_rows), key=order)) == run_rows:
+            runs[0].append(put(run))
+            for level in range(len(runs)):
+                if len(runs[level]) < 64:
+                    break
+                if level + 1 == len(runs):
+                    runs.append([])
+                runs[level + 1].append(put(heapq.merge(*map(read, runs[level]), key=order)))
+                runs[level] = []
+        for values in heapq.merge(*[read(f) for level in reversed(runs) for f in level], run, key=order):
+            yield Row(*fields)(*values)
+
     spark = events.sparkSession
     use_state_store(spark)
     span = int(events.sparkSession.range(1).select((F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {ttl}"))).alias("m")).first().m)
@@ -157,7 +210,7 @@ def stream_first_answer(
 
             epoch, micro = datetime.datetime(1970, 1, 1), datetime.timedelta(microseconds=1)
             until = before = self._until.get()[0] if self._until.exists() else None
-            for row in sorted((r for r in rows if r[ts] is not None), key=lambda r: (r[ts], r[tie])):
+            for row in in_order(rows):
                 at = (row[ts].replace(tzinfo=None) - epoch) // micro
                 if until is None or at >= until:
                     until = at + span

@@ -45,6 +45,22 @@ def test_first_answer_holds_for_its_life_time(spark):
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 4, 5, 12, 13, 14]
 
 
+@pytest.mark.parametrize("run_rows", [1, 7, 20_000])
+def test_first_answer_holds_few_rows_at_once(spark, run_rows):
+    """Rows of one key in any order, most of them set down in sorted runs and runs of runs, answer as if they were sorted at once."""
+    schema, path = "event_id bigint, ts timestamp, city string, value double", shared_dir(spark, "many-in")
+    minutes = [(i * 7919) % 1000 / 7 for i in range(1000)]
+    rows = [(i, None if i == 500 else at(m), "a", float(i)) for i, m in enumerate(minutes)] + [(2000 + i, at(m), "a", 0.0) for i, m in enumerate(minutes[:50])]
+    send(spark, path, rows, schema)
+    found = live.run_available(live.stream_first_answer(live.read_stream(spark, path, schema), ["city"], run_rows=run_rows), "many")
+    want, until = [], None
+    for number, when, *_ in sorted((r for r in rows if r[1]), key=lambda r: (r[1], r[0])):
+        if until is None or when >= until:
+            want.append(number)
+            until = when + dt.timedelta(minutes=5)
+    assert sorted(r.event_id for r in found.collect()) == sorted(want) and len(want) > 20
+
+
 def test_a_batch_rewrites_only_its_buckets(spark):
     out, schema = shared_dir(spark, "buckets"), "k int, v string"
 
