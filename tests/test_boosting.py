@@ -120,3 +120,13 @@ def test_trained_stored_and_loaded_with_the_other_models(spark, tmp_path):
     one, two = (models.score(df, m).toPandas() for m in (result.models["lightgbm"], sinks.load_model(path)))
     assert one.equals(two)
     assert models.feature_importance(result.boosted["xgboost"], ["pm25", "no2", "city_encoded"], spark).count() == 3
+
+
+@pytest.mark.parametrize("growth", ["level", "leaf"])
+def test_only_the_smaller_child_is_summed(spark, table, monkeypatch, growth):
+    df, _, _ = table
+    asked, sums = [], BoostedTrees._sums
+    monkeypatch.setattr(BoostedTrees, "_sums", lambda self, rows, tree, nodes, *a: asked.append(set(nodes)) or sums(self, rows, tree, nodes, *a))
+    model = BoostedTrees(growth=growth, rounds=1, max_depth=4, max_leaves=9 if growth == "leaf" else None, max_bins=16, exact=True).fit(df, ["a", "b", "c"])
+    assert len(model.trees[0].splits) > 4
+    assert all(n ^ 1 not in nodes for nodes in asked for n in nodes) and asked[0] == {1}
